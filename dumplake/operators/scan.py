@@ -261,11 +261,11 @@ def _bucket(cut: _Cutter, first_line):
 
 _PIECES = (
     "file string, bucket long, first_line long, last_line long, n_lines long, n_counted long, "
-    "n_bytes long, text string, delimiter string, closed boolean, border boolean"
+    "raw_bytes long, text string, delimiter string, closed boolean, border boolean"
 )
 _PIECES_ARROW = pa.schema([
     ("file", pa.string()), ("bucket", pa.int64()), ("first_line", pa.int64()), ("last_line", pa.int64()),
-    ("n_lines", pa.int64()), ("n_counted", pa.int64()), ("n_bytes", pa.int64()),
+    ("n_lines", pa.int64()), ("n_counted", pa.int64()), ("raw_bytes", pa.int64()),
     ("text", pa.string()), ("delimiter", pa.string()), ("closed", pa.bool_()), ("border", pa.bool_()),
 ])
 
@@ -312,7 +312,7 @@ def _cut(options: ScanOptions):
                         first[0] = open_piece["first_line"]
                         lines[0] += open_piece["n_lines"]
                         n_counted[0] += open_piece["n_counted"]
-                        n_bytes[0] += open_piece["n_bytes"]
+                        n_bytes[0] += open_piece["raw_bytes"]
                         open_piece = None
                     border = np.zeros(closed, bool)
                     border[0] = untouched
@@ -329,12 +329,12 @@ def _cut(options: ScanOptions):
                 if lo < len(kept):
                     if open_piece is None:
                         open_piece = {"first_line": int(got["line_no"][kept[lo]]), "text": [],
-                                      "n_lines": 0, "n_counted": 0, "n_bytes": 0}
+                                      "n_lines": 0, "n_counted": 0, "raw_bytes": 0}
                     open_piece["text"].extend(value.slice(lo).to_pylist())
                     open_piece["last_line"] = int(got["line_no"][kept[-1]])
                     open_piece["n_lines"] += len(kept) - lo
                     open_piece["n_counted"] += int(counted[lo:].sum())
-                    open_piece["n_bytes"] += int(size[lo:].sum())
+                    open_piece["raw_bytes"] += int(size[lo:].sum())
         if open_piece is not None:
             yield rest()
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TAIL_KEYWORDS, TRIM, classify_line, trim
 from ..session import stage
+from .inserts import with_insert_columns
 from .scan import Scan, ScanOptions, scan
 
 # Size guards by dialect.
@@ -39,7 +40,7 @@ def _joined_borders(borders: DataFrame) -> DataFrame:
     return (
         borders.join(keys, ["file", "first_line"]).groupBy("file", "grp").agg(
             F.min("bucket").alias("bucket"), F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"),
-            F.sum("n_lines").alias("n_lines"), F.sum("n_counted").alias("n_counted"), F.sum("n_bytes").alias("n_bytes"),
+            F.sum("n_lines").alias("n_lines"), F.sum("n_counted").alias("n_counted"), F.sum("raw_bytes").alias("raw_bytes"),
             F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"),
             F.max_by("delimiter", "last_line").alias("delimiter"), F.max("closed").alias("closed"),
         ).drop("grp")
@@ -54,9 +55,21 @@ def _without_delimiter(text: Column, delimiter: Column) -> Column:
     return trim(cut)
 
 
+_RAW = ("file", "bucket", "first_line", "last_line", "n_lines", "n_counted", "raw_bytes", "delimiter", "closed")
+
+
+def _finished(pieces: DataFrame) -> DataFrame:
+    """Text without its delimiter, and everything derived from the text, computed once."""
+    clean = pieces.withColumn("text", _without_delimiter(F.col("text"), F.col("delimiter"))).withColumns({
+        "n_bytes": F.octet_length("text").cast("long"),
+        "keyword": F.upper(F.regexp_extract("text", r"^([A-Za-z]*+)", 1)),
+    })
+    return with_insert_columns(clean)
+
+
 def _guard(max_lines: int, max_bytes: int) -> Column:
     return F.when(
-        F.col("n_bytes") > max_bytes, F.format_string("Query exceeds maximum memory limit (%d bytes)", F.lit(max_bytes))
+        F.col("raw_bytes") > max_bytes, F.format_string("Query exceeds maximum memory limit (%d bytes)", F.lit(max_bytes))
     ).when(
         F.col("n_counted") > max_lines, F.format_string("Query exceeds maximum line count (%d lines)", F.lit(max_lines))
     )
@@ -95,10 +108,11 @@ def _resume(options: ScanOptions, max_lines: int, max_bytes: int):
         for frame in frames:
             out = []
             for row in frame.to_dict("records"):
-                for at, text, closed in pieces(row["text"], row["delimiter"], row["closed"]):
+                whole = row["text"] + (row["delimiter"] if row["closed"] else "")
+                for at, text, closed in pieces(whole, row["delimiter"], row["closed"]):
                     lines = text.count("\n") + 1
                     out.append({**row, "first_line": row["first_line"] + at, "text": text, "closed": closed,
-                                "n_lines": lines, "n_counted": 0, "n_bytes": len(text.encode()) + 1, "error": None})
+                                "n_lines": lines, "n_counted": 0, "raw_bytes": len(text.encode()) + 1})
             yield pd.DataFrame(out, columns=frame.columns)
 
     return run
@@ -119,21 +133,23 @@ def split_statements(
     options = options or ScanOptions()
     max_lines = max_lines or MAX_LINES[options.dialect]
     scanned = scan(lines, options)
-    pieces = stage(scanned.pieces(), "pieces", partition_by=("border",))
-    inner = pieces.filter(~F.col("border")).drop("border")
-    whole = inner.unionByName(_joined_borders(pieces.filter("border").drop("border")))
+    cut = scanned.pieces()
+    piece = F.when(F.col("border"), F.col("text"))
+    pieces = stage(_finished(cut.withColumn("piece", piece)), "pieces", partition_by=("border",))
+    borders = pieces.filter("border").select(*_RAW, F.col("piece").alias("text"))
+    joined = stage(_finished(_joined_borders(borders)), "borders")
+    whole = pieces.filter("not border").drop("border", "piece").unionByName(joined)
     whole = whole.withColumn("error", _guard(max_lines, max_bytes))
     if options.dialect == "cli":
         over = whole.filter("error is not null")
-        resumed = over.mapInPandas(_resume(options, max_lines, max_bytes), whole.schema)
-        whole = whole.unionByName(resumed)
-    text = _without_delimiter(F.col("text"), F.col("delimiter"))
+        raw = over.select(*_RAW, "text")
+        resumed = raw.mapInPandas(_resume(options, max_lines, max_bytes), raw.schema)
+        whole = whole.unionByName(_finished(resumed).withColumn("error", F.lit(None).cast("string")))
     statements = whole.select(
         "file", "bucket", F.col("first_line").alias("pos"), "first_line", "last_line",
-        F.col("n_lines").cast("int").alias("n_lines"), text.alias("text"),
-        F.octet_length(text).cast("long").alias("n_bytes"),
-        F.upper(F.regexp_extract(text, r"^([A-Za-z]*+)", 1)).alias("keyword"),
+        F.col("n_lines").cast("int").alias("n_lines"), "text", "n_bytes", "keyword",
         (~F.col("closed")).alias("is_tail"), "error",
+        "kind", "table", "prefix", "values_at", "n_sets", "is_ignore",
     ).filter("error is not null or text not in ('', '0')")
     return Split(statements, scanned.files(), scanned)
 
