@@ -17,17 +17,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import segments
 from ..functions.text import TRIM, classify_line, default_markers, line_columns, normalise_newlines, without_bom
 from ..session import stage
-from ..sources.lines import bom_bytes
-
-# The block table is joined by broadcast up to this many blocks (about 150 bytes each);
-# beyond it the join is a shuffle by block and a local sort restores the line order.
-BROADCAST_BLOCKS = 1_000_000
-
-# Statements are bucketed for windows along a file: a bucket lies in one block (bytes) and
-# holds the statements that start on at most this many lines (rows, for unsplit gzip).
-BUCKET_LINES = 1 << 17
+from ..sources.lines import BROADCAST_BLOCKS, BUCKET_LINES, bom_bytes
 
 # EXIT[s][code] is the state after a line with that code when the state before it is s.
 _CODES = np.arange(27)
@@ -59,18 +52,6 @@ def _classified(lines: DataFrame, options: ScanOptions) -> DataFrame:
     )
 
 
-def _segments(batch: pa.RecordBatch):
-    """Stretches of one (file, block) within an Arrow batch."""
-    files = pc.dictionary_encode(batch.column("file"))
-    index = files.indices.to_numpy(zero_copy_only=False)
-    block = batch.column("block").to_numpy(zero_copy_only=False)
-    cuts = np.flatnonzero((np.diff(index) != 0) | (np.diff(block) != 0)) + 1
-    bounds = [0, *cuts.tolist(), len(block)]
-    for lo, hi in zip(bounds, bounds[1:]):
-        if hi > lo:
-            yield (files.dictionary[index[lo]].as_py(), int(block[lo])), batch.slice(lo, hi - lo)
-
-
 def _line_arrays(part: pa.RecordBatch, first_of_file: bool, options: ScanOptions):
     """code, dropped and directive of a stretch, the first line of a file without its BOM."""
     code = part.column("code").to_numpy(zero_copy_only=False).copy()
@@ -121,7 +102,7 @@ def _summarise(options: ScanOptions):
             )
 
         for batch in batches:
-            for here, part in _segments(batch):
+            for here, part in segments(batch):
                 if here != key:
                     if key is not None:
                         yield row()
@@ -284,7 +265,7 @@ def _cut(options: ScanOptions):
             }], schema=_PIECES_ARROW)
 
         for batch in batches:
-            for key, part in _segments(batch):
+            for key, part in segments(batch):
                 if key != cut.key:
                     if open_piece is not None:
                         yield rest()
@@ -353,7 +334,7 @@ def _annotate(options: ScanOptions):
     def run(batches):
         cut = _Cutter(options)
         for batch in batches:
-            for key, part in _segments(batch):
+            for key, part in segments(batch):
                 if key != cut.key:
                     cut.enter(key, part)
                 got = cut.advance(part)

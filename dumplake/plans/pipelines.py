@@ -1,0 +1,98 @@
+"""Whole jobs: dump to optimised dump, dump to tables, CSV to table, dry run."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.batches import BatchOptions, assign_batches, batch_stats, gather
+from ..operators.csvrows import CsvOptions, csv_inserts, csv_records, csv_rows
+from ..operators.inserts import analyse_inserts, statement_counts
+from ..operators.load import first_per_key, load_rows, table_schema
+from ..operators.scan import ScanOptions
+from ..operators.statements import Split, accepted, split_statements
+from ..sinks import save_table, write_dump
+from ..sources.lines import read_lines
+from ..session import stage
+
+
+@dataclass(frozen=True)
+class Optimised:
+    """Output statements and the statistics of their making."""
+
+    output: DataFrame
+    batched: DataFrame
+    inserts: DataFrame
+    split: Split | None
+    options: BatchOptions
+
+    def statistics(self) -> DataFrame:
+        """Per file: lines read, statements written, rows batched, ratio, output bytes."""
+        written = self.output.groupBy("file").agg(
+            F.count("*").alias("queries_written"),
+            F.sum(F.col("n_bytes") + F.when(F.col("text").endswith(";"), 1).otherwise(2)).alias("output_size"),
+        )
+        stats = batch_stats(self.inserts, self.batched, self.options).select(
+            "file", F.col("rows_batched").alias("inserts_batched"),
+            F.col("queries_executed").alias("batched_queries_executed"), "reduction_ratio", "extended_insert_count",
+        )
+        joined = written.join(stats, "file")
+        if self.split is None:
+            return joined
+        return self.split.files.select("file", F.col("n_lines").alias("lines_processed")).join(joined, "file")
+
+
+def batch_statements(statements: DataFrame, options: BatchOptions = BatchOptions(), split: Split | None = None) -> Optimised:
+    inserts = analyse_inserts(statements)
+    batched = assign_batches(inserts, options)
+    return Optimised(gather(batched), batched, inserts, split, options)
+
+
+def optimise(lines: DataFrame, options: BatchOptions = BatchOptions(), scan_options: ScanOptions = ScanOptions("cli")) -> Optimised:
+    """Merge runs of single-row INSERTs of dump lines; everything else keeps its place."""
+    split = split_statements(lines, scan_options)
+    return batch_statements(accepted(split.statements, scan_options.dialect), options, split)
+
+
+def optimise_files(spark: SparkSession, source: str, target: str, preset: str = "conservative", force: bool = False,
+                   compression: str = "none", safe_delimiters: bool = False, charset: str | None = None) -> DataFrame:
+    """Read dump files, write the optimised dump, return the statistics per file."""
+    done = optimise(read_lines(spark, source, charset), BatchOptions.preset(preset))
+    output = stage(done.output, "optimised")
+    write_dump(output, target, compression, force, safe_delimiters)
+    return Optimised(output, done.batched, done.inserts, done.split, done.options).statistics()
+
+
+def load_table(split: Split, table: str, dialect: str = "import") -> DataFrame:
+    """Rows of one table of a dump, typed by its own CREATE TABLE, INSERT IGNORE applied.
+
+    Only INSERT IGNORE rows give way to rows already there; the order is that of the dump.
+    """
+    statements = accepted(split.statements, dialect)
+    schema, key = table_schema(statements, table)
+    inserts = analyse_inserts(statements)
+    ignoring = inserts.filter("is_ignore").filter(F.col("table").contains(table.lower()))
+    if not key or ignoring.isEmpty():
+        return load_rows(inserts, table, schema)
+    rows = load_rows(inserts, table, schema, keep=("file", "pos", "item", "is_ignore"))
+    plain = rows.filter("not is_ignore")
+    wanted = first_per_key(rows.filter("is_ignore"), key, ["file", "pos", "item"], existing=plain)
+    return plain.unionByName(wanted).select(*[f.name for f in schema.fields])
+
+
+def load_csv(lines: DataFrame, schema, table: str, options: CsvOptions = CsvOptions(), empty_first: bool = False) -> None:
+    """CSV lines into a table, which is emptied at most once, before the load."""
+    save_table(csv_rows(csv_records(lines, options), schema), table, empty_first)
+
+
+def csv_dump(lines: DataFrame, table: str, options: CsvOptions = CsvOptions(), batches: BatchOptions = BatchOptions()) -> Optimised:
+    """CSV lines as a dump of multi-row INSERTs."""
+    return batch_statements(csv_inserts(csv_records(lines, options), table, options), batches)
+
+
+def dry_run(lines: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """Count what a load would execute, by keyword and kind, and execute nothing."""
+    split = split_statements(lines, options)
+    return statement_counts(accepted(split.statements, options.dialect))

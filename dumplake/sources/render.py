@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,8 +66,8 @@ def statement_lines(statements: DataFrame, per_block: int = 50_000) -> DataFrame
         "file", F.floor(F.col("ord") / per_block).alias("block"), "ord",
         F.posexplode(F.split("text", "\n", -1)).alias("i", "value"),
     )
-    placed = cut.repartition("file", "block").sortWithinPartitions("file", "block", "ord", "i")
-    return placed.select("file", "block", F.monotonically_increasing_id().alias("row"), "value")
+    row = F.row_number().over(Window.partitionBy("file", "block").orderBy("ord", "i"))
+    return cut.select("file", "block", row.cast("long").alias("row"), "value")
 
 
 def table_lines(df: DataFrame, table: str, key: str, per_block: int = 50_000, **how) -> DataFrame:
