@@ -19,7 +19,8 @@ def _by(*extra: str) -> Window:
 
 
 def _pct(part: Column, whole: Column) -> Column:
-    return F.least(F.lit(100.0), F.round(part / whole * 100, 2))
+    """Percent to two digits, rounded on the exact quotient: 0.56895 gives 56.9, not 56.89."""
+    return F.least(F.lit(100.0), F.round(part * 10000 / whole) / 100)
 
 
 def progress(log: DataFrame) -> DataFrame:

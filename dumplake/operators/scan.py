@@ -165,7 +165,8 @@ _BLOCKS_ARROW = pa.schema([
 
 def block_table(classified: DataFrame, options: ScanOptions) -> DataFrame:
     """One row per block: its number, first line, and state at entry and exit."""
-    narrow = classified.select("file", "block", "code", "dropped", "directive", "marked")
+    # ``row`` goes along so that the order of the source stays part of the plan.
+    narrow = classified.select("file", "block", "row", "code", "dropped", "directive", "marked")
     summaries = narrow.mapInArrow(_summarise(options), _SUMMARY)
     in_order = summaries.repartition("file").sortWithinPartitions("file", "block")
     return in_order.mapInArrow(_fold(options.delimiter), _BLOCKS)

@@ -53,7 +53,7 @@ f AS (SELECT *, first_value(CASE WHEN guess AND bytes / file_size * 100 >= 5 THE
   FROM e WINDOW w AS (PARTITION BY import_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 t AS (SELECT *, CAST(CASE WHEN finished THEN lines WHEN guess THEN coalesce(lf, le) END AS BIGINT) AS lines_total,
   CAST(CASE WHEN finished THEN queries WHEN guess THEN coalesce(qf, qe) END AS BIGINT) AS queries_total,
-  CASE WHEN NOT is_gzip THEN CASE WHEN finished THEN 100.0 ELSE least(100.0, round(bytes / file_size * 100, 2)) END END AS pct_done,
+  CASE WHEN NOT is_gzip THEN CASE WHEN finished THEN 100.0 ELSE least(100.0, round(bytes * 10000 / file_size) / 100) END END AS pct_done,
   CAST(CASE WHEN finished THEN 0 WHEN NOT is_gzip THEN greatest(0, file_size - bytes) END AS BIGINT) AS bytes_togo FROM f)
 """
 
@@ -74,9 +74,9 @@ def progress_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT user_id AS import_id, event_id AS seq, epoch_us(ts) / 1e6 AS t, 100 * row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS lines FROM events),
-d AS (SELECT *, t - lag(t) OVER w AS dt, t - first_value(t) OVER w AS at, lines - lag(lines) OVER w AS dl, lines - first_value(lines) OVER w AS al FROM e
+d AS (SELECT *, t - lag(t) OVER w AS dt, t - first_value(t) OVER w AS whole, lines - lag(lines) OVER w AS dl, lines - first_value(lines) OVER w AS al FROM e
   WINDOW w AS (PARTITION BY import_id ORDER BY seq))
-SELECT import_id, seq, round(CASE WHEN dt > 0 THEN dl / dt ELSE 0 END, 6) AS speed_lps, round(CASE WHEN at > 0 THEN al / at ELSE 0 END, 6) AS speed_overall FROM d
+SELECT import_id, seq, round(CASE WHEN dt > 0 THEN dl / dt ELSE 0 END, 6) AS speed_lps, round(CASE WHEN whole > 0 THEN al / whole ELSE 0 END, 6) AS speed_overall FROM d
 """)
 def load_speed(spark: SparkSession, sf: str) -> DataFrame:
     """Lines per second of each slice and overall."""
@@ -93,7 +93,7 @@ w AS (SELECT *, count(*) OVER f AS n, avg(s) OVER f AS mean, avg(mem) OVER f AS
   FROM s WINDOW f AS (PARTITION BY import_id ORDER BY seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
 r AS (SELECT *, CASE WHEN n < 3 THEN 'collecting_samples' WHEN avg_mem < 30 AND var < 0.1 * mean * mean THEN 'ram_underutilized'
   WHEN avg_mem > 70 THEN 'memory_pressure' WHEN n >= 4 AND earlier > 0 AND recent < earlier * 0.7 THEN 'speed_degradation' ELSE 'optimal' END AS reason FROM w)
-SELECT import_id, seq, n AS n_samples, round(mean, 4) AS avg_speed, round(var, 4) AS speed_variance, round(avg_mem, 4) AS avg_memory, reason,
+SELECT import_id, seq, n AS n_samples, round(mean, 4) AS avg_speed, round(var, 6) AS speed_variance, round(avg_mem, 4) AS avg_memory, reason,
   CASE WHEN reason = 'ram_underutilized' THEN 'increase' WHEN reason IN ('memory_pressure', 'speed_degradation') THEN 'decrease' ELSE 'stable' END AS action,
   CASE WHEN n < 3 THEN 'calculating' WHEN earlier = 0 THEN 'stable' WHEN recent / earlier > 1.1 THEN 'increasing' WHEN recent / earlier < 0.9 THEN 'decreasing' ELSE 'stable' END AS trend
 FROM r
@@ -104,7 +104,7 @@ def speed_signals(spark: SparkSession, sf: str) -> DataFrame:
     samples = events.select(F.col("user_id").alias("import_id"), F.col("event_id").alias("seq"), F.col("value").alias("speed_lps"),
                             (F.col("event_id") * 7 % 100).cast("int").alias("memory_pct"))
     got = p.adaptation(samples)
-    return got.select("import_id", "seq", "n_samples", F.round("avg_speed", 4).alias("avg_speed"), F.round("speed_variance", 4).alias("speed_variance"),
+    return got.select("import_id", "seq", "n_samples", F.round("avg_speed", 4).alias("avg_speed"), F.round("speed_variance", 6).alias("speed_variance"),
                       F.round("avg_memory", 4).alias("avg_memory"), "reason", "action", "trend")
 
 
