@@ -122,8 +122,11 @@ def line_columns(value: Column, dialect: str, strict: bool, markers: tuple[str,
     def after(entry: str) -> Column:
         return F.regexp_extract(F.concat(F.lit(entry), value), pattern, 1)
 
-    from_none = F.when(single | double, _digit(after(""))).otherwise(0)
-    from_single = F.when(single, _digit(after("'"))).otherwise(1)
+    # With single quotes alone and no backslash every quote flips the state, doubled or not.
+    odd = (F.octet_length(value) - F.octet_length(F.replace(value, F.lit("'"), F.lit("")))) % 2
+    flips = ~value.contains("\\") & ~double
+    from_none = F.when(flips, odd).when(single | double, _digit(after(""))).otherwise(0)
+    from_single = F.when(flips, 1 - odd).when(single, _digit(after("'"))).otherwise(1)
     from_double = F.when(double, _digit(after('"'))).otherwise(2)
 
     trimmed = trim(value)

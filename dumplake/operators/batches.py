@@ -10,10 +10,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .statements import number_rows
+from ..session import stage
+from ..sources.lines import BROADCAST_BLOCKS
+from .windows import number_rows
 
 # The two presets, (rows per batch, bytes per batch), and commit frequency.
 PRESETS = {"conservative": (2000, 16_777_216), "aggressive": (5000, 33_554_432)}
@@ -36,75 +38,106 @@ class BatchOptions:
         return BatchOptions(*PRESETS[name])
 
 
-def _with_bytes(inserts: DataFrame) -> DataFrame:
-    """Key and size of single-row INSERTs; each row keeps either its values or its text."""
-    single = F.col("kind") == "insert_single"
-    return inserts.withColumns({
-        "_key": F.when(single, F.col("prefix")), "vbytes": F.when(single, F.octet_length("values")),
-        "values": F.when(single, F.col("values")), "text": F.when(~single, F.col("text")),
+def _key() -> Column:
+    """The prefix of a single-row INSERT; null for any other statement."""
+    return F.when(F.col("kind") == "insert_single", F.col("prefix"))
+
+
+def bucket_runs(inserts: DataFrame) -> DataFrame:
+    """One staged row per bucket: counts, longest row, first and last prefix, last opening.
+
+    Reads the narrow columns only. Whether the first row of a bucket opens a run depends on
+    the bucket before it; every other opening is local.
+    """
+    inside = Window.partitionBy("file", "bucket").orderBy("pos")
+    narrow = inserts.select("file", "bucket", "pos", _key().alias("key"), "vbytes").withColumns({
+        "at": F.row_number().over(inside), "before": F.lag("key").over(inside)})
+    opens = (F.col("at") > 1) & F.col("key").isNotNull() & ~F.col("before").eqNullSafe(F.col("key"))
+    single = F.col("key").isNotNull()
+    return stage(narrow.groupBy("file", "bucket").agg(
+        F.count("*").alias("n"), F.count("key").alias("n_single"),
+        F.max(F.when(single, F.col("vbytes"))).alias("longest"),
+        F.min_by("key", "at").alias("first_key"), F.max_by("key", "at").alias("last_key"),
+        F.max(F.when(opens, F.col("at"))).alias("last_open"),
+    ), "bucket-runs")
+
+
+def _carry(buckets: DataFrame) -> DataFrame:
+    """What each bucket needs from those before it."""
+    along = Window.partitionBy("file").orderBy("bucket")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    df = buckets.withColumns({
+        "base": F.coalesce(F.sum("n").over(earlier), F.lit(0)),
+        "singles_before": F.coalesce(F.sum("n_single").over(earlier), F.lit(0)),
+        "continues": F.col("first_key").isNotNull() & F.coalesce(F.lag("last_key").over(along) == F.col("first_key"), F.lit(False)),
     })
+    opening = F.when(F.col("first_key").isNotNull() & ~F.col("continues"), F.col("base") + 1)
+    df = df.withColumn("latest", F.coalesce(F.col("base") + F.col("last_open"), opening))
+    return df.withColumn("carried", F.last("latest", ignorenulls=True).over(earlier))
+
 
+def sample_sizes(inserts: DataFrame, options: BatchOptions, buckets: DataFrame | None = None) -> DataFrame:
+    """Per file, the effective batch size after each of the first 100 single-row INSERTs.
 
-def sample_sizes(inserts: DataFrame, options: BatchOptions) -> DataFrame:
-    """Per file, the effective batch size after each of the first 100 single-row INSERTs."""
-    single = inserts.filter("kind = 'insert_single'").select("file", "pos", F.octet_length("values").alias("vbytes"))
-    order = Window.partitionBy("file").orderBy("pos")
-    first = single.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= SAMPLE_ROWS)
+    Only buckets that can hold one of the first 100 are looked at.
+    """
+    carry = _carry(bucket_runs(inserts) if buckets is None else buckets)
+    near = carry.filter((F.col("singles_before") < SAMPLE_ROWS) & (F.col("n_single") > 0)).select("file", "bucket", "singles_before")
+    single = inserts.filter("kind = 'insert_single'").select("file", "bucket", "pos", "vbytes").join(near, ["file", "bucket"])
+    inside = F.row_number().over(Window.partitionBy("file", "bucket").orderBy("pos"))
+    # The limit on the plain row number is applied in every task before the shuffle.
+    head = single.withColumn("at", inside).filter(F.col("at") <= SAMPLE_ROWS)
+    first = head.withColumn("k", F.col("singles_before") + F.col("at")).filter(F.col("k") <= SAMPLE_ROWS)
+    order = Window.partitionBy("file").orderBy("k")
     mean = F.round(F.sum("vbytes").over(order) / F.col("k")).cast("long")
     by_bytes = F.floor(F.lit(options.max_bytes) / (mean + 2))
     size = F.greatest(F.lit(1), F.least(F.lit(options.batch_size), by_bytes)).cast("int")
     return first.select("file", "pos", "k", mean.alias("avg_row_size"), size.alias("size"))
 
 
-def _file_sizes(inserts: DataFrame, options: BatchOptions) -> DataFrame:
-    """Per file: final effective size and whether counting alone decides its batches."""
-    sizes = sample_sizes(inserts, options)
-    final = sizes.groupBy("file").agg(
-        F.max_by("size", "k").alias("eff"), F.max_by("avg_row_size", "k").alias("avg_row_size"),
+def file_sizes(inserts: DataFrame, options: BatchOptions, buckets: DataFrame) -> DataFrame:
+    """One staged row per file: final effective size, and whether counting alone decides its batches."""
+    final = sample_sizes(inserts, options, buckets).groupBy("file").agg(
+        F.max_by("size", "k").alias("eff"), F.max_by("avg_row_size", "k").cast("int").alias("avg_row_size"),
         (F.min("size") == F.max("size")).alias("steady"),
         F.map_from_entries(F.collect_list(F.struct("pos", "size"))).alias("early"),
     )
-    longest = inserts.filter("kind = 'insert_single'").groupBy("file").agg(
-        F.max(F.octet_length("values")).alias("longest"))
+    longest = buckets.groupBy("file").agg(F.max("longest").alias("longest"))
     fits = F.col("eff").cast("long") * (F.col("longest") + 2) <= options.max_bytes
-    return final.join(longest, "file").select(
+    return stage(final.join(longest, "file").select(
         "file", "eff", "avg_row_size", (F.col("steady") & fits).alias("by_count"),
         F.when(~(F.col("steady") & fits), F.col("early")).alias("early"),
-    )
+    ), "file-sizes")
 
 
-def assign_runs(inserts: DataFrame, per_file: DataFrame | None = None) -> DataFrame:
+def assign_runs(inserts: DataFrame, buckets: DataFrame | None = None, per_file: DataFrame | None = None) -> DataFrame:
     """Add ``row_no`` (dense along the file) and ``run_start``: the row number at which the
     stretch of single-row INSERTs with one prefix began (null for other statements).
 
-    The rows are shuffled once, by bucket; ``per_file`` columns ride on the bucket rows.
+    The rows are shuffled once, by bucket; what they need from elsewhere, ``per_file``
+    columns included, is joined from one row per bucket. Each row keeps either its values
+    or its text.
     """
-    df = number_rows(_with_bytes(inserts))
-    inside = Window.partitionBy("file", "bucket").orderBy("pos")
-    before = F.lag("_key").over(inside)
-    starts = F.col("_key").isNotNull() & (~before.eqNullSafe(F.col("_key")))
-    df = df.withColumn("_start", F.when(starts, F.col("row_no"))).withColumn("_at", F.row_number().over(inside))
-
-    ends = df.groupBy("file", "bucket").agg(
-        F.min_by("_key", "pos").alias("_first_key"), F.max_by("_key", "pos").alias("_last_key"),
-        F.min("row_no").alias("_first_row"), F.max(F.when(F.col("_at") > 1, F.col("_start"))).alias("_later"),
-    )
-    along = Window.partitionBy("file").orderBy("bucket")
-    joins_on = F.lag("_last_key").over(along).eqNullSafe(F.col("_first_key"))
-    ends = ends.withColumn("_continues", F.col("_first_key").isNotNull() & F.coalesce(joins_on, F.lit(False)))
-    opening = F.when(F.col("_first_key").isNotNull() & ~F.col("_continues"), F.col("_first_row"))
-    ends = ends.withColumn("_latest", F.coalesce("_later", opening))
-    carried = F.last("_latest", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    carry = ends.select("file", "bucket", "_continues", carried.alias("_carried"))
+    buckets = bucket_runs(inserts) if buckets is None else buckets
+    carry = _carry(buckets).select("file", "bucket", "base", "continues", "carried")
     if per_file is not None:
-        carry = carry.join(per_file, "file", "left")
-
-    df = df.join(carry, ["file", "bucket"])
-    start = F.when((F.col("_at") == 1) & F.col("_continues"), F.col("_carried")).otherwise(F.col("_start"))
+        carry = carry.join(per_file.drop("avg_row_size"), "file", "left")
+    if buckets.count() <= BROADCAST_BLOCKS:
+        carry = F.broadcast(carry)
+    single = F.col("kind") == "insert_single"
+    df = inserts.withColumns({
+        "_key": _key(), "vbytes": F.when(single, F.col("vbytes")),
+        "values": F.when(single, F.col("values")), "text": F.when(~single, F.col("text")),
+    }).join(carry, ["file", "bucket"])
+    inside = Window.partitionBy("file", "bucket").orderBy("pos")
+    df = df.withColumns({"_at": F.row_number().over(inside), "_before": F.lag("_key").over(inside)})
+    df = df.withColumn("row_no", F.col("base") + F.col("_at"))
+    first = F.when(F.col("continues"), F.col("carried")).otherwise(F.col("row_no"))
+    start = F.when(F.col("_at") == 1, first).when(~F.col("_before").eqNullSafe(F.col("_key")), F.col("row_no"))
+    start = F.when(F.col("_key").isNotNull(), start)
     run = F.last(start, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("run_start", F.when(F.col("_key").isNotNull(), run)).drop(
-        "_start", "_at", "_continues", "_carried", "_key"
-    )
+        "_key", "_at", "_before", "base", "continues", "carried")
 
 
 def _walk_to(size: np.ndarray, vbytes: np.ndarray, steady_size: int, max_bytes: int) -> np.ndarray:
@@ -201,17 +234,19 @@ def _byte_capped(rows: DataFrame, options: BatchOptions) -> DataFrame:
     return again.applyInPandas(starts, _STARTS)
 
 
-def assign_batches(inserts: DataFrame, options: BatchOptions = BatchOptions()) -> DataFrame:
+def assign_batches(inserts: DataFrame, options: BatchOptions = BatchOptions(), buckets: DataFrame | None = None,
+                   per_file: DataFrame | None = None) -> DataFrame:
     """Add ``batch_start``: the row number of the first statement of each row's output."""
     if options.batch_size <= 0:
         plain = inserts.withColumn("kind", F.lit("other"))
         return assign_runs(plain).withColumn("batch_start", F.col("row_no"))
-    per_file = _file_sizes(inserts, options)
-    df = assign_runs(inserts, per_file)
+    buckets = bucket_runs(inserts) if buckets is None else buckets
+    per_file = file_sizes(inserts, options, buckets) if per_file is None else per_file
+    df = assign_runs(inserts, buckets, per_file)
     by_count = F.col("run_start") + F.floor((F.col("row_no") - F.col("run_start")) / F.col("eff")) * F.col("eff")
     df = df.withColumn("batch_start", F.when(F.col("run_start").isNull(), F.col("row_no")).when(F.col("by_count"), by_count))
     if per_file.filter("not by_count").isEmpty():
-        return df.drop("eff", "avg_row_size", "by_count", "early")
+        return df.drop("eff", "by_count", "early")
     tight = df.filter("run_start is not null and not by_count").drop("text", "values", "prefix")
     runs = tight.groupBy("file", "run_start").agg(
         F.count("*").alias("_n"), F.sum(F.col("vbytes") + 2).alias("_bytes"),
@@ -222,7 +257,7 @@ def assign_batches(inserts: DataFrame, options: BatchOptions = BatchOptions()) -
     walked = _byte_capped(long, options)
     merged = df.join(walked.withColumnRenamed("batch_start", "_walked"), ["file", "row_no"], "left")
     return merged.withColumn("batch_start", F.coalesce("batch_start", "_walked", "run_start")).drop(
-        "_walked", "eff", "avg_row_size", "by_count", "early"
+        "_walked", "eff", "by_count", "early"
     )
 
 
@@ -237,14 +272,14 @@ def gather(batched: DataFrame) -> DataFrame:
     grouped = batched.groupBy("file", "batch_start").agg(
         F.min("pos").alias("pos"), F.min("bucket").alias("bucket"), F.first("table").alias("table"),
         F.first("prefix").alias("prefix"), F.first("kind").alias("kind"),
-        F.count("*").alias("n_rows"), joined.alias("_joined"),
+        F.count("*").alias("n_rows"), F.sum("vbytes").alias("value_bytes"), joined.alias("_joined"),
         F.first(F.when(~single, F.col("text"))).alias("_text"),
     )
     is_batch = F.col("_text").isNull()
     text = F.when(is_batch, F.concat("prefix", F.lit(" "), "_joined", F.lit(";"))).otherwise(F.col("_text"))
     return grouped.select(
         "file", "batch_start", "pos", "bucket", "table", F.when(is_batch, F.col("prefix")).alias("prefix"), "kind",
-        F.when(is_batch, F.col("n_rows")).alias("n_rows"), is_batch.alias("is_batch"),
+        F.when(is_batch, F.col("n_rows")).alias("n_rows"), is_batch.alias("is_batch"), "value_bytes",
         text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"),
     )
 
@@ -255,17 +290,17 @@ def commit_groups(output: DataFrame, every: int = 1) -> DataFrame:
     return numbered.withColumn("commit_group", F.floor((F.col("out_id") - 1) / every))
 
 
-def batch_stats(inserts: DataFrame, batched: DataFrame, options: BatchOptions = BatchOptions()) -> DataFrame:
-    """Per file: rows and statements before and after, ratio, efficiency, mean row size."""
-    single = F.col("run_start").isNotNull()
-    opens = single & (F.col("row_no") == F.col("batch_start"))
-    counts = batched.groupBy("file").agg(
-        F.count_if(single).alias("rows_batched"), F.count_if(opens).alias("queries_executed"),
-        F.coalesce(F.sum(F.when(single, F.col("vbytes"))), F.lit(0)).cast("long").alias("bytes_processed"),
+def batch_stats(output: DataFrame, per_file: DataFrame, options: BatchOptions = BatchOptions()) -> DataFrame:
+    """Per file: rows and statements before and after, ratio, efficiency, mean row size.
+
+    ``per_file`` comes from ``file_sizes``.
+    """
+    counts = output.groupBy("file").agg(
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows_batched"), F.count_if("is_batch").alias("queries_executed"),
+        F.coalesce(F.sum("value_bytes"), F.lit(0)).alias("bytes_processed"),
         F.count_if(F.col("kind") == "insert_extended").alias("extended_insert_count"),
     )
-    sizes = sample_sizes(inserts, options).groupBy("file").agg(
-        F.max_by("avg_row_size", "k").cast("int").alias("avg_row_size"), F.max_by("size", "k").alias("eff"))
+    sizes = per_file.select("file", "avg_row_size", "eff")
     rows, queries = F.col("rows_batched"), F.col("queries_executed")
     ratio = F.when(queries > 0, F.round(rows / queries, 1)).otherwise(0.0)
     gain = F.when(rows > 0, F.round(F.least(F.lit(0.99), 1 - queries / rows), 3)).otherwise(0.0)

@@ -5,44 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import count_of, ltrim, rtrim, trim
+from ..functions.text import count_of, rtrim, trim
 
-# Characters cut from the end of a values text, and the table-name form.
+# Characters cut from the end of a values text.
 VALUES_TAIL = " \t\n\r;"
-TABLE_NAME = r"^(`?\w++`?(?:\.`?\w++`?)?)"
 
+# The table is the first word after INTO, else after IGNORE, else after INSERT, each at its
+# first occurrence in the prefix. The usual form is tried first.
+_NAME = r"(`?\w++`?(?:\.`?\w++`?)?)"
+USUAL = rf"(?i)^INSERT\s++(?:IGNORE\s++)?INTO[ \t\n\r\x00\x0B]*+{_NAME}"
+_LEAD = (
+    r"(?:(?=.*INTO)(?>.*?INTO)|(?!.*INTO)(?:(?=.*IGNORE)(?>.*?IGNORE)|(?!.*IGNORE)INSERT))"
+)
+TABLE = rf"(?is)^{_LEAD}[ \t\n\r\x00\x0B]*+{_NAME}"
 
-def _after_keyword(prefix: Column) -> Column:
-    """What follows INTO, else IGNORE, else INSERT, at its first occurrence."""
-    into, ignore = r"(?is)^(?>.*?INTO)", r"(?is)^(?>.*?IGNORE)"
-    rest = F.when(prefix.rlike(into), F.regexp_replace(prefix, into, "")).when(
-        prefix.rlike(ignore), F.regexp_replace(prefix, ignore, "")
-    ).otherwise(F.substring(prefix, F.lit(7), F.length(prefix)))
-    return ltrim(rest)
+
+def _holds(text: Column, upper: Column, word: str) -> Column:
+    """Whether ``word`` occurs in any case; the upper-cased text rules most rows out."""
+    return upper.contains(word) & text.rlike(f"(?i){word}")
 
 
 def with_insert_columns(df: DataFrame) -> DataFrame:
-    """Add kind, table, prefix, values_at, n_sets and is_ignore to rows with a trimmed ``text``.
+    """Add kind, table, prefix, values_at, n_sets, vbytes and is_ignore to rows with a trimmed ``text``.
 
     kind: 'insert_single' (can be batched), 'insert_extended' (two or more value sets by
     ``),(``) or 'other'. INSERT with ON DUPLICATE or SELECT counts as other. ``values_at``
-    is where the values start, so that the text is stored once.
+    is where the values start, so that the text is stored once; ``vbytes`` is their length.
     """
     kept, q = df.columns, F.col("text")
-    simple = q.rlike("(?i)^INSERT") & ~q.rlike("(?i)ON DUPLICATE") & ~q.rlike("(?i) SELECT ")
+    up = F.upper(q)
+    simple = q.rlike("(?i)^INSERT") & ~_holds(q, up, "ON DUPLICATE") & ~_holds(q, up, " SELECT ")
     df = df.withColumn("_head", F.when(simple, F.regexp_extract(q, r"(?is)^(?>.*?VALUES)", 0)))
     head = F.col("_head")
     df = df.withColumn("_at", F.when(head != "", _locate_from(q, F.length(head) + 1)))
     df = df.withColumn("_values", values_from(q, F.col("_at"))).withColumn(
         "_prefix", F.concat(rtrim(F.substring(head, F.lit(1), F.length(head) - 6)), F.lit(" VALUES")))
-    df = df.withColumn("_table", F.regexp_extract(_after_keyword(F.col("_prefix")), TABLE_NAME, 1))
+    df = df.withColumn("_usual", F.regexp_extract("_prefix", USUAL, 1))
+    df = df.withColumn("_table", F.when(F.col("_usual") != "", F.col("_usual")).otherwise(F.regexp_extract("_prefix", TABLE, 1)))
     df = df.withColumn("_ok", F.col("_values").endswith(")") & (F.col("_table") != ""))
-    ok, sets = F.col("_ok"), count_of(F.col("_values"), "),(") + 1
+    values = F.col("_values")
+    ok, sets = F.col("_ok"), F.when(values.contains("),("), count_of(values, "),(") + 1).otherwise(1)
     df = df.withColumn("n_sets", F.when(ok, sets))
     kind = F.when(F.col("n_sets") == 1, "insert_single").when(ok, "insert_extended").otherwise("other")
     return df.select(
         *kept, kind.alias("kind"), F.when(ok, F.lower("_table")).alias("table"),
         F.when(ok, F.col("_prefix")).alias("prefix"), F.when(ok, F.col("_at")).alias("values_at"), "n_sets",
+        F.when(ok, F.octet_length("_values")).alias("vbytes"),
         F.when(ok, F.col("_prefix").rlike(r"(?i)^INSERT\s+IGNORE\b")).alias("is_ignore"),
     )
 

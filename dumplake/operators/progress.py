@@ -1,23 +1,23 @@
 """Progress, speed and adaptation signals over a log of load slices.
 
 A log row is (import_id, run_id, seq, ts, file_size, lines, queries, bytes, memory_pct,
-finished, is_gzip). Windows run per import; an import has one row per slice.
+finished, is_gzip), with an integer ``seq`` that is unique within an import. An import may
+be most of the log, so windows run in stretches of it (see ``windows``), and what is one
+value per import or run is aggregated and joined.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .windows import along, running_max
+
 # Samples kept, and the thresholds of the signals.
 HISTORY = 5
 FREEZE_PCT = 5.0
 
 
-def _by(*extra: str) -> Window:
-    return Window.partitionBy("import_id", *extra).orderBy("seq")
-
-
 def _pct(part: Column, whole: Column) -> Column:
     """Percent to two digits, rounded on the exact quotient: 0.56895 gives 56.9, not 56.89."""
     return F.least(F.lit(100.0), F.round(part * 10000 / whole) / 100)
@@ -29,8 +29,6 @@ def progress(log: DataFrame) -> DataFrame:
     Totals are estimated from the bytes per line so far and frozen at the first row with
     5 % done; a finished row has exact totals; a gzip file has no sizes.
     """
-    run = _by("run_id")
-    so_far = _by().rowsBetween(Window.unboundedPreceding, 0)
     size, bytes_, lines, queries = F.col("file_size"), F.col("bytes"), F.col("lines"), F.col("queries")
     sized = ~F.col("is_gzip") & (size > 0)
     guess = sized & (bytes_ > 0) & ~F.col("finished")
@@ -38,17 +36,17 @@ def progress(log: DataFrame) -> DataFrame:
     query_est = F.when(guess & (queries > 0), F.ceil(size / (bytes_ / queries))).cast("long")
     freezing = guess & (bytes_ / size * 100 >= FREEZE_PCT)
 
-    def frozen(est: Column) -> Column:
-        held = F.first(F.when(freezing, F.struct(est.alias("v"))), ignorenulls=True).over(so_far)
-        return held["v"]
-
-    df = log.select(
+    rows = log.withColumns({"_sized": sized, "_le": line_est, "_qe": query_est})
+    frozen = rows.filter(freezing).groupBy("import_id").agg(
+        F.min("seq").alias("_since"), F.min_by("_le", "seq").alias("_lf"), F.min_by("_qe", "seq").alias("_qf"))
+    starts = log.groupBy("import_id", "run_id").agg(
+        *[F.min_by(c, "seq").alias(f"_{c}_0") for c in ("lines", "queries", "bytes")])
+    rows = rows.join(starts, ["import_id", "run_id"]).join(frozen, "import_id", "left")
+    held = F.col("_since") <= F.col("seq")
+    df = rows.select(
         "import_id", "run_id", "seq", "finished", "is_gzip", "file_size", "lines", "queries", "bytes",
-        F.coalesce(lines - F.first("lines").over(run), F.lit(0)).alias("lines_this"),
-        F.coalesce(queries - F.first("queries").over(run), F.lit(0)).alias("queries_this"),
-        F.coalesce(bytes_ - F.first("bytes").over(run), F.lit(0)).alias("bytes_this"),
-        line_est.alias("_le"), query_est.alias("_qe"), frozen(line_est).alias("_lf"), frozen(query_est).alias("_qf"),
-        sized.alias("_sized"),
+        *[(F.col(c) - F.col(f"_{c}_0")).alias(f"{c}_this") for c in ("lines", "queries", "bytes")],
+        "_sized", "_le", "_qe", F.when(held, F.col("_lf")).alias("_lf"), F.when(held, F.col("_qf")).alias("_qf"),
     )
     done = F.col("finished")
     lines_total = F.when(done, lines).when(F.col("_le").isNotNull(), F.coalesce("_lf", "_le"))
@@ -85,31 +83,32 @@ def _seconds(ts: Column) -> Column:
 
 def with_speed(log: DataFrame) -> DataFrame:
     """Lines per second of each slice, and over the whole import so far; 0 without time."""
-    order = _by()
-    lines, time = F.col("lines"), _seconds(F.col("ts"))
-    d_lines = lines - F.lag("lines").over(order)
-    d_time = time - F.lag(time).over(order)
-    all_lines = lines - F.first("lines").over(order)
-    all_time = time - F.first(time).over(order)
-    return log.withColumns({
-        "speed_lps": F.when(d_time > 0, d_lines / d_time).otherwise(0.0),
-        "speed_overall": F.when(all_time > 0, all_lines / all_time).otherwise(0.0),
-    })
+    log = log.withColumn("_time", _seconds(F.col("ts")))
+    starts = log.groupBy("import_id").agg(F.min_by("lines", "seq").alias("_l0"), F.min_by("_time", "seq").alias("_t0"))
+    timed = along(log, "import_id", "seq", 1, lambda w: {
+        "_dl": F.col("lines") - F.lag("lines").over(w), "_dt": F.col("_time") - F.lag("_time").over(w)})
+    all_time = F.col("_time") - F.col("_t0")
+    return timed.join(starts, "import_id").withColumns({
+        "speed_lps": F.when(F.col("_dt") > 0, F.col("_dl") / F.col("_dt")).otherwise(0.0),
+        "speed_overall": F.when(all_time > 0, (F.col("lines") - F.col("_l0")) / all_time).otherwise(0.0),
+    }).drop("_time", "_l0", "_t0", "_dl", "_dt")
 
 
 def adaptation(samples: DataFrame, speed: str = "speed_lps", memory: str = "memory_pct") -> DataFrame:
     """Rolling speed statistics of the last five samples, the signal they give, and the trend."""
-    order = _by()
-    frame = order.rowsBetween(-(HISTORY - 1), 0)
     s = F.col(speed)
-    n = F.count(s).over(frame)
-    first, second = F.first(s).over(frame), F.nth_value(s, 2).over(frame)
-    mean, var, mem = F.avg(s).over(frame), F.var_samp(s).over(frame), F.avg(memory).over(frame)
-    df = samples.withColumns({
-        "n_samples": n, "avg_speed": mean, "avg_memory": mem,
-        "speed_variance": F.when(n >= 2, var).otherwise(0.0),
-        "_recent": (s + F.lag(s, 1).over(order)) / 2, "_earlier": (first + second) / 2,
-    })
+
+    def rolling(order):
+        frame = order.rowsBetween(-(HISTORY - 1), 0)
+        n = F.count(s).over(frame)
+        first, second = F.first(s).over(frame), F.nth_value(s, 2).over(frame)
+        return {
+            "n_samples": n, "avg_speed": F.avg(s).over(frame), "avg_memory": F.avg(memory).over(frame),
+            "speed_variance": F.when(n >= 2, F.var_samp(s).over(frame)).otherwise(0.0),
+            "_recent": (s + F.lag(s, 1).over(order)) / 2, "_earlier": (first + second) / 2,
+        }
+
+    df = along(samples, "import_id", "seq", HISTORY - 1, rolling)
     n, mean, mem = F.col("n_samples"), F.col("avg_speed"), F.col("avg_memory")
     rising = (mem < 30) & (F.col("speed_variance") < 0.1 * mean * mean)
     slower = (n >= 4) & (F.col("_earlier") > 0) & (F.col("_recent") < F.col("_earlier") * 0.7)
@@ -129,21 +128,22 @@ def adaptation(samples: DataFrame, speed: str = "speed_lps", memory: str = "memo
 
 
 def eta(progress_rows: DataFrame, elapsed: str = "elapsed", pct: str = "pct_done") -> DataFrame:
-    """Seconds left at the mean rate so far, averaged over the last five estimates."""
+    """Seconds left at the mean rate so far, averaged over the last five estimates.
+
+    Rows without an estimate (nothing done yet, or no sizes) have none and add none.
+    """
     p, t = F.col(pct), F.col(elapsed)
-    now = F.when((p > 0) & (t > 0), (100 - p) / (p / t))
-    usable = progress_rows.withColumn("eta_now", now)
-    known = F.count("eta_now").over(_by().rowsBetween(Window.unboundedPreceding, 0))
-    # Rows without an estimate add nothing, so the last five estimates are found by rank.
-    ranked = usable.withColumn("_rank", known)
-    mean = F.avg("eta_now").over(Window.partitionBy("import_id").orderBy("_rank").rangeBetween(-(HISTORY - 1), 0))
-    return ranked.withColumn("eta_seconds", F.when(F.col("_rank") > 0, mean)).drop("_rank")
+    known = (p > 0) & (t > 0)
+    usable = progress_rows.filter(known).withColumn("eta_now", (100 - p) / (p / t))
+    smooth = along(usable, "import_id", "seq", HISTORY - 1, lambda w: {
+        "eta_seconds": F.avg("eta_now").over(w.rowsBetween(-(HISTORY - 1), 0))})
+    rest = progress_rows.filter(~F.coalesce(known, F.lit(False)))
+    return smooth.unionByName(rest, allowMissingColumns=True)
 
 
 def monotone(df: DataFrame, *columns: str) -> DataFrame:
     """Shown values: never below an earlier value of the same import."""
-    so_far = _by().rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({f"shown_{c}": F.max(F.coalesce(F.col(c), F.lit(0))).over(so_far) for c in columns})
+    return running_max(df, "import_id", "seq", {f"shown_{c}": F.coalesce(F.col(c), F.lit(0)) for c in columns})
 
 
 def memory_pressure(usage: Column, limit: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TAIL_KEYWORDS, TRIM, classify_line, trim
 from ..session import stage
+from ..sources.lines import BROADCAST_BLOCKS
 from .inserts import with_insert_columns
 from .scan import Scan, ScanOptions, scan
 
@@ -63,6 +64,7 @@ def _finished(pieces: DataFrame) -> DataFrame:
     clean = pieces.withColumn("text", _without_delimiter(F.col("text"), F.col("delimiter"))).withColumns({
         "n_bytes": F.octet_length("text").cast("long"),
         "keyword": F.upper(F.regexp_extract("text", r"^([A-Za-z]*+)", 1)),
+        "blank": F.col("text").isin("", "0"),
     })
     return with_insert_columns(clean)
 
@@ -142,15 +144,16 @@ def split_statements(
     whole = whole.withColumn("error", _guard(max_lines, max_bytes))
     if options.dialect == "cli":
         over = whole.filter("error is not null")
-        raw = over.select(*_RAW, "text")
-        resumed = raw.mapInPandas(_resume(options, max_lines, max_bytes), raw.schema)
-        whole = whole.unionByName(_finished(resumed).withColumn("error", F.lit(None).cast("string")))
-    statements = whole.select(
+        if not over.isEmpty():
+            raw = over.select(*_RAW, "text")
+            resumed = _finished(raw.mapInPandas(_resume(options, max_lines, max_bytes), raw.schema))
+            whole = whole.unionByName(stage(resumed, "resumed").withColumn("error", F.lit(None).cast("string")))
+    statements = whole.filter("error is not null or not blank").select(
         "file", "bucket", F.col("first_line").alias("pos"), "first_line", "last_line",
         F.col("n_lines").cast("int").alias("n_lines"), "text", "n_bytes", "keyword",
         (~F.col("closed")).alias("is_tail"), "error",
-        "kind", "table", "prefix", "values_at", "n_sets", "is_ignore",
-    ).filter("error is not null or text not in ('', '0')")
+        "kind", "table", "prefix", "values_at", "n_sets", "vbytes", "is_ignore",
+    )
     return Split(statements, scanned.files(), scanned)
 
 
@@ -162,10 +165,15 @@ def accepted(statements: DataFrame, dialect: str = "import") -> DataFrame:
     """
     if dialect == "cli":
         return statements.filter("error is null").drop("error")
-    stops = statements.filter("error is not null").groupBy("file").agg(F.min("pos").alias("stop"))
     starts = rf"(?i)^(?:{'|'.join(TAIL_KEYWORDS)}|/\*|--)"
-    kept = statements.filter(~F.col("is_tail") | F.col("text").rlike(starts))
-    return kept.join(stops, "file", "left").filter("stop is null or pos < stop").drop("stop", "error")
+    kept = statements.filter(~F.col("is_tail") | F.col("text").rlike(starts)).drop("error")
+    failed = statements.filter("error is not null")
+    if failed.isEmpty():
+        return kept
+    stops = stage(failed.groupBy("file").agg(F.min("pos").alias("stop")), "stops")
+    if stops.count() <= BROADCAST_BLOCKS:
+        stops = F.broadcast(stops)
+    return kept.join(stops, "file", "left").filter("stop is null or pos < stop").drop("stop")
 
 
 def quality(split: Split) -> DataFrame:
@@ -183,17 +191,3 @@ def quality(split: Split) -> DataFrame:
         F.coalesce("n_errors", F.lit(0)).alias("n_errors"),
         F.coalesce("has_tail", F.lit(False)).alias("has_tail"), "end_state", message.alias("problem"),
     )
-
-
-def number_rows(df: DataFrame, block: str = "bucket", order: str = "pos", name: str = "row_no") -> DataFrame:
-    """Dense numbers along each file, from counts per bucket and numbers inside buckets.
-
-    The only window along a whole file runs over one row per bucket.
-    """
-    along = Window.partitionBy("file").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    counts = df.groupBy("file", block).agg(F.count("*").alias("_n"))
-    base = counts.select("file", block, F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(Window.partitionBy("file", block).orderBy(order))
-    return df.withColumn("_in", inside).join(base, ["file", block]).withColumn(
-        name, F.col("_base") + F.col("_in")
-    ).drop("_in", "_base")

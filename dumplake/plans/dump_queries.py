@@ -332,7 +332,7 @@ FROM c
 """)
 def batch_statistics(spark: SparkSession, sf: str) -> DataFrame:
     done = optimise(_event_statements(spark, sf), BatchOptions(3))
-    return batch_stats(done.inserts, done.batched, done.options)
+    return batch_stats(done.output, done.per_file, done.options)
 
 
 @query(_EVENT_RUNS + """,

@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.batches import BatchOptions, assign_batches, batch_stats, gather
+from ..operators.batches import BatchOptions, assign_batches, batch_stats, bucket_runs, file_sizes, gather
 from ..operators.csvrows import CsvOptions, csv_inserts, csv_records, csv_rows
-from ..operators.inserts import analyse_inserts, statement_counts
+from ..operators.inserts import analyse_inserts, statement_counts, with_insert_columns
 from ..operators.load import first_per_key, load_rows, table_schema
 from ..operators.scan import ScanOptions
 from ..operators.statements import Split, accepted, split_statements
@@ -24,7 +24,7 @@ class Optimised:
 
     output: DataFrame
     batched: DataFrame
-    inserts: DataFrame
+    per_file: DataFrame
     split: Split | None
     options: BatchOptions
 
@@ -34,7 +34,7 @@ class Optimised:
             F.count("*").alias("queries_written"),
             F.sum(F.col("n_bytes") + F.when(F.col("text").endswith(";"), 1).otherwise(2)).alias("output_size"),
         )
-        stats = batch_stats(self.inserts, self.batched, self.options).select(
+        stats = batch_stats(self.output, self.per_file, self.options).select(
             "file", F.col("rows_batched").alias("inserts_batched"),
             F.col("queries_executed").alias("batched_queries_executed"), "reduction_ratio", "extended_insert_count",
         )
@@ -45,9 +45,13 @@ class Optimised:
 
 
 def batch_statements(statements: DataFrame, options: BatchOptions = BatchOptions(), split: Split | None = None) -> Optimised:
+    if "values_at" not in statements.columns:
+        statements = stage(with_insert_columns(statements), "inserts")
     inserts = analyse_inserts(statements)
-    batched = assign_batches(inserts, options)
-    return Optimised(gather(batched), batched, inserts, split, options)
+    buckets = bucket_runs(inserts)
+    per_file = file_sizes(inserts, options, buckets)
+    batched = assign_batches(inserts, options, buckets, per_file)
+    return Optimised(gather(batched), batched, per_file, split, options)
 
 
 def optimise(lines: DataFrame, options: BatchOptions = BatchOptions(), scan_options: ScanOptions = ScanOptions("cli")) -> Optimised:
@@ -62,7 +66,7 @@ def optimise_files(spark: SparkSession, source: str, target: str, preset: str =
     done = optimise(read_lines(spark, source, charset), BatchOptions.preset(preset))
     output = stage(done.output, "optimised")
     write_dump(output, target, compression, force, safe_delimiters)
-    return Optimised(output, done.batched, done.inserts, done.split, done.options).statistics()
+    return Optimised(output, done.batched, done.per_file, done.split, done.options).statistics()
 
 
 def load_table(split: Split, table: str, dialect: str = "import") -> DataFrame:
