@@ -151,7 +151,7 @@ def _walk_to(size: np.ndarray, vbytes: np.ndarray, steady_size: int, max_bytes:
         for i in range(min(n, int(unsteady[-1]) + 1)):
             ahead = np.arange(i + 1, min(n, i + int(size.max()) + 1))
             hit = np.flatnonzero(ahead - i >= size[ahead])
-            by_count[i] = ahead[hit[0]] if len(hit) else min(n, i + steady_size)
+            by_count[i] = ahead[hit[0]] if len(hit) else n
     return np.minimum(by_bytes, by_count)
 
 

@@ -22,6 +22,10 @@ from ..functions.text import TRIM, classify_line, default_markers, line_columns,
 from ..session import stage
 from ..sources.lines import BROADCAST_BLOCKS, BUCKET_LINES, bom_bytes
 
+# An open statement is handed on in parts of about this size, so that a string that is
+# never closed does not gather in one task's memory.
+PART_BYTES = 16 << 20
+
 # EXIT[s][code] is the state after a line with that code when the state before it is s.
 _CODES = np.arange(27)
 EXIT = np.stack([_CODES // 9, _CODES // 3 % 3, _CODES % 3]).astype(np.int8)
@@ -253,7 +257,8 @@ _PIECES_ARROW = pa.schema([
 
 
 def _cut(options: ScanOptions):
-    """Join the kept lines of each block to pieces; ``border`` marks those that may meet others."""
+    """Join the kept lines of each block to pieces; ``border`` marks those that may meet others:
+    the first of a block, those left open, and those that follow an open one."""
 
     def run(batches):
         cut, open_piece, untouched = _Cutter(options), None, True
@@ -317,6 +322,9 @@ def _cut(options: ScanOptions):
                     open_piece["n_lines"] += len(kept) - lo
                     open_piece["n_counted"] += int(counted[lo:].sum())
                     open_piece["raw_bytes"] += int(size[lo:].sum())
+                    if open_piece["raw_bytes"] > PART_BYTES:
+                        yield rest()
+                        open_piece, untouched = None, True
         if open_piece is not None:
             yield rest()
 

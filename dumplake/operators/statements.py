@@ -28,23 +28,30 @@ class Split:
     scan: Scan
 
 
-def _joined_borders(borders: DataFrame) -> DataFrame:
-    """Pieces at block borders, joined where a statement runs on into the next block.
+def _grouped_borders(borders: DataFrame, max_bytes: int) -> DataFrame:
+    """Border pieces with the number of their statement and whether it is within the byte guard.
 
-    There are at most two such pieces per block. The window that finds which belong
-    together runs over their keys only; the texts meet grouped by statement.
+    There are a few such pieces per block. The window that finds which belong together runs
+    over their keys only.
     """
     order = Window.partitionBy("file").orderBy("first_line")
     before = F.sum(F.col("closed").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    keys = borders.select("file", "first_line", F.coalesce(before, F.lit(0)).alias("grp"))
-    parts = F.array_sort(F.collect_list(F.struct("first_line", "text")))
+    keys = borders.select("file", "first_line", "raw_bytes", F.coalesce(before, F.lit(0)).alias("grp"))
+    fits = keys.groupBy("file", "grp").agg((F.sum("raw_bytes") <= max_bytes).alias("fits"))
+    return borders.join(keys.drop("raw_bytes").join(fits, ["file", "grp"]), ["file", "first_line"])
+
+
+def _joined_borders(grouped: DataFrame) -> DataFrame:
+    """Statements from border pieces; a group over the byte guard is summed up without its text."""
+    part = F.when(F.col("fits"), F.struct("first_line", "text"))
+    parts = F.array_sort(F.collect_list(part))
     return (
-        borders.join(keys, ["file", "first_line"]).groupBy("file", "grp").agg(
-            F.min("bucket").alias("bucket"), F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"),
+        grouped.groupBy("file", "grp").agg(
+            F.min("bucket").alias("bucket"), F.min("first_line").alias("_first"), F.max("last_line").alias("last_line"),
             F.sum("n_lines").alias("n_lines"), F.sum("n_counted").alias("n_counted"), F.sum("raw_bytes").alias("raw_bytes"),
             F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"),
             F.max_by("delimiter", "last_line").alias("delimiter"), F.max("closed").alias("closed"),
-        ).drop("grp")
+        ).drop("grp").withColumnRenamed("_first", "first_line")
     )
 
 
@@ -78,48 +85,62 @@ def _guard(max_lines: int, max_bytes: int) -> Column:
 
 
 def _resume(options: ScanOptions, max_lines: int, max_bytes: int):
-    """What the cli dialect still yields of a statement that trips a guard and goes on after it.
+    """What the cli dialect still yields of statements that trip a guard and goes on after it.
 
-    Only rows over a guard come here. Reading resumes outside strings on the next line; if
-    the rest then ends inside a string, reading resumes at the end of the statement.
+    Takes the pieces of such statements in order and holds one open statement at most, which
+    the byte guard bounds. Reading resumes outside strings on the next line; if the rest then
+    ends inside a string, reading resumes at the end of the statement.
     """
 
-    def pieces(text: str, delimiter: str, closed: bool):
-        buffer, counted, size, state, start = [], 0, 0, 0, 0
-        for at, line in enumerate(text.split("\n")):
-            exits, dropped, _ = classify_line(line, options.dialect, options.strict_escapes, options.markers)
-            if state == 0 and dropped:
-                continue
-            if size + len(line.encode()) + 1 > max_bytes:
-                buffer, counted, size, state = [], 0, 0, 0
-                continue
-            state = exits[state]
-            start = start if buffer else at
-            buffer.append(line)
-            size += len(line.encode()) + 1
-            counted += state == 0
-            if counted > max_lines:
-                buffer, counted, size = [], 0, 0
-            elif state == 0 and line.rstrip(TRIM).endswith(delimiter):
-                yield start, "\n".join(buffer), True
-                buffer, counted, size = [], 0, 0
-        if buffer and not closed:
-            yield start, "\n".join(buffer), False
-
     def run(frames):
+        key, buffer, counted, size, state, start = None, [], 0, 0, 0, 0
+
+        def row(piece, closed):
+            text = "\n".join(buffer)
+            return {"file": piece["file"], "bucket": piece["bucket"], "first_line": start, "last_line": start + len(buffer) - 1,
+                    "n_lines": len(buffer), "n_counted": 0, "raw_bytes": size, "delimiter": piece["delimiter"],
+                    "closed": closed, "text": text}
+
         for frame in frames:
             out = []
-            for row in frame.to_dict("records"):
-                whole = row["text"] + (row["delimiter"] if row["closed"] else "")
-                for at, text, closed in pieces(whole, row["delimiter"], row["closed"]):
-                    lines = text.count("\n") + 1
-                    out.append({**row, "first_line": row["first_line"] + at, "text": text, "closed": closed,
-                                "n_lines": lines, "n_counted": 0, "raw_bytes": len(text.encode()) + 1})
-            yield pd.DataFrame(out, columns=frame.columns)
+            for piece in frame.to_dict("records"):
+                if (piece["file"], piece["grp"]) != key:
+                    key, buffer, counted, size, state = (piece["file"], piece["grp"]), [], 0, 0, 0
+                lines = piece["text"].split("\n")
+                for at, line in enumerate(lines):
+                    exits, dropped, _ = classify_line(line, options.dialect, options.strict_escapes, options.markers)
+                    if state == 0 and dropped:
+                        continue
+                    if size + len(line.encode()) + 1 > max_bytes:
+                        buffer, counted, size, state = [], 0, 0, 0
+                        continue
+                    state = exits[state]
+                    start = start if buffer else piece["first_line"] + at
+                    buffer.append(line)
+                    size += len(line.encode()) + 1
+                    counted += state == 0
+                    if counted > max_lines:
+                        buffer, counted, size = [], 0, 0
+                    elif state == 0 and line.rstrip(TRIM).endswith(piece["delimiter"]):
+                        out.append(row(piece, True))
+                        buffer, counted, size = [], 0, 0
+                if buffer and not piece["closed"] and piece["at_end"]:
+                    out.append(row(piece, False))
+            yield pd.DataFrame(out, columns=[*_RAW, "text"])
 
     return run
 
 
+def _resumed(over: DataFrame, options: ScanOptions, max_lines: int, max_bytes: int) -> DataFrame:
+    """Apply ``_resume`` to pieces, each statement's in order and in one task."""
+    last = F.max("first_line").over(Window.partitionBy("file", "grp"))
+    keys = over.select("file", "grp", "first_line", (F.col("first_line") == last).alias("at_end"))
+    placed = over.join(keys, ["file", "grp", "first_line"]).repartition("file", "grp")
+    in_order = placed.sortWithinPartitions("file", "grp", "first_line")
+    schema = over.select(*_RAW, "text").schema
+    return in_order.mapInPandas(_resume(options, max_lines, max_bytes), schema)
+
+
 def split_statements(
     lines: DataFrame,
     options: ScanOptions | None = None,
@@ -139,15 +160,21 @@ def split_statements(
     piece = F.when(F.col("border"), F.col("text"))
     pieces = stage(_finished(cut.withColumn("piece", piece)), "pieces", partition_by=("border",))
     borders = pieces.filter("border").select(*_RAW, F.col("piece").alias("text"))
-    joined = stage(_finished(_joined_borders(borders)), "borders")
-    whole = pieces.filter("not border").drop("border", "piece").unionByName(joined)
-    whole = whole.withColumn("error", _guard(max_lines, max_bytes))
-    if options.dialect == "cli":
-        over = whole.filter("error is not null")
-        if not over.isEmpty():
-            raw = over.select(*_RAW, "text")
-            resumed = _finished(raw.mapInPandas(_resume(options, max_lines, max_bytes), raw.schema))
-            whole = whole.unionByName(stage(resumed, "resumed").withColumn("error", F.lit(None).cast("string")))
+    grouped = _grouped_borders(borders, max_bytes)
+    joined = stage(_finished(_joined_borders(grouped)), "borders")
+    inner = pieces.filter("not border").drop("border", "piece")
+    guard = _guard(max_lines, max_bytes)
+    whole = inner.unionByName(joined).withColumn("error", guard)
+    if options.dialect == "cli" and not whole.filter("error is not null").isEmpty():
+        raw = F.when(F.col("closed"), F.concat("text", "delimiter")).otherwise(F.col("text"))
+        alone = inner.filter(guard.isNotNull()).select(*_RAW, raw.alias("text"), F.col("first_line").alias("grp"))
+        failed = joined.filter(guard.isNotNull()).select("file", F.col("first_line").alias("_first"))
+        parts = grouped.select(*_RAW, "text", "grp")
+        firsts = parts.groupBy("file", "grp").agg(F.min("first_line").alias("_first"))
+        chosen = failed.join(firsts, ["file", "_first"]).select("file", "grp")
+        over = alone.unionByName(parts.join(chosen, ["file", "grp"], "left_semi").withColumn("grp", -1 - F.col("grp")))
+        resumed = _finished(_resumed(over, options, max_lines, max_bytes))
+        whole = whole.unionByName(stage(resumed, "resumed").withColumn("error", F.lit(None).cast("string")))
     statements = whole.filter("error is not null or not blank").select(
         "file", "bucket", F.col("first_line").alias("pos"), "first_line", "last_line",
         F.col("n_lines").cast("int").alias("n_lines"), "text", "n_bytes", "keyword",

@@ -128,6 +128,26 @@ def test_byte_guard(spark, dump):
     assert [r.text for r in accepted(got.statements).collect()] == ["SELECT 1"]
 
 
+def test_open_statement_is_handed_on_in_parts(spark, dump, monkeypatch):
+    """An unclosed string neither gathers in one row nor stops the cli dialect."""
+    import dumplake.operators.scan as module
+    text = "SELECT 1;\nSELECT 'a;\n" + "INSERT INTO t VALUES (1, 'x');\n" * 200 + "SELECT 9;\n" * 3
+    path = dump(a__sql=text)
+    monkeypatch.setattr(module, "PART_BYTES", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        _, whole = read(spark, path, max_lines=10**6)
+        _, cut = read(spark, path, ScanOptions("cli"), max_bytes=500)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    statements, tail, _ = split(text)
+    assert [(r.pos, r.text) for r in whole["a.sql"] if not r.is_tail] == statements
+    assert [r.text for r in whole["a.sql"] if r.is_tail] == ([tail] if tail else [])
+    expected, tail, _ = split(text, "cli", max_bytes=500)
+    good = [r.text for r in cut["a.sql"] if r.error is None]
+    assert good == [t for _, t in expected if t is not None] + ([tail] if tail else [])
+
+
 def test_latin1(spark, dump):
     path = dump(a__sql="SELECT 'é';\n".encode("latin1"))
     rows = split_statements(read_lines(spark, path, charset="ISO-8859-1")).statements.collect()
