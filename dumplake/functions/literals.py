@@ -16,6 +16,9 @@ TUPLE = rf"(?s)\(((?:{_PLAIN}|{_SINGLE}|{_DOUBLE}|{_CALL})*+)\)"
 # One item of a comma list: quoted strings, calls and plain text up to the next comma.
 ITEM = rf"(?s)\G(?:^|,)((?:[^'\"(),]++|{_SINGLE}|{_DOUBLE}|{_CALL})*+)"
 
+# Blanks around a literal.
+BLANKS = " \t\n\r\x0b\f"
+
 # Backslash escapes of MySQL string literals.
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "0": "\0", "Z": "\x1a"}
 
@@ -42,14 +45,13 @@ def _unescape_piece(piece: Column, mark: str) -> Column:
 def _unescape(body: Column, mark: str) -> Column:
     """Escapes of a literal body; cutting at double backslashes first keeps pairs apart."""
     pieces = F.transform(F.split(body, r"\\\\", -1), lambda p: _unescape_piece(p, mark))
-    return F.when(
-        body.contains("\\"), F.array_join(pieces, "\\")
-    ).otherwise(F.replace(body, F.lit(mark * 2), F.lit(mark)))
+    return F.when(body.contains("\\"), F.array_join(pieces, "\\")).when(
+        body.contains(mark), F.replace(body, F.lit(mark * 2), F.lit(mark))).otherwise(body)
 
 
 def literal_text(item: Column) -> Column:
     """The text a literal stands for: unquoted strings, NULL and DEFAULT as null, rest as is."""
-    word = F.trim(F.regexp_replace(item, r"^\s++|\s++$", ""))
+    word = F.btrim(item, F.lit(BLANKS))
     body = F.substring(word, F.lit(2), F.length(word) - 2)
     return (
         F.when(word.startswith("'"), _unescape(body, "'"))
@@ -59,3 +61,8 @@ def literal_text(item: Column) -> Column:
         .when(F.upper(word) == "FALSE", "0")
         .otherwise(word)
     )
+
+
+def number_text(item: Column) -> Column:
+    """A number's digits, quoted or not; words such as NULL stay words and do not cast."""
+    return F.btrim(item, F.lit(BLANKS + "'\""))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.literals import ITEM, TUPLE, literal_text
+from ..functions.literals import ITEM, TUPLE, literal_text, number_text
 from ..functions.text import trim
 
 _CREATE = r"(?is)^CREATE\s+(?:TEMPORARY\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?((?:`[^`]+`|\"[^\"]+\"|[\w$]+)(?:\.(?:`[^`]+`|[\w$]+))?)\s*\((.*)\)[^)]*$"
@@ -107,6 +107,14 @@ def _typed(text: Column, kind: T.DataType) -> Column:
     return text.try_cast(kind)
 
 
+def _value(item: Column, kind: T.DataType) -> Column:
+    if not isinstance(kind, T.NumericType):
+        return _typed(literal_text(item), kind)
+    text = number_text(item)
+    word = F.upper(text)
+    return F.coalesce(text.try_cast(kind), F.when(word == "TRUE", F.lit(1)).when(word == "FALSE", F.lit(0)).cast(kind))
+
+
 def load_rows(inserts: DataFrame, table: str, schema: T.StructType, keep: tuple[str, ...] = ()) -> DataFrame:
     """The rows INSERT statements store in ``table``, cast to ``schema``.
 
@@ -119,7 +127,7 @@ def load_rows(inserts: DataFrame, table: str, schema: T.StructType, keep: tuple[
         named = F.array_position("names", field.name.lower()).cast("int")
         index = F.when(F.col("names").isNull(), F.lit(k + 1)).otherwise(named)
         item = F.when(index > 0, F.try_element_at("items", index))
-        out.append(_typed(literal_text(item), field.dataType).alias(field.name))
+        out.append(_value(item, field.dataType).alias(field.name))
     return rows.select(*keep, *out)
 
 

@@ -25,7 +25,7 @@ from ..session import stage, stage_path
 from ..sinks import write_dump
 from ..sources.lines import read_lines
 from ..sources.render import insert_text, statement_lines, table_lines, values_text
-from .pipelines import csv_dump, optimise
+from .jobs import csv_dump, optimise
 from .registry import query, table
 
 # Statements per block of rendered lines, by how long their text is.

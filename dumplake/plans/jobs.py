@@ -13,7 +13,7 @@ from ..operators.inserts import analyse_inserts, statement_counts, with_insert_c
 from ..operators.load import first_per_key, load_rows, table_schema
 from ..operators.scan import ScanOptions
 from ..operators.statements import Split, accepted, split_statements
-from ..sinks import save_table, write_dump
+from ..sinks import check_target, save_table, write_dump
 from ..sources.lines import read_lines
 from ..session import stage
 
@@ -63,6 +63,7 @@ def optimise(lines: DataFrame, options: BatchOptions = BatchOptions(), scan_opti
 def optimise_files(spark: SparkSession, source: str, target: str, preset: str = "conservative", force: bool = False,
                    compression: str = "none", safe_delimiters: bool = False, charset: str | None = None) -> DataFrame:
     """Read dump files, write the optimised dump, return the statistics per file."""
+    check_target(spark, target, force)
     done = optimise(read_lines(spark, source, charset), BatchOptions.preset(preset))
     output = stage(done.output, "optimised")
     write_dump(output, target, compression, force, safe_delimiters)

@@ -9,7 +9,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 _MIN_SPLITS = "spark.sql.files.minPartitionNum"
 
 
@@ -67,8 +67,14 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     repeats the work behind the table.
     """
     spark = df.sparkSession
-    path = os.path.join(_stage_root(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.partitionBy(*partition_by).parquet(path)
+    path = stage_path(spark, name)
+    # With few partitions, open writers side by side instead of sorting every task's rows.
+    before = spark.conf.get(_WRITERS, "0")
+    spark.conf.set(_WRITERS, "4" if partition_by else before)
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(_WRITERS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import trim
@@ -23,6 +23,13 @@ def dump_text(text: Column, safe_delimiters: bool = False) -> Column:
     return F.when(bare.rlike(r";[ \t\r]*\n"), wrapped).otherwise(closed)
 
 
+def check_target(spark: SparkSession, path: str, force: bool) -> None:
+    """Refuse an existing output before any work is done."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not force and target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        raise FileExistsError(f"output {path} already exists; pass force=True to overwrite it")
+
+
 def write_dump(output: DataFrame, path: str, compression: str = "none", force: bool = False,
                safe_delimiters: bool = False, per_file: bool = False) -> None:
     """Write statements in file order as part files whose names keep the order.

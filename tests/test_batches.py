@@ -8,7 +8,7 @@ from dumplake.operators.batches import BatchOptions, assign_batches, batch_stats
 from dumplake.operators.inserts import analyse_inserts
 from dumplake.sources.render import statement_lines
 from dumplake.operators.statements import split_statements
-from dumplake.plans.pipelines import batch_statements
+from dumplake.plans.jobs import batch_statements
 
 
 def statements(spark, texts, bucket_rows=7):

@@ -16,7 +16,7 @@ from dumplake.operators.profile import (
 from dumplake.operators.scan import scan
 from dumplake.operators.sessions import line_sessions
 from dumplake.operators.statements import split_statements
-from dumplake.plans.pipelines import optimise_files
+from dumplake.plans.jobs import optimise_files
 from dumplake.sinks import dump_text, save_table, write_dump
 from dumplake.sources.catalog import clean_name, list_files, new_arrivals
 from dumplake.sources.lines import number_lines, read_lines

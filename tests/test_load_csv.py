@@ -13,7 +13,7 @@ from dumplake.operators.inserts import analyse_inserts
 from dumplake.operators.scan import ScanOptions
 from dumplake.operators.load import load_rows, table_schema
 from dumplake.operators.statements import accepted, split_statements
-from dumplake.plans.pipelines import dry_run, load_table
+from dumplake.plans.jobs import dry_run, load_table
 from dumplake.sources.lines import read_lines
 from dumplake.sources.render import create_table_text, table_lines
 
