@@ -18,6 +18,11 @@ from .scan import Scan, ScanOptions, scan
 MAX_LINES = {"import": 300, "cli": 10_000}
 MAX_BYTES = 10_485_760
 
+# Error messages.
+OVER_BYTES = "Query exceeds maximum memory limit (%d bytes)"
+OVER_LINES = "Query exceeds maximum line count (%d lines)"
+UNCLOSED = "End of file reached with unclosed string. The dump file may be corrupted or truncated."
+
 
 @dataclass(frozen=True)
 class Split:
@@ -78,9 +83,9 @@ def _finished(pieces: DataFrame) -> DataFrame:
 
 def _guard(max_lines: int, max_bytes: int) -> Column:
     return F.when(
-        F.col("raw_bytes") > max_bytes, F.format_string("Query exceeds maximum memory limit (%d bytes)", F.lit(max_bytes))
+        F.col("raw_bytes") > max_bytes, F.format_string(OVER_BYTES, F.lit(max_bytes))
     ).when(
-        F.col("n_counted") > max_lines, F.format_string("Query exceeds maximum line count (%d lines)", F.lit(max_lines))
+        F.col("n_counted") > max_lines, F.format_string(OVER_LINES, F.lit(max_lines))
     )
 
 
@@ -209,10 +214,7 @@ def quality(split: Split) -> DataFrame:
         F.count_if(F.col("error").isNull()).alias("n_statements"),
         F.count("error").alias("n_errors"), F.max("is_tail").alias("has_tail"),
     )
-    message = F.when(
-        F.col("unclosed_string"),
-        F.lit("End of file reached with unclosed string. The dump file may be corrupted or truncated."),
-    )
+    message = F.when(F.col("unclosed_string"), F.lit(UNCLOSED))
     return split.files.join(counts, "file", "left").select(
         "file", "n_lines", F.coalesce("n_statements", F.lit(0)).alias("n_statements"),
         F.coalesce("n_errors", F.lit(0)).alias("n_errors"),

@@ -10,7 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import TRIM, classify_line, without_bom
 from ..operators.scan import ScanOptions
-from ..operators.statements import MAX_BYTES, MAX_LINES, accepted, split_statements
+from ..operators.statements import MAX_BYTES, MAX_LINES, OVER_BYTES, OVER_LINES, accepted, split_statements
 from ..sources.lines import read_lines
 
 CHUNKS = "dump_id string, seq long, is_last boolean, data binary"
@@ -83,21 +83,23 @@ class _Reader:
     def __init__(self, options: ScanOptions, saved: tuple | None, max_lines: int, max_bytes: int):
         self.options, self.max_lines, self.max_bytes = options, max_lines, max_bytes
         start = (0, 0, options.delimiter, b"", "", 0, 0, 0, 0, 0, [], [], [])
-        (self.next_seq, self.quote, self.delimiter, partial, self.pending, self.first_line, self.line_no, self.counted,
+        (self.next_seq, self.quote, self.delimiter, partial, pending, self.first_line, self.line_no, self.counted,
          self.statements, self.bytes, seqs, lasts, data) = saved or start
         self.partial = bytes(partial)
+        self.open_lines = [pending] if pending else []
+        self.open_bytes = len(pending.encode())
         self.held = {s: (last, bytes(d)) for s, last, d in zip(seqs, lasts, data)}
 
     def state(self) -> tuple:
         seqs = sorted(self.held)
-        return (self.next_seq, self.quote, self.delimiter, self.partial, self.pending, self.first_line, self.line_no,
+        return (self.next_seq, self.quote, self.delimiter, self.partial, "".join(self.open_lines), self.first_line, self.line_no,
                 self.counted, self.statements, self.bytes, seqs, [self.held[s][0] for s in seqs], [self.held[s][1] for s in seqs])
 
     def _clear(self) -> None:
-        self.pending, self.first_line, self.counted = "", 0, 0
+        self.open_lines, self.open_bytes, self.first_line, self.counted = [], 0, 0, 0
 
     def _finish(self, tail: bool):
-        text = self.pending.strip(TRIM)
+        text = "".join(self.open_lines).strip(TRIM)
         if text.endswith(self.delimiter):
             text = text[: -len(self.delimiter)].strip(TRIM)
         found = (self.first_line, self.line_no, text, tail, None) if text not in ("", "0") else None
@@ -111,17 +113,19 @@ class _Reader:
         if self.quote == 0 and dropped:
             self.delimiter = directive or self.delimiter
             return None
-        if len(self.pending.encode()) + len(line.encode()) + 1 > self.max_bytes:
+        size = len(line.encode()) + 1
+        if self.open_bytes + size > self.max_bytes:
             self._clear()
             self.quote = 0
-            return (self.line_no, self.line_no, "", False, f"Query exceeds maximum memory limit ({self.max_bytes} bytes)")
+            return (self.line_no, self.line_no, "", False, OVER_BYTES % self.max_bytes)
         self.first_line = self.first_line or self.line_no
         self.quote = exits[self.quote]
-        self.pending += line + "\n"
+        self.open_lines.append(line + "\n")
+        self.open_bytes += size
         self.counted += self.quote == 0
         if self.counted > self.max_lines:
             self._clear()
-            return (self.line_no, self.line_no, "", False, f"Query exceeds maximum line count ({self.max_lines} lines)")
+            return (self.line_no, self.line_no, "", False, OVER_LINES % self.max_lines)
         if self.quote == 0 and line.rstrip(TRIM).endswith(self.delimiter):
             return self._finish(False)
         return None
@@ -144,7 +148,7 @@ class _Reader:
                 if found:
                     self.statements += 1
                     yield here, found
-            if last and self.pending:
+            if last and self.open_lines:
                 found = self._finish(True)
                 if found:
                     yield here, found

@@ -63,6 +63,20 @@ def test_lines_and_blocks_across_many_splits(spark, dump):
     assert by_file["a.sql"][7].first_line == 29 and by_file["a.sql"][7].last_line == 31
 
 
+def test_block_table_joined_by_shuffle(spark, dump, monkeypatch):
+    import dumplake.operators.scan as module
+    text = "".join(f"INSERT INTO t VALUES ({i}, 'a\nb');\n-- x\n" for i in range(300))
+    path = dump(a__sql=text, b__sql=text[7:])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        _, by_hash = read(spark, path)
+        monkeypatch.setattr(module, "BROADCAST_BLOCKS", 0)
+        _, by_merge = read(spark, path)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert by_hash == by_merge and len(by_hash["a.sql"]) == 300
+
+
 def test_compressed_files_read_alike(spark, dump):
     text = "".join(f"INSERT INTO t VALUES ({i}, 'a\nb');\n" for i in range(300))
     path = dump(p__sql=text, g__gz=gzip.compress(text.encode()), b__bz2=bz2.compress(text.encode()))
