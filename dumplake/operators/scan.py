@@ -100,16 +100,14 @@ def _summarise(options: ScanOptions):
         key, lines, exits, delims = None, 0, [0, 1, 2], [None] * 3
 
         def row():
-            return pa.RecordBatch.from_pylist(
-                [{"file": key[0], "block": key[1], "lines": lines, "exits": exits, "delimiters": delims}],
-                schema=_SUMMARY_ARROW,
-            )
+            return {"file": key[0], "block": key[1], "lines": lines, "exits": exits, "delimiters": delims}
 
         for batch in batches:
+            out = []
             for here, part in segments(batch):
                 if here != key:
                     if key is not None:
-                        yield row()
+                        out.append(row())
                     key, lines, exits, delims = here, 0, [0, 1, 2], [None] * 3
                 code, dropped, directives, _ = _line_arrays(part, here[1] == 0 and lines == 0, options)
                 reached = {}
@@ -120,8 +118,10 @@ def _summarise(options: ScanOptions):
                 delims = [reached[e][1] or d for e, d in zip(exits, delims)]
                 exits = [reached[e][0] for e in exits]
                 lines += len(code)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=_SUMMARY_ARROW)
         if key is not None:
-            yield row()
+            yield pa.RecordBatch.from_pylist([row()], schema=_SUMMARY_ARROW)
 
     return run
 
@@ -256,6 +256,11 @@ _PIECES_ARROW = pa.schema([
 ])
 
 
+def _merged(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """Many small batches (one per block) as one."""
+    return pa.Table.from_batches(parts).combine_chunks().to_batches() if len(parts) > 1 else parts
+
+
 def _cut(options: ScanOptions):
     """Join the kept lines of each block to pieces; ``border`` marks those that may meet others:
     the first of a block, those left open, and those that follow an open one."""
@@ -264,17 +269,18 @@ def _cut(options: ScanOptions):
         cut, open_piece, untouched = _Cutter(options), None, True
 
         def rest():
-            return pa.RecordBatch.from_pylist([{
+            return {
                 **open_piece, "text": "\n".join(open_piece["text"]), "file": cut.key[0],
                 "bucket": _bucket(cut, open_piece["first_line"]), "delimiter": cut.delimiter,
                 "closed": False, "border": True,
-            }], schema=_PIECES_ARROW)
+            }
 
         for batch in batches:
+            out, left_open = [], []
             for key, part in segments(batch):
                 if key != cut.key:
                     if open_piece is not None:
-                        yield rest()
+                        left_open.append(rest())
                     cut.enter(key, part)
                     open_piece, untouched = None, True
                 got = cut.advance(part)
@@ -303,14 +309,14 @@ def _cut(options: ScanOptions):
                         open_piece = None
                     border = np.zeros(closed, bool)
                     border[0] = untouched
-                    yield pa.RecordBatch.from_arrays([
+                    out.append(pa.RecordBatch.from_arrays([
                         pa.array([key[0]] * closed, pa.string()),
                         pa.array(_bucket(cut, first)),
                         pa.array(first), pa.array(last), pa.array(lines), pa.array(n_counted), pa.array(n_bytes),
                         joined.cast(pa.string()),
                         pa.array(_delimiter_at(got["delimiters"], kept[bounds[1:] - 1]), pa.string()),
                         pa.array([True] * closed), pa.array(border),
-                    ], schema=_PIECES_ARROW)
+                    ], schema=_PIECES_ARROW))
                     untouched = False
                 lo = int(bounds[-1])
                 if lo < len(kept):
@@ -323,10 +329,13 @@ def _cut(options: ScanOptions):
                     open_piece["n_counted"] += int(counted[lo:].sum())
                     open_piece["raw_bytes"] += int(size[lo:].sum())
                     if open_piece["raw_bytes"] > PART_BYTES:
-                        yield rest()
+                        left_open.append(rest())
                         open_piece, untouched = None, True
+            if left_open:
+                out.append(pa.RecordBatch.from_pylist(left_open, schema=_PIECES_ARROW))
+            yield from _merged(out)
         if open_piece is not None:
-            yield rest()
+            yield pa.RecordBatch.from_pylist([rest()], schema=_PIECES_ARROW)
 
     return run
 
@@ -343,17 +352,19 @@ def _annotate(options: ScanOptions):
     def run(batches):
         cut = _Cutter(options)
         for batch in batches:
+            out = []
             for key, part in segments(batch):
                 if key != cut.key:
                     cut.enter(key, part)
                 got = cut.advance(part)
                 n = len(got["line_no"])
-                yield pa.RecordBatch.from_arrays([
+                out.append(pa.RecordBatch.from_arrays([
                     pa.array([key[0]] * n, pa.string()), pa.array(got["line_no"]), got["value"].cast(pa.string()),
                     names.take(pa.array(got["before"])), names.take(pa.array(got["after"])),
                     pa.array(_delimiter_at(got["delimiters"], np.arange(n)), pa.string()),
                     pa.array(got["kept"]), pa.array(got["ends"]),
-                ], names=["file", "line_no", "value", "start_state", "end_state", "delimiter", "kept", "is_end"])
+                ], names=["file", "line_no", "value", "start_state", "end_state", "delimiter", "kept", "is_end"]))
+            yield from _merged(out)
 
     return run
 
