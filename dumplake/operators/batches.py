@@ -243,7 +243,7 @@ def assign_batches(inserts: DataFrame, options: BatchOptions = BatchOptions(), b
     buckets = bucket_runs(inserts) if buckets is None else buckets
     per_file = file_sizes(inserts, options, buckets) if per_file is None else per_file
     df = assign_runs(inserts, buckets, per_file)
-    by_count = F.col("run_start") + F.floor((F.col("row_no") - F.col("run_start")) / F.col("eff")) * F.col("eff")
+    by_count = F.expr("run_start + (row_no - run_start) div eff * eff")
     df = df.withColumn("batch_start", F.when(F.col("run_start").isNull(), F.col("row_no")).when(F.col("by_count"), by_count))
     if per_file.filter("not by_count").isEmpty():
         return df.drop("eff", "by_count", "early")

@@ -68,6 +68,10 @@ def _without_delimiter(text: Column, delimiter: Column) -> Column:
     return trim(cut)
 
 
+def _like_sql(text: Column) -> Column:
+    return text.rlike(rf"(?i)^(?:{'|'.join(TAIL_KEYWORDS)}|/\*|--)")
+
+
 _RAW = ("file", "bucket", "first_line", "last_line", "n_lines", "n_counted", "raw_bytes", "delimiter", "closed")
 
 
@@ -76,7 +80,7 @@ def _finished(pieces: DataFrame) -> DataFrame:
     clean = pieces.withColumn("text", _without_delimiter(F.col("text"), F.col("delimiter"))).withColumns({
         "n_bytes": F.octet_length("text").cast("long"),
         "keyword": F.upper(F.regexp_extract("text", r"^([A-Za-z]*+)", 1)),
-        "blank": F.col("text").isin("", "0"),
+        "blank": F.col("text").isin("", "0"), "like_sql": _like_sql(F.col("text")),
     })
     return with_insert_columns(clean)
 
@@ -183,7 +187,7 @@ def split_statements(
     statements = whole.filter("error is not null or not blank").select(
         "file", "bucket", F.col("first_line").alias("pos"), "first_line", "last_line",
         F.col("n_lines").cast("int").alias("n_lines"), "text", "n_bytes", "keyword",
-        (~F.col("closed")).alias("is_tail"), "error",
+        (~F.col("closed")).alias("is_tail"), "like_sql", "error",
         "kind", "table", "prefix", "values_at", "n_sets", "vbytes", "is_ignore",
     )
     return Split(statements, scanned.files(), scanned)
@@ -196,9 +200,8 @@ def accepted(statements: DataFrame, dialect: str = "import") -> DataFrame:
     SQL. Cli: all that are free of errors.
     """
     if dialect == "cli":
-        return statements.filter("error is null").drop("error")
-    starts = rf"(?i)^(?:{'|'.join(TAIL_KEYWORDS)}|/\*|--)"
-    kept = statements.filter(~F.col("is_tail") | F.col("text").rlike(starts)).drop("error")
+        return statements.filter("error is null").drop("error", "like_sql")
+    kept = statements.filter("not is_tail or like_sql").drop("error", "like_sql")
     failed = statements.filter("error is not null")
     if failed.isEmpty():
         return kept
