@@ -80,7 +80,7 @@ def _finished(pieces: DataFrame) -> DataFrame:
     clean = pieces.withColumn("text", _without_delimiter(F.col("text"), F.col("delimiter"))).withColumns({
         "n_bytes": F.octet_length("text").cast("long"),
         "keyword": F.upper(F.regexp_extract("text", r"^([A-Za-z]*+)", 1)),
-        "blank": F.col("text").isin("", "0"), "like_sql": _like_sql(F.col("text")),
+        "blank": F.col("text").isin("", "0"), "like_sql": F.col("closed") | _like_sql(F.col("text")),
     })
     return with_insert_columns(clean)
 
