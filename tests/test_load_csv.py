@@ -1,13 +1,12 @@
 import csv
 import io
-import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dumplake.functions.literals import literal_text, quote
+from dumplake.functions.literals import literal_text
 from dumplake.operators.csvrows import CsvOptions, check_table_name, csv_inserts, csv_records, csv_rows, parse_fields
 from dumplake.operators.inserts import analyse_inserts
 from dumplake.operators.scan import ScanOptions

@@ -4,7 +4,6 @@ import os
 import random
 
 import pytest
-from pyspark.sql import functions as F
 from sequential import split
 
 from dumplake.operators.scan import ScanOptions, scan

@@ -1,11 +1,9 @@
 import os
 import random
 
-import pytest
 from sequential import split
 
-from dumplake.operators.scan import ScanOptions
-from dumplake.streaming.ingest import chunk_stream, forget, ingest_dumps, live_statistics, split_stream
+from dumplake.streaming.ingest import chunk_stream, forget, ingest_dumps, split_stream
 
 TEXT = "SELECT 1;\n" + "".join(f"INSERT INTO t VALUES ({i}, 'it''s\n; -- {i}\n');\n-- note\n" for i in range(60)) + "DELIMITER //\nA;\nB//\nSELECT 'é'//\nCOMMIT"
 
