@@ -6,11 +6,39 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dumplake.llm import bpe, decontaminate, line_dedup, simhash_dedup, toxicity
+from dumplake.llm import bpe, decontaminate, licenses, line_dedup, nn_descent, pii, rans, simhash_dedup, toxicity, warc
 from dumplake.llm.registry import query, table
+from dumplake.session import stage, stage_path
 
 #: Vocabulary of the multilingual byte-level BPE query.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: Vocabulary of the token-id files.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS low FROM pages),
+    g AS (SELECT *, [('0x' || substr(h, 5 * i + 1, 5))::BIGINT FOR i IN range(8)] AS groups FROM p)
+    SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+      array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((x >> 15) & 31)::INT, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((x >> 10) & 31)::INT, 1)
+        || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((x >> 5) & 31)::INT, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (x & 31)::INT, 1) FOR x IN groups], '') AS payload_digest,
+      CASE WHEN page_id > low THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > low THEN low END AS refers_to, true AS verified
+    FROM g
+""")
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back."""
+    path = stage_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.read_pages(spark, path)
+
+
+@query()
+def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents written as sections and read back."""
+    path = stage_path(spark, "rans")
+    rans.write_ids(table(spark, sf_dir, "documents"), path, TOKENIZER)
+    read = rans.read_ids(spark, path).select("part", "section", "place", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return rans.with_starts(stage(read, "rans-read")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 @query()
@@ -23,6 +51,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query()
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices and texts in all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document, and how much of it was a later copy."""
@@ -34,11 +68,31 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+@query("""
+    WITH RECURSIVE v AS (
+      SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+      WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_sum([x * x FOR x IN embedding::DOUBLE[]]) > 0),
+    pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id != b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+    reach(a, b) AS (SELECT a, b FROM pairs UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
+    low AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+    n AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+    SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(low.b, vec_id)) AS component_id, vec_id <= coalesce(low.b, vec_id) AS kept
+    FROM embeddings LEFT JOIN low ON vec_id = low.a LEFT JOIN n ON vec_id = n.a
+""")
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.cluster(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
