@@ -40,10 +40,10 @@ CHECKS = {
 }
 #: Tokens that may be an identifier of a kind, though no base pattern says so.
 SHAPES = {
-    "email": r"m RLIKE '^[A-Za-z0-9._%+-]+(@|[(]at[)])[A-Za-z0-9-]+$'",
-    "ip": r"m RLIKE '^[0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{0,4}){3,7}$'",
-    "card": r"m RLIKE '^[0-9]+([._/][0-9]+)*$' AND length(regexp_replace(m, '[^0-9]', '')) BETWEEN 13 AND 19",
-    "phone": r"m RLIKE '^[(]?[0-9]+([-.)/]+[0-9]+){1,5}$' AND length(regexp_replace(m, '[^0-9]', '')) BETWEEN 9 AND 12",
+    "email": r"length(m) <= 64 AND m RLIKE '^[A-Za-z0-9._%+-]+(@|[(]at[)])[A-Za-z0-9-]+$'",
+    "ip": r"length(m) <= 64 AND m RLIKE '^[0-9A-Fa-f]{1,4}(:[0-9A-Fa-f]{0,4}){3,7}$'",
+    "card": r"length(m) <= 64 AND m RLIKE '^[0-9]+([._/][0-9]+)*$' AND length(regexp_replace(m, '[^0-9]', '')) BETWEEN 13 AND 19",
+    "phone": r"length(m) <= 64 AND m RLIKE '^[(]?[0-9]+([-.)/]+[0-9]+){1,5}$' AND length(regexp_replace(m, '[^0-9]', '')) BETWEEN 9 AND 12",
 }
 _TOKEN = r"(?<!\S)\S*[0-9@]\S*"
 _BLOCK = 512

@@ -71,7 +71,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     WITH RECURSIVE v AS (
       SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
-      WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND list_sum([x * x FOR x IN embedding::DOUBLE[]]) > 0),
+      WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum([x * x FOR x IN embedding::DOUBLE[]]) > 0),
     pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id != b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
     reach(a, b) AS (SELECT a, b FROM pairs UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
     low AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
