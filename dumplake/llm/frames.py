@@ -50,7 +50,8 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _word: list[np.ndarray] = []
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n - 1 of an odd number and of its inverse, modulo two to the 64."""
     if len(_powers[0]) < n:
         size = max(n, 2 * len(_powers[0]), 1 << 16)
         for i, base in enumerate((_P, _INV)):
@@ -101,7 +102,7 @@ def _hashes(text: str) -> np.ndarray:
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
         return np.empty(0, np.uint64)
-    up, down = _power(len(codes) + 1)
+    up, down = powers(len(codes) + 1)
     total = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))

@@ -24,13 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dumplake.llm.frames import keyed, mix, text_or_empty, without
+from dumplake.llm.frames import keyed, mix, powers, text_or_empty, without
 from dumplake.session import stage
 
 GRAM_WORDS = 25
 RUN_WORDS = 50
 _BREAK = re.compile(r"((?<=[.!?]) |\n)")
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_BLANKS = re.compile(r"[^\S \n]|  ")
 
 
 def split_lines(text: str) -> list[str]:
@@ -41,11 +41,19 @@ def split_lines(text: str) -> list[str]:
 def line_numbers(text: str) -> tuple[list[int], list[int], list[int]]:
     """Of every line with a word: its place among the lines, a 64-bit hash, and its number of words."""
     at, hashes, words = [], [], []
-    for i, line in enumerate(split_lines(text)[::2]):
-        found = line.split()
-        if found:
+    digest, plain = xxhash.xxh3_64_intdigest, not _BLANKS.search(text)
+    for end in ".!?":
+        text = text.replace(end + " ", end + "\n")
+    for i, line in enumerate(text.split("\n")):
+        if plain:  # only single spaces: no need to look at every word
+            line = line.strip()
+            if line:
+                at.append(i)
+                hashes.append(digest(line))
+                words.append(line.count(" ") + 1)
+        elif found := line.split():
             at.append(i)
-            hashes.append(xxhash.xxh3_64_intdigest(" ".join(found)))
+            hashes.append(digest(" ".join(found)))
             words.append(len(found))
     return at, hashes, words
 
@@ -63,30 +71,26 @@ def fingerprints(hashes: np.ndarray, words: np.ndarray, gram_words: int, run_wor
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     gram_end, run_end = _ends(total, gram_words), _ends(total, run_words)
     starts = int((gram_end <= n).sum())
-    grams = np.empty(starts, np.uint64)
-    for length in np.unique(gram_end[:starts] - np.arange(starts)):
-        at = np.flatnonzero(gram_end[:starts] - np.arange(starts) == length)
-        h = np.zeros(len(at), np.uint64)
-        for j in range(length):
-            h = h * _ODD + hashes[at + j]
-        grams[at] = mix(h)
-    windows = int((run_end <= n).sum())
+    up, down = powers(n + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[:n], dtype=np.uint64)))
+    grams = mix((sums[gram_end[:starts]] - sums[:starts]) * down[:starts])
     # The last gram that ends inside the run that starts at each line.
-    last = np.searchsorted(gram_end[:starts], run_end[:windows], side="right")
-    picked = np.empty(windows, np.int64)
+    last = np.searchsorted(gram_end[:starts], run_end[: int((run_end <= n).sum())], side="right").tolist()
+    value, picked, front, done = grams.tolist(), [-1], 0, 0
     held: list[int] = []  # starts whose hashes rise, the first is the minimum of the window
-    front = done = 0
-    for i in range(windows):
-        while done < last[i]:
-            while len(held) > front and grams[held[-1]] >= grams[done]:
+    for i, upto in enumerate(last):
+        while done < upto:
+            while len(held) > front and value[held[-1]] >= value[done]:
                 held.pop()
             held.append(done)
             done += 1
         while held[front] < i:
             front += 1
-        picked[i] = held[front]
-    picked = np.unique(picked)
-    return picked, grams[picked]
+        # Of equal minima the one already picked stays, so a line repeated many times gives few fingerprints.
+        if picked[-1] < i or value[picked[-1]] != value[held[front]]:
+            picked.append(held[front])
+    at = np.array(picked[1:], np.int64)
+    return at, grams[at]
 
 
 def _lines(gram_words: int, run_words: int):
