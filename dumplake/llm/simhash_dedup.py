@@ -3,7 +3,7 @@
 Two 64-bit fingerprints within ``radius`` (at most 7) bits of each other are within ``radius // 4`` bits in one of their
 four 16-bit quarters. Each quarter has a vantage-point tree over its values: a node splits values by their
 Hamming distance to a vantage value, and by the triangle inequality a query only enters the branches that
-its radius can reach. So the leaves are shards: each owns the fingerprints that fall into it and is visited by those that
+its radius can reach, and of the leaves it gets to only those with a value that near. So the leaves are shards: each owns the fingerprints that fall into it and is visited by those that
 may have a partner there, and every pair is compared on all 64 bits where its quarters meet. The trees
 have at most 65,536 leaves, their depth follows the number of fingerprints, and a leaf with many is cut into blocks.
 A shard hands on a spanning forest of its pairs instead of all pairs, which loses no connection.
@@ -85,7 +85,13 @@ def vantage_tree(sample: np.ndarray, leaves: int, radius: int) -> tuple[np.ndarr
             todo += [(inside[far <= cut], near[reach - radius <= cut]), (inside[far > cut], near[reach + radius > cut])]
             continue
         own[inside] = n
-        routes.append(near)
+        # The bounds only tell which branches cannot be reached; a leaf is visited if a value in it is near enough.
+        held = np.zeros(1 << 16, bool)
+        held[inside] = True
+        met = held[near]
+        for flip in (1 << b for b in range(16 if radius else 0)):
+            met |= held[near ^ np.uint16(flip)]
+        routes.append(near[met])
         n += 1
     values = np.concatenate(routes)
     leaf = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in routes])
