@@ -43,3 +43,8 @@ def format_clock(seconds: Column, hours: bool = False) -> Column:
     if hours:
         return F.format_string("%02d:%02d:%02d", F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60)
     return F.format_string("%02d:%02d", F.floor(whole / 60), whole % 60)
+
+
+def number_format(number: Column, decimals: int = 0) -> Column:
+    """``1,234,567.9``: rounded half up, thousands by commas."""
+    return F.format_number(F.round(number, decimals), decimals)

@@ -8,14 +8,21 @@ from pyspark.sql import functions as F
 _SINGLE = r"'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'"
 _DOUBLE = r'"[^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+"'
 _PLAIN = r"[^'\"()]++"
-_CALL = rf"\((?:{_PLAIN}|{_SINGLE}|{_DOUBLE}|\((?:{_PLAIN}|{_SINGLE}|{_DOUBLE})*+\))*+\)"
+# Calls nested this deep are read; deeper ones end up in the reject table, as their tuple has the wrong number of items.
+DEPTH = 32
+_CALL = rf"\((?:{_PLAIN}|{_SINGLE}|{_DOUBLE})*+\)"
+for _ in range(DEPTH - 1):
+    _CALL = rf"\((?:{_PLAIN}|{_SINGLE}|{_DOUBLE}|{_CALL})*+\)"
 
-# One value tuple, with calls nested up to two deep inside it.
+# One value tuple, with calls inside it.
 TUPLE = rf"(?s)\(((?:{_PLAIN}|{_SINGLE}|{_DOUBLE}|{_CALL})*+)\)"
 
 # One item of a comma list: quoted strings, calls and plain text up to the next comma.
 ITEM = rf"(?s)\G(?:^|,)((?:[^'\"(),]++|{_SINGLE}|{_DOUBLE}|{_CALL})*+)"
 
+# The same for declarations, where names in backticks may hold commas and parentheses.
+DECLARATION = rf"(?s)\G(?:^|,)((?:[^'\"`(),]++|`(?:[^`]|``)*+`|{_SINGLE}|{_DOUBLE}|{_CALL})*+)"
+
 # Blanks around a literal.
 BLANKS = " \t\n\r\x0b\f"
 

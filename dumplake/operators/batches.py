@@ -13,8 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stage
-from ..sources.lines import BROADCAST_BLOCKS
+from ..session import broadcast_within, stage
 from .windows import number_rows
 
 # The two presets, (rows per batch, bytes per batch), and commit frequency.
@@ -122,8 +121,8 @@ def assign_runs(inserts: DataFrame, buckets: DataFrame | None = None, per_file:
     carry = _carry(buckets).select("file", "bucket", "base", "continues", "carried")
     if per_file is not None:
         carry = carry.join(per_file.drop("avg_row_size"), "file", "left")
-    if buckets.count() <= BROADCAST_BLOCKS:
-        carry = F.broadcast(carry)
+    if per_file is None:
+        carry, _ = broadcast_within(carry)
     single = F.col("kind") == "insert_single"
     df = inserts.withColumns({
         "_key": _key(), "vbytes": F.when(single, F.col("vbytes")),

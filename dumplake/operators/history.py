@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.format import format_bytes, format_duration
 
-# Entries kept and entries listed by default.
-KEEP = 50
+# Fixed value: entries listed by default.
 LIST = 20
 
 SCHEMA = T.StructType([
@@ -24,8 +25,12 @@ SCHEMA = T.StructType([
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """History entries under ``path`` (JSON lines, or JSON arrays); a missing or broken file is empty."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], SCHEMA)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        left = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".old-*"))
+        if not left:
+            return spark.createDataFrame([], SCHEMA)
+        path = left[0].getPath().toString()
     rows = spark.read.option("mode", "DROPMALFORMED").schema(SCHEMA).json(path)
     return rows.filter("id is not null")
 
@@ -50,7 +55,7 @@ def newest(history: DataFrame, limit: int = LIST) -> DataFrame:
     return history.orderBy(F.desc("ts"), F.desc("id")).limit(limit)
 
 
-def retain(history: DataFrame, keep: int = KEEP) -> DataFrame:
+def retain(history: DataFrame, keep: int) -> DataFrame:
     return newest(history, keep)
 
 
@@ -77,14 +82,23 @@ def append_history(loads: DataFrame, path: str) -> None:
 
 
 def _rewrite(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Replace a history folder: write aside, then swap, so a failure leaves the old one."""
-    fresh = path.rstrip("/") + ".next"
-    rows.write.mode("overwrite").json(fresh)
+    """Replace a history folder: write aside under a name of its own, move the old one away, then move the new one in.
+
+    At every moment the old or the new entries are whole on disk: after a crash between the two moves the old ones lie in
+    the folder that ends in ``.old-…``, and ``read_history`` reads them from there.
+    """
+    mark = uuid.uuid4().hex
+    base = path.rstrip("/")
+    rows.write.json(f"{base}.next-{mark}")
     jvm = spark._jvm.org.apache.hadoop.fs.Path
-    old, new = jvm(path), jvm(fresh)
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    fs = jvm(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = jvm(f"{base}.old-{mark}")
+    moved = fs.rename(jvm(base), aside)
+    if not fs.rename(jvm(f"{base}.next-{mark}"), jvm(base)):
+        if moved:
+            fs.rename(aside, jvm(base))
+        raise RuntimeError(f"could not replace {base}")
+    fs.delete(aside, True)
 
 
 def delete_entry(spark: SparkSession, path: str, entry_id: str) -> bool:
@@ -96,7 +110,7 @@ def delete_entry(spark: SparkSession, path: str, entry_id: str) -> bool:
     return True
 
 
-def trim_history(spark: SparkSession, path: str, keep: int = KEEP) -> None:
+def trim_history(spark: SparkSession, path: str, keep: int) -> None:
     _rewrite(spark, retain(read_history(spark, path), keep), path)
 
 

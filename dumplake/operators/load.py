@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.literals import ITEM, TUPLE, literal_text, number_text
+from ..functions.literals import DECLARATION, ITEM, TUPLE, literal_text, number_text
 from ..functions.text import trim
 
-_CREATE = r"(?is)^CREATE\s+(?:TEMPORARY\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?((?:`[^`]+`|\"[^\"]+\"|[\w$]+)(?:\.(?:`[^`]+`|[\w$]+))?)\s*\((.*)\)[^)]*$"
+_CREATE = r"(?is)^CREATE\s+(?:TEMPORARY\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?((?:`(?:[^`]|``)+`|\"[^\"]+\"|[^\s`\"(.]+)(?:\.(?:`(?:[^`]|``)+`|[^\s`\"(.]+))?)\s*\((.*)\)[^)]*$"
 _KEY_WORDS = r"(?i)^(?:PRIMARY|UNIQUE|KEY|INDEX|FULLTEXT|SPATIAL|CONSTRAINT|FOREIGN|CHECK)\b"
 
 # Spark types by DDL type name.
@@ -31,26 +33,44 @@ UNSIGNED = {
 }
 
 
+# A quoted name may hold any character, its quote doubled; a bare one ends at a blank, dot, comma or parenthesis.
+_PART = r"(?:`(?:[^`]|``)++`|\"(?:[^\"]|\"\")++\"|[^\s`\"'(),.]++)"
+_NAME = rf"{_PART}(?:\s*\.\s*{_PART})?"
+
+# Verb, options, table and columns of a statement with a VALUES list. VALUES stands right after the name or
+# the columns, so the same word inside a string is never taken for it.
+_HEAD = (rf"(?is)^(INSERT|REPLACE)\b((?:\s+(?:LOW_PRIORITY|DELAYED|HIGH_PRIORITY|IGNORE)\b)*+)(?:\s+INTO\b)?\s*({_NAME})\s*"
+         rf"(?:\(((?:`(?:[^`]|``)*+`|[^)`])*+)\)\s*)?VALUES?\s*(?=\()")
+
+
+def unquoted(c: Column) -> Column:
+    """A name without its quotes, lower-cased."""
+    name = F.btrim(c, F.lit(" \t\n\r"))
+    inner = F.substring(name, F.lit(2), F.length(name) - 2)
+    return F.lower(F.when(name.startswith("`"), F.replace(inner, F.lit("``"), F.lit("`"))).when(
+        name.startswith('"'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(name))
+
+
 def bare_name(c: Column) -> Column:
     """A table name without quotes and database, lower-cased."""
-    return F.lower(F.regexp_replace(F.regexp_replace(c, r"[`\"]", ""), r"^.*\.", ""))
+    return unquoted(F.regexp_extract(c, rf"({_PART})\s*$", 1))
 
 
 def table_columns(statements: DataFrame) -> DataFrame:
     """Columns declared by CREATE TABLE statements: file, table, ordinal, name, type, key."""
     ddl = statements.filter(F.col("text").rlike(_CREATE))
     body = F.regexp_extract("text", _CREATE, 2)
-    parts = F.transform(F.regexp_extract_all(body, F.lit(ITEM), F.lit(1)), lambda p: trim(p))
+    parts = F.transform(F.regexp_extract_all(body, F.lit(DECLARATION), F.lit(1)), lambda p: trim(p))
     keys = F.filter(parts, lambda p: p.rlike(r"(?i)^(?:CONSTRAINT\s+\S+\s+)?PRIMARY\s+KEY"))
-    key_text = F.lower(F.regexp_replace(F.try_element_at(keys, F.lit(1)), r"[`\"\s]", ""))
-    key_columns = F.split(F.regexp_extract(key_text, r"\(([^)]*)\)", 1), ",")
+    key_text = F.regexp_extract(F.try_element_at(keys, F.lit(1)), r"(?is)KEY[^(]*\((.*)\)", 1)
+    key_columns = F.transform(F.regexp_extract_all(key_text, F.lit(rf"({_PART})(?:\s*\(\d+\))?\s*(?:ASC|DESC)?\s*(?:,|$)"), F.lit(1)), unquoted)
     columns = F.filter(parts, lambda p: ~p.rlike(_KEY_WORDS) & (p != ""))
     spread = ddl.select(
         "file", "pos", bare_name(F.regexp_extract("text", _CREATE, 1)).alias("table"),
         key_columns.alias("keys"), F.posexplode(columns).alias("ordinal", "decl"),
     )
-    shape = r"^[`\"]?([^`\"\s]+)[`\"]?\s+([A-Za-z]+)\s*(\([^)]*\))?(.*)$"
-    name = F.lower(F.regexp_extract("decl", "(?s)" + shape, 1))
+    shape = rf"^({_PART})\s+([A-Za-z]+)\s*(\([^)]*\))?(.*)$"
+    name = unquoted(F.regexp_extract("decl", "(?s)" + shape, 1))
     rest = F.regexp_extract("decl", "(?s)" + shape, 4)
     return spread.select(
         "file", "pos", "table", "ordinal", name.alias("column"),
@@ -65,35 +85,69 @@ def _spark_type(kind: str, arguments: str, unsigned: bool) -> T.DataType:
     numbers = [int(n) for n in re.findall(r"\d+", arguments or "")]
     if kind in ("decimal", "numeric", "dec"):
         precision, scale = (numbers + [10, 0])[0], numbers[1] if len(numbers) > 1 else 0
-        return T.DecimalType(min(precision, 38), min(scale, 38))
+        # What a Spark decimal cannot hold stays text.
+        return T.DecimalType(precision, scale) if scale <= precision <= 38 else T.StringType()
     if unsigned and kind in UNSIGNED:
         return UNSIGNED[kind]
     return TYPES.get(kind, T.StringType())
 
 
-def table_schema(statements: DataFrame, table: str) -> tuple[T.StructType, list[str]]:
-    """Schema and primary key of a table from its first CREATE TABLE.
+def table_schemas(statements: DataFrame, table: str | None = None) -> dict[str, tuple[T.StructType, list[str]]]:
+    """Schema and primary key of each table (or of one) from its first CREATE TABLE.
 
-    Brings only the declared columns of this one table to the driver.
+    Brings only the declared columns to the driver.
     """
-    columns = table_columns(statements).filter(F.col("table") == table.lower())
-    first = columns.withColumn("_first", F.min(F.struct("file", "pos")).over(Window.partitionBy("table")))
-    rows = first.filter(F.col("_first") == F.struct("file", "pos")).orderBy("ordinal").collect()
-    if not rows:
+    columns = table_columns(statements)
+    columns = columns if table is None else columns.filter(F.col("table") == table.lower())
+    first = columns.groupBy("table").agg(F.min(F.struct("file", "pos")).alias("_first"))
+    rows = columns.join(first, "table").filter(F.col("_first") == F.struct("file", "pos")).orderBy("table", "ordinal").collect()
+    out: dict[str, tuple[T.StructType, list[str]]] = {}
+    for r in rows:
+        schema, key = out.setdefault(r["table"], (T.StructType(), []))
+        schema.add(r["column"], _spark_type(r["type"], r["arguments"], r["unsigned"]))
+        key += [r["column"]] if r["is_key"] else []
+    return out
+
+
+def table_schema(statements: DataFrame, table: str) -> tuple[T.StructType, list[str]]:
+    """Schema and primary key of one table."""
+    found = table_schemas(statements, table)
+    if not found:
         raise ValueError(f"no CREATE TABLE for {table}")
-    fields = [T.StructField(r["column"], _spark_type(r["type"], r["arguments"], r["unsigned"])) for r in rows]
-    return T.StructType(fields), [r["column"] for r in rows if r["is_key"]]
+    return found[table.lower()]
 
 
-def insert_tuples(inserts: DataFrame) -> DataFrame:
-    """One row per value tuple of single and extended INSERTs, with its literals as text."""
-    some = inserts.filter("values is not null")
-    names = F.lower(F.regexp_replace(F.regexp_extract("prefix", r"(?s)\(([^)]*)\)\s*VALUES$", 1), r"[`\"\s]", ""))
-    tuples = F.regexp_extract_all("values", F.lit(TUPLE), F.lit(1))
+def value_lists(statements: DataFrame) -> DataFrame:
+    """Statements with a VALUES list, from their ``text``: table, columns, mode, tuples and what follows the tuples.
+
+    mode: 'insert', 'ignore', 'replace' or 'update' (ON DUPLICATE KEY UPDATE). Rows that start like an INSERT or REPLACE
+    but have no such list have a null ``table``.
+    """
+    kept = [c for c in ("file", "pos", "part", "error") if c in statements.columns]
+    text = F.col("text")
+    found = statements.filter(text.rlike(r"(?i)^(?:INSERT|REPLACE)\b")).select(*kept, "text", F.regexp_extract(text, _HEAD, 0).alias("_head"))
+    head = F.col("_head")
+    listed = head != ""
+    rest = F.substring(text, F.length(head) + 1, F.length(text))
+    chain = rf"(?s)^(?:\s*+,?\s*+(?:{TUPLE.removeprefix('(?s)')}))*+"
+    found = found.withColumn("_rest", F.when(listed, rest)).withColumn("_list", F.regexp_extract("_rest", chain, 0))
+    after = F.btrim(F.substring(F.col("_rest"), F.length("_list") + 1, F.length("_rest")), F.lit(" \t\n\r;"))
+    whole = F.concat(head, F.lit("("))  # the pattern looks ahead to the first parenthesis
+    names = F.regexp_extract(whole, _HEAD, 4)
+    verb, options = F.upper(F.regexp_extract(whole, _HEAD, 1)), F.upper(F.regexp_extract(whole, _HEAD, 2))
+    mode = F.when(verb == "REPLACE", "replace").when(after.rlike(r"(?is)^(?:AS\s.*)?ON\s+DUPLICATE\s+KEY\s+UPDATE\b"), "update").when(
+        options.contains("IGNORE"), "ignore").otherwise("insert")
+    columns = F.transform(F.regexp_extract_all(names, F.lit(rf"({_PART})"), F.lit(1)), unquoted)
+    return found.select(
+        *kept, F.when(listed, bare_name(F.regexp_extract(whole, _HEAD, 3))).alias("table"), mode.alias("mode"), after.alias("after"),
+        F.when(names != "", columns).alias("names"), F.regexp_extract_all("_list", F.lit(rf"(?s)\G\s*+,?\s*+{TUPLE.removeprefix('(?s)')}"), F.lit(1)).alias("tuples"))
+
+
+def insert_tuples(statements: DataFrame) -> DataFrame:
+    """One row per value tuple of INSERT and REPLACE statements, with its literals as text."""
+    some = value_lists(statements).filter("table is not null")
     spread = some.select(
-        "file", "pos", bare_name(F.col("table")).alias("table"), "is_ignore",
-        F.when(names != "", F.split(names, ",")).alias("names"), F.posexplode(tuples).alias("item", "tuple"),
-    )
+        "file", "pos", "table", (F.col("mode") == "ignore").alias("is_ignore"), "mode", "names", F.posexplode("tuples").alias("item", "tuple"))
     items = F.regexp_extract_all("tuple", F.lit(ITEM), F.lit(1))
     return spread.withColumn("items", items).drop("tuple")
 
@@ -115,28 +169,84 @@ def _value(item: Column, kind: T.DataType) -> Column:
     return F.coalesce(text.try_cast(kind), F.when(word == "TRUE", F.lit(1)).when(word == "FALSE", F.lit(0)).cast(kind))
 
 
-def load_rows(inserts: DataFrame, table: str, schema: T.StructType, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The rows INSERT statements store in ``table``, cast to ``schema``.
-
-    Columns a statement does not name, and values that do not cast (such as zero dates),
-    are null. ``keep`` adds columns of ``insert_tuples`` (file, pos, item, is_ignore).
-    """
-    rows = insert_tuples(inserts.filter(bare_name(F.col("table")) == table.lower()))
+def _items(schema: T.StructType) -> list[Column]:
+    """The literal of each column of ``schema`` in a row of ``insert_tuples``, null where the statement does not name it."""
     out = []
     for k, field in enumerate(schema.fields):
         named = F.array_position("names", field.name.lower()).cast("int")
         index = F.when(F.col("names").isNull(), F.lit(k + 1)).otherwise(named)
-        item = F.when(index > 0, F.try_element_at("items", index))
-        out.append(_value(item, field.dataType).alias(field.name))
-    return rows.select(*keep, *out)
+        out.append(F.when(index > 0, F.try_element_at("items", index)))
+    return out
+
+
+def typed_rows(tuples: DataFrame, schema: T.StructType, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``insert_tuples`` of one table, cast to ``schema``; values that do not cast (such as zero dates) are null."""
+    values = [_value(item, f.dataType).alias(f.name) for item, f in zip(_items(schema), schema.fields)]
+    return tuples.select(*keep, *values)
+
+
+def load_rows(statements: DataFrame, table: str, schema: T.StructType, keep: tuple[str, ...] = ()) -> DataFrame:
+    """All rows that INSERT and REPLACE statements give for ``table``, cast to ``schema``.
+
+    ``keep`` adds columns of ``insert_tuples`` (file, pos, item, is_ignore, mode).
+    """
+    tuples = insert_tuples(statements).filter(F.col("table") == table.lower())
+    return typed_rows(tuples, schema, keep)
+
+
+def rejects(statements: DataFrame, schemas: dict[str, T.StructType], tuples: DataFrame | None = None) -> DataFrame:
+    """What a load cannot store as it stands: file, pos, item, table, column, reason.
+
+    Statements without a readable VALUES list, tuples with the wrong number of values, values that do not cast, and
+    labels. Rows with a failed cast are stored with a null; the others here, but for labels, are not stored.
+    """
+    none = F.lit(None)
+    lists = value_lists(statements)
+    shape = ("file", "pos")
+    odd = F.when(F.col("part") > 0, "statement in parts") if "part" in lists.columns else F.lit(None).cast("string")
+    odd = F.coalesce(odd, F.when(F.col("table").isNull(), "no VALUES list"), F.when(
+        (F.col("after") != "") & (F.col("mode") != "update") & ~F.col("after").rlike(r"(?is)^(?:AS\s.*)?ON\s+DUPLICATE\b"), "unread text after the values"))
+    out = lists.filter(odd.isNotNull()).select(*shape, none.cast("int").alias("item"), "table", none.cast("string").alias("column"), odd.alias("reason"))
+    if "error" in statements.columns:
+        out = out.union(statements.filter("error is not null").select(*shape, none.cast("int"), none.cast("string"), none.cast("string"), "error"))
+    tuples = insert_tuples(statements) if tuples is None else tuples
+    for table, schema in schemas.items():
+        rows = tuples.filter(F.col("table") == table.lower())
+        wanted = F.coalesce(F.size("names"), F.lit(-1))
+        wanted = F.when(F.col("names").isNull(), F.lit(len(schema.fields))).otherwise(wanted)
+        wrong = F.when(F.size("items") != wanted, F.array(F.struct(none.cast("string").alias("column"), F.format_string(
+            "%d values for %d columns", F.size("items"), wanted).alias("reason"))))
+        failed = [F.when(literal_text(item).isNotNull() & (F.trim(item) != "") & _value(item, f.dataType).isNull(), F.struct(
+            F.lit(f.name).alias("column"), F.lit(f"no {f.dataType.simpleString()}").alias("reason"))) for item, f in zip(_items(schema), schema.fields)]
+        found = rows.withColumn("_bad", F.coalesce(wrong, F.filter(F.array(*failed), lambda x: x.isNotNull()))).filter(F.size("_bad") > 0)
+        out = out.union(found.select(*shape, "item", "table", F.explode("_bad").alias("b")).select(*shape, "item", "table", "b.column", "b.reason"))
+    return out
 
 
 def first_per_key(rows: DataFrame, key: list[str], order: list[str], existing: DataFrame | None = None) -> DataFrame:
-    """INSERT IGNORE: of the rows with one key keep the first, and none that ``existing`` holds.
+    """INSERT IGNORE: of the rows with one key keep the first, and none that ``existing`` holds. A null in a key never collides.
 
     ``min_by`` over whole rows aggregates before the shuffle, so a hot key stays small.
     """
     rest = [c for c in rows.columns if c not in key]
-    first = rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    known = reduce(and_, [F.col(k).isNotNull() for k in key])
+    first = rows.filter(known).groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
     kept = first.select(*[F.col("_row")[c].alias(c) if c in rest else F.col(c) for c in rows.columns])
-    return kept.join(existing.select(*key), key, "left_anti") if existing is not None else kept
+    kept = kept.join(existing.select(*key), key, "left_anti") if existing is not None else kept
+    return kept.select(*rows.columns).unionByName(rows.filter(~known))
+
+
+def resolve_keys(rows: DataFrame, key: list[str], order: tuple[str, ...] = ("file", "pos", "item")) -> DataFrame:
+    """The rows a table holds after a load in dump order, from rows with their ``mode``.
+
+    An IGNORE row gives way to any earlier row with its key. A REPLACE row, or one with ON DUPLICATE KEY UPDATE, takes the place of
+    the earlier rows with its key (the update's own expressions are not evaluated: the row given last stays). A null in a key never collides.
+    """
+    known = reduce(and_, [F.col(k).isNotNull() for k in key])
+    at = F.struct(*order)
+    per = rows.filter(known).groupBy(*key).agg(
+        F.min(at).alias("_first"), F.max(F.when(F.col("mode").isin("replace", "update"), at)).alias("_last"), F.count("*").alias("_n")).filter("_n > 1")
+    joined = rows.filter(known).join(per, key, "left").withColumn("_at", at)
+    stays = F.col("_n").isNull() | (
+        ((F.col("mode") != "ignore") | (F.col("_at") == F.col("_first"))) & (F.col("_last").isNull() | (F.col("_at") >= F.col("_last"))))
+    return joined.filter(stays).select(*rows.columns).unionByName(rows.filter(~known))

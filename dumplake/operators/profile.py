@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrow import segments
 from ..functions.text import trim
+from ..session import stage
 from ..sources.catalog import extension
-from ..sources.lines import file_head, line_blocks, number_lines
+from ..sources.lines import line_blocks, number_lines
 
 # Size classes as (name, below bytes, share of memory, label).
 SIZE_CLASSES = (
@@ -18,12 +24,9 @@ SIZE_CLASSES = (
     ("massive", None, 0.75, "Massive (2GB+)"),
 )
 
-# Patterns for bulk inserts and created tables, and sample sizes in bytes.
+# Patterns for bulk inserts and created tables, and the line length of an empty file.
 BULK_INSERT = r"(?i)INSERT\s+INTO\s+\S+\s+(?:\([^)]+\)\s+)?VALUES\s*\([^)]+\)\s*,"
 CREATE_TABLE = r"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`\"']?([a-zA-Z_][a-zA-Z0-9_]*)[`\"']?\s*\("
-SAFE_NAME = r"^[a-zA-Z_][a-zA-Z0-9_]*$"
-SAMPLE_BYTES = 1_048_576
-CREATE_SCAN_BYTES = 52_428_800
 DEFAULT_LINE_BYTES = 200.0
 
 
@@ -40,32 +43,25 @@ def size_class(size: Column, is_gzip: Column) -> Column:
     return F.when(is_gzip | (size == 0), entry(2)).otherwise(out)
 
 
-def profile_files(lines: DataFrame, sizes: DataFrame | None = None, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """One profile per file from its first bytes: line estimate, size class, bulk inserts.
+def profile_files(lines: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """One profile per file from all its lines: line count, size class, bulk inserts.
 
     ``sizes`` (file, size) are the stored sizes of a catalogue; without it the text bytes
-    count. The sample of a file is at most ``sample_bytes`` and is gathered per file.
+    count. The text is read twice, once to count and once for the bulk pattern.
     """
     blocks = line_blocks(lines)
-    head = file_head(lines, sample_bytes, blocks)
-    parts = F.array_sort(F.collect_list(F.struct("line_no", "value")))
-    text = F.array_join(F.transform(parts, lambda p: p["value"]), "\n")
-    raw = F.substring(F.concat(text, F.lit("\n")).cast("binary"), F.lit(1), F.lit(sample_bytes))
-    samples = head.groupBy("file").agg(raw.alias("raw")).withColumn("sample", F.col("raw").cast("string"))
-    totals = blocks.groupBy("file").agg(F.sum("bytes").alias("text_bytes"))
+    totals = blocks.groupBy("file").agg(F.sum("bytes").alias("text_bytes"), F.sum("lines").alias("n_lines"))
+    bulk = matches_across_lines(lines, BULK_INSERT, "INSERT", blocks).groupBy("file").agg(F.count("*").alias("bulk"))
     if sizes is not None:
         totals = totals.join(sizes.select("file", F.col("size").alias("stored")), "file", "left")
     else:
         totals = totals.withColumn("stored", F.col("text_bytes"))
     is_gzip = extension(F.col("file")) == "gz"
     size = F.when(is_gzip, 0).otherwise(F.coalesce("stored", F.lit(0)))
-    n_bytes = F.least(F.octet_length("raw").cast("long"), F.greatest(F.col("text_bytes"), F.lit(0)))
-    n_lines = F.length(F.regexp_replace("sample", r"[^\n]++", ""))
-    mean = F.when(n_lines > 0, n_bytes / n_lines).otherwise(DEFAULT_LINE_BYTES)
-    joined = totals.join(samples, "file", "left")
-    shaped = joined.select(
+    mean = F.when(F.col("n_lines") > 0, F.col("text_bytes") / F.col("n_lines")).otherwise(DEFAULT_LINE_BYTES)
+    shaped = totals.join(bulk, "file", "left").select(
         "file", size.cast("long").alias("file_size"), is_gzip.alias("is_gzip"),
-        mean.alias("avg_bytes_per_line"), F.col("sample").rlike(BULK_INSERT).alias("is_bulk_insert"),
+        mean.alias("avg_bytes_per_line"), F.col("bulk").isNotNull().alias("is_bulk_insert"),
         size_class(size, is_gzip).alias("cls"),
     )
     estimate = F.when(F.col("file_size") > 0, F.ceil(F.col("file_size") / F.col("avg_bytes_per_line")))
@@ -76,6 +72,74 @@ def profile_files(lines: DataFrame, sizes: DataFrame | None = None, sample_bytes
     )
 
 
+# How far a match may reach over the border of two blocks.
+REACH = 64 * 1024
+
+
+def matches_across_lines(lines: DataFrame, pattern: str, word: str, blocks: DataFrame | None = None) -> DataFrame:
+    """``file, pos, i, match``: all matches of ``pattern``, which starts with ``word``, in the text of each file, over line ends, too.
+
+    Blocks are searched batch by batch; what a batch leaves open since its last ``word`` is carried on. A match over the border of two
+    blocks is found in what the first leaves open and the first ``REACH`` characters of those after it.
+    """
+    find, start = re.compile(pattern), re.compile(f"(?i){word}")
+
+    def search(batches):
+        key, carry, first, head = None, "", 0, ""
+
+        def found(m, text, line, place):
+            return (place[0], line + text.count("\n", 0, m.start()), m[1] if m.re.groups else m[0])
+
+        for batch in batches:
+            out, edges = [], []
+            for here, part in segments(batch):
+                values, lines_at = part.column("value").to_pylist(), part.column("line_no")
+                if here != key:
+                    if key:
+                        edges.append((*key, head, carry, first))
+                    key, carry, head = here, "", ""
+                text = "\n".join(values)
+                head += (text + "\n")[: REACH - len(head)] if len(head) < REACH else ""
+                line = first if carry else lines_at[0].as_py()
+                text = carry + text + "\n"
+                end = 0
+                for m in find.finditer(text):
+                    out.append(found(m, text, line, here))
+                    end = m.end()
+                opened = [m.start() for m in start.finditer(text, max(end, len(text) - REACH))]
+                carry = text[opened[0] :] if opened else ""
+                first = line + text.count("\n", 0, opened[0]) if opened else 0
+            yield _search_rows(out, edges)
+        if key:
+            yield _search_rows([], [(*key, head, carry, first)])
+
+    numbered = number_lines(lines, blocks).select("file", "block", "line_no", "value")
+    rows = stage(numbered.mapInArrow(search, "file string, pos long, match string, block long, head string, carry string"), "line-matches")
+    order = Window.partitionBy("file").orderBy("block")
+    edges = rows.filter("block is not null")
+    ahead = F.concat_ws("", *[F.lead("head", n).over(order) for n in range(1, 5)])
+    edges = edges.select("file", "pos", "carry", F.substring(ahead, F.lit(1), F.lit(REACH)).alias("ahead")).filter("carry != ''")
+
+    def cross(batches):
+        for pdf in batches:
+            got = []
+            for file, line, carry, more in zip(pdf["file"], pdf["pos"], pdf["carry"], pdf["ahead"]):
+                for m in find.finditer(carry + more):
+                    if m.start() < len(carry):
+                        got.append((file, line + carry.count("\n", 0, m.start()), m[1] if find.groups else m[0]))
+            yield pd.DataFrame(got, columns=["file", "pos", "match"])
+
+    over = edges.mapInPandas(cross, "file string, pos long, match string")
+    return rows.filter("block is null").select("file", "pos", "match").union(over)
+
+
+def _search_rows(found: list, edges: list) -> pa.RecordBatch:
+    schema = pa.schema([("file", pa.string()), ("pos", pa.int64()), ("match", pa.string()), ("block", pa.int64()), ("head", pa.string()), ("carry", pa.string())])
+    rows = [(f, p, m, None, None, None) for f, p, m in found] + [(f, first, None, b, head, carry) for f, b, head, carry, first in edges]
+    columns = list(zip(*rows)) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
+
+
 def created_tables(texts: DataFrame, order: str = "pos", text: str = "text") -> DataFrame:
     """Distinct tables created per file, with the place they first appear.
 
@@ -89,9 +153,10 @@ def created_tables(texts: DataFrame, order: str = "pos", text: str = "text") ->
         "file", "table_name", F.col("first.pos").alias("first_pos"))
 
 
-def created_tables_raw(lines: DataFrame, max_bytes: int = CREATE_SCAN_BYTES) -> DataFrame:
-    """Created tables by line text alone, comments included, in the first bytes of each file."""
-    return created_tables(file_head(lines, max_bytes), "line_no", "value")
+def created_tables_raw(lines: DataFrame) -> DataFrame:
+    """Created tables by text alone, comments included, also where a name stands on a line of its own."""
+    found = matches_across_lines(lines, CREATE_TABLE, "CREATE")
+    return found.groupBy("file", F.col("match").alias("table_name")).agg(F.min("pos").alias("first_pos"))
 
 
 def has_create_table(wanted: DataFrame, created: DataFrame) -> DataFrame:
@@ -109,13 +174,13 @@ def reset_tables(spark: SparkSession, created: DataFrame, file: str) -> dict[str
             spark.sql(f"DROP TABLE IF EXISTS `{name}`")
             result["dropped"].append(name)
         except Exception as problem:  # one table's failure does not stop the others
-            result["errors"].append(f"Failed to drop {name}: {problem}")
+            result["errors"].append(f"table {name} stays: {problem}")
     return result
 
 
 def preview_lines(lines: DataFrame, n: int = 50) -> DataFrame:
-    """The first ``n`` lines of each file (at most 200)."""
-    return number_lines(lines).filter(F.col("line_no") <= min(n, 200)).select("file", "line_no", "value")
+    """The first ``n`` lines of each file."""
+    return number_lines(lines).filter(F.col("line_no") <= n).select("file", "line_no", "value")
 
 
 def preview_statements(preview: DataFrame, most: int = 10) -> DataFrame:

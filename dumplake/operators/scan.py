@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import segments
 from ..functions.text import TRIM, classify_line, default_markers, line_columns, normalise_newlines, without_bom
-from ..session import stage
-from ..sources.lines import BROADCAST_BLOCKS, BUCKET_LINES, bom_bytes
+from ..session import broadcast_within, stage
+from ..sources.lines import BUCKET_LINES, bom_bytes
 
 # An open statement is handed on in parts of about this size, so that a string that is
 # never closed does not gather in one task's memory.
@@ -178,8 +178,9 @@ def block_table(classified: DataFrame, options: ScanOptions) -> DataFrame:
 
 def _with_entry(classified: DataFrame, blocks: DataFrame) -> DataFrame:
     entry = blocks.select("file", "block", "block_no", "first_line", "entry_state", "entry_delimiter")
-    if blocks.count() <= BROADCAST_BLOCKS:
-        return classified.join(F.broadcast(entry), ["file", "block"], "left")
+    entry, small = broadcast_within(entry)
+    if small:
+        return classified.join(entry, ["file", "block"], "left")
     joined = classified.join(entry.hint("merge"), ["file", "block"], "left")
     return joined.sortWithinPartitions("file", "block", "row")
 

@@ -4,19 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TAIL_KEYWORDS, TRIM, classify_line, trim
+from ..functions.text import TAIL_KEYWORDS, trim
 from ..session import stage
-from ..sources.lines import BROADCAST_BLOCKS
 from .inserts import with_insert_columns
 from .scan import Scan, ScanOptions, scan
 
-# Size guards by dialect.
-MAX_LINES = {"import": 300, "cli": 10_000}
-MAX_BYTES = 10_485_760
+# A statement over this many bytes is handed on in ordered parts, so that rows stay bounded.
+ROW_BYTES = 64 * 1024**2
 
 # Error messages.
 OVER_BYTES = "Query exceeds maximum memory limit (%d bytes)"
@@ -33,29 +30,32 @@ class Split:
     scan: Scan
 
 
-def _grouped_borders(borders: DataFrame, max_bytes: int) -> DataFrame:
-    """Border pieces with the number of their statement and whether it is within the byte guard.
+def _grouped_borders(borders: DataFrame, row_bytes: int) -> DataFrame:
+    """Border pieces with the number of their statement and of its part (0: it fits one row).
 
-    There are a few such pieces per block. The window that finds which belong together runs
+    There are a few such pieces per block. The windows that find which belong together run
     over their keys only.
     """
     order = Window.partitionBy("file").orderBy("first_line")
     before = F.sum(F.col("closed").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    keys = borders.select("file", "first_line", "raw_bytes", F.coalesce(before, F.lit(0)).alias("grp"))
-    fits = keys.groupBy("file", "grp").agg((F.sum("raw_bytes") <= max_bytes).alias("fits"))
-    return borders.join(keys.drop("raw_bytes").join(fits, ["file", "grp"]), ["file", "first_line"])
+    upto = F.sum("raw_bytes").over(Window.partitionBy("file", "grp").orderBy("first_line"))
+    keys = borders.select("file", "first_line", "raw_bytes", "closed", F.coalesce(before, F.lit(0)).alias("grp"))
+    whole = keys.groupBy("file", "grp").agg((F.sum("raw_bytes") <= row_bytes).alias("fits"), F.max("closed").alias("ends"))
+    parts = keys.withColumn("upto", upto).join(whole, ["file", "grp"]).select(
+        "file", "first_line", "grp", "ends",
+        F.when(F.col("fits"), 0).otherwise(F.floor((F.col("upto") - F.col("raw_bytes")) / row_bytes) + 1).cast("int").alias("part"))
+    return borders.join(parts, ["file", "first_line"])
 
 
 def _joined_borders(grouped: DataFrame) -> DataFrame:
-    """Statements from border pieces; a group over the byte guard is summed up without its text."""
-    part = F.when(F.col("fits"), F.struct("first_line", "text"))
-    parts = F.array_sort(F.collect_list(part))
+    """Statements from border pieces, in parts where one row would be too long."""
+    parts = F.array_sort(F.collect_list(F.struct("first_line", "text")))
     return (
-        grouped.groupBy("file", "grp").agg(
+        grouped.groupBy("file", "grp", "part").agg(
             F.min("bucket").alias("bucket"), F.min("first_line").alias("_first"), F.max("last_line").alias("last_line"),
             F.sum("n_lines").alias("n_lines"), F.sum("n_counted").alias("n_counted"), F.sum("raw_bytes").alias("raw_bytes"),
             F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"),
-            F.max_by("delimiter", "last_line").alias("delimiter"), F.max("closed").alias("closed"),
+            F.max_by("delimiter", "last_line").alias("delimiter"), F.max("ends").alias("closed"),
         ).drop("grp").withColumnRenamed("_first", "first_line")
     )
 
@@ -77,138 +77,65 @@ _RAW = ("file", "bucket", "first_line", "last_line", "n_lines", "n_counted", "ra
 
 def _finished(pieces: DataFrame) -> DataFrame:
     """Text without its delimiter, and everything derived from the text, computed once."""
-    clean = pieces.withColumn("text", _without_delimiter(F.col("text"), F.col("delimiter"))).withColumns({
+    text = F.when(F.col("part") == 0, _without_delimiter(F.col("text"), F.col("delimiter"))).otherwise(F.col("text"))
+    clean = pieces.withColumn("text", text).withColumns({
         "n_bytes": F.octet_length("text").cast("long"),
         "keyword": F.upper(F.regexp_extract("text", r"^([A-Za-z]*+)", 1)),
-        "blank": F.col("text").isin("", "0"), "like_sql": F.col("closed") | _like_sql(F.col("text")),
+        "blank": F.col("text").isin("", "0"), "like_sql": F.col("closed") | (F.col("part") > 0) | _like_sql(F.col("text")),
     })
     return with_insert_columns(clean)
 
 
-def _guard(max_lines: int, max_bytes: int) -> Column:
-    return F.when(
-        F.col("raw_bytes") > max_bytes, F.format_string(OVER_BYTES, F.lit(max_bytes))
-    ).when(
-        F.col("n_counted") > max_lines, F.format_string(OVER_LINES, F.lit(max_lines))
-    )
-
-
-def _resume(options: ScanOptions, max_lines: int, max_bytes: int):
-    """What the cli dialect still yields of statements that trip a guard and goes on after it.
-
-    Takes the pieces of such statements in order and holds one open statement at most, which
-    the byte guard bounds. Reading resumes outside strings on the next line; if the rest then
-    ends inside a string, reading resumes at the end of the statement.
-    """
-
-    def run(frames):
-        key, buffer, counted, size, state, start = None, [], 0, 0, 0, 0
-
-        def row(piece, closed):
-            text = "\n".join(buffer)
-            return {"file": piece["file"], "bucket": piece["bucket"], "first_line": start, "last_line": start + len(buffer) - 1,
-                    "n_lines": len(buffer), "n_counted": 0, "raw_bytes": size, "delimiter": piece["delimiter"],
-                    "closed": closed, "text": text}
-
-        for frame in frames:
-            out = []
-            for piece in frame.to_dict("records"):
-                if (piece["file"], piece["grp"]) != key:
-                    key, buffer, counted, size, state = (piece["file"], piece["grp"]), [], 0, 0, 0
-                lines = piece["text"].split("\n")
-                for at, line in enumerate(lines):
-                    exits, dropped, _ = classify_line(line, options.dialect, options.strict_escapes, options.markers)
-                    if state == 0 and dropped:
-                        continue
-                    if size + len(line.encode()) + 1 > max_bytes:
-                        buffer, counted, size, state = [], 0, 0, 0
-                        continue
-                    state = exits[state]
-                    start = start if buffer else piece["first_line"] + at
-                    buffer.append(line)
-                    size += len(line.encode()) + 1
-                    counted += state == 0
-                    if counted > max_lines:
-                        buffer, counted, size = [], 0, 0
-                    elif state == 0 and line.rstrip(TRIM).endswith(piece["delimiter"]):
-                        out.append(row(piece, True))
-                        buffer, counted, size = [], 0, 0
-                if buffer and not piece["closed"] and piece["at_end"]:
-                    out.append(row(piece, False))
-            yield pd.DataFrame(out, columns=[*_RAW, "text"])
-
-    return run
-
-
-def _resumed(over: DataFrame, options: ScanOptions, max_lines: int, max_bytes: int) -> DataFrame:
-    """Apply ``_resume`` to pieces, each statement's in order and in one task."""
-    last = F.max("first_line").over(Window.partitionBy("file", "grp"))
-    keys = over.select("file", "grp", "first_line", (F.col("first_line") == last).alias("at_end"))
-    placed = over.join(keys, ["file", "grp", "first_line"]).repartition("file", "grp")
-    in_order = placed.sortWithinPartitions("file", "grp", "first_line")
-    schema = over.select(*_RAW, "text").schema
-    return in_order.mapInPandas(_resume(options, max_lines, max_bytes), schema)
+def _guard(max_lines: int | None, max_bytes: int | None) -> Column:
+    """The message of a statement over a limit that the caller gave."""
+    error = F.lit(None).cast("string")
+    if max_lines is not None:
+        error = F.when(F.col("n_counted") > max_lines, F.format_string(OVER_LINES, F.lit(max_lines))).otherwise(error)
+    if max_bytes is not None:
+        error = F.when(F.col("raw_bytes") > max_bytes, F.format_string(OVER_BYTES, F.lit(max_bytes))).otherwise(error)
+    return error
 
 
 def split_statements(
     lines: DataFrame,
     options: ScanOptions | None = None,
     max_lines: int | None = None,
-    max_bytes: int = MAX_BYTES,
+    max_bytes: int | None = None,
+    row_bytes: int = ROW_BYTES,
 ) -> Split:
     """Cut lines into statements.
 
-    A statement ends at a line that ends outside a string with the delimiter in force. Rows
-    with ``error`` tripped a size guard. Pieces are staged once, with the few border pieces
-    in a partition of their own, so joining borders reads nothing else.
+    A statement ends at a line that ends outside a string with the delimiter in force. A size
+    limit given here labels the statements over it in ``error`` and changes nothing else.
+    A statement over ``row_bytes`` comes as raw parts: rows with ``part`` from 1 on, in the
+    order of ``pos``, whose texts joined by line feeds are the statement with its delimiter.
+    Pieces are staged once, with the few border pieces in a partition of their own, so
+    joining borders reads nothing else.
     """
-    options = options or ScanOptions()
-    max_lines = max_lines or MAX_LINES[options.dialect]
-    scanned = scan(lines, options)
+    scanned = scan(lines, options or ScanOptions())
     cut = scanned.pieces()
     piece = F.when(F.col("border"), F.col("text"))
-    pieces = stage(_finished(cut.withColumn("piece", piece)), "pieces", partition_by=("border",))
+    pieces = stage(_finished(cut.withColumns({"piece": piece, "part": F.lit(0)})), "pieces", partition_by=("border",))
     borders = pieces.filter("border").select(*_RAW, F.col("piece").alias("text"))
-    grouped = _grouped_borders(borders, max_bytes)
-    joined = stage(_finished(_joined_borders(grouped)), "borders")
-    inner = pieces.filter("not border").drop("border", "piece")
-    guard = _guard(max_lines, max_bytes)
-    whole = inner.unionByName(joined).withColumn("error", guard)
-    if options.dialect == "cli" and not whole.filter("error is not null").isEmpty():
-        raw = F.when(F.col("closed"), F.concat("text", "delimiter")).otherwise(F.col("text"))
-        alone = inner.filter(guard.isNotNull()).select(*_RAW, raw.alias("text"), F.col("first_line").alias("grp"))
-        failed = joined.filter(guard.isNotNull()).select("file", F.col("first_line").alias("_first"))
-        parts = grouped.select(*_RAW, "text", "grp")
-        firsts = parts.groupBy("file", "grp").agg(F.min("first_line").alias("_first"))
-        chosen = failed.join(firsts, ["file", "_first"]).select("file", "grp")
-        over = alone.unionByName(parts.join(chosen, ["file", "grp"], "left_semi").withColumn("grp", -1 - F.col("grp")))
-        resumed = _finished(_resumed(over, options, max_lines, max_bytes))
-        whole = whole.unionByName(stage(resumed, "resumed").withColumn("error", F.lit(None).cast("string")))
-    statements = whole.filter("error is not null or not blank").select(
+    joined = stage(_finished(_joined_borders(_grouped_borders(borders, row_bytes))), "borders")
+    whole = pieces.filter("not border").drop("border", "piece").unionByName(joined)
+    of_insert = [F.when(F.col("part") == 0, F.col(c)).alias(c) for c in ("table", "prefix", "values_at", "n_sets", "vbytes", "is_ignore")]
+    statements = whole.filter("part > 0 or not blank").select(
         "file", "bucket", F.col("first_line").alias("pos"), "first_line", "last_line",
-        F.col("n_lines").cast("int").alias("n_lines"), "text", "n_bytes", "keyword",
-        (~F.col("closed")).alias("is_tail"), "like_sql", "error",
-        "kind", "table", "prefix", "values_at", "n_sets", "vbytes", "is_ignore",
+        F.col("n_lines").cast("int").alias("n_lines"), "text", "n_bytes", "keyword", "part",
+        (~F.col("closed")).alias("is_tail"), "like_sql", _guard(max_lines, max_bytes).alias("error"),
+        F.when(F.col("part") == 0, F.col("kind")).otherwise("other").alias("kind"), *of_insert,
     )
     return Split(statements, scanned.files(), scanned)
 
 
 def accepted(statements: DataFrame, dialect: str = "import") -> DataFrame:
-    """The statements that are executed.
+    """The statements that are executed, labelled ones included.
 
-    Import: those before the first size error of a file, and its tail only if it starts like
-    SQL. Cli: all that are free of errors.
+    Import: the tail of a file only if it starts like SQL. Cli: all.
     """
-    if dialect == "cli":
-        return statements.filter("error is null").drop("error", "like_sql")
-    kept = statements.filter("not is_tail or like_sql").drop("error", "like_sql")
-    failed = statements.filter("error is not null")
-    if failed.isEmpty():
-        return kept
-    stops = stage(failed.groupBy("file").agg(F.min("pos").alias("stop")), "stops")
-    if stops.count() <= BROADCAST_BLOCKS:
-        stops = F.broadcast(stops)
-    return kept.join(stops, "file", "left").filter("stop is null or pos < stop").drop("stop")
+    kept = statements if dialect == "cli" else statements.filter("not is_tail or like_sql")
+    return kept.drop("error", "like_sql")
 
 
 def quality(split: Split) -> DataFrame:

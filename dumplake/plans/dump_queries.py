@@ -6,7 +6,9 @@ then runs the operators over all of it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +16,7 @@ from ..functions.literals import quote
 from ..operators.batches import BatchOptions, batch_stats, commit_groups
 from ..operators.csvrows import csv_inserts, csv_records, csv_rows, valid_table_name
 from ..operators.inserts import analyse_inserts, statement_counts
-from ..operators.load import first_per_key, load_rows, table_columns
+from ..operators.load import first_per_key, insert_tuples, load_rows, table_columns
 from ..operators.profile import (
     count_lines, created_tables, created_tables_raw, has_create_table, preview_lines, preview_statements, profile_files,
 )
@@ -25,7 +27,7 @@ from ..session import stage, stage_path
 from ..sinks import write_dump
 from ..sources.lines import read_lines
 from ..sources.render import insert_text, statement_lines, table_lines, values_text
-from .jobs import csv_dump, optimise
+from .jobs import Loaded, csv_dump, load_dump, load_table, optimise
 from .registry import query, table
 
 # Statements per block of rendered lines, by how long their text is.
@@ -127,26 +129,14 @@ _GUARD_BYTES = 20_000
 
 
 @query(f"""
-WITH d AS (SELECT lang || '.sql' AS file, doc_id, octet_length(encode({_DOC_TEXT})) + 2 AS raw FROM documents),
-stops AS (SELECT file, min(doc_id) AS stop FROM d WHERE raw > {_GUARD_BYTES} GROUP BY file)
-SELECT d.file, count(*) AS all_statements, count(*) FILTER (WHERE raw > {_GUARD_BYTES}) AS over_size,
-       count(*) FILTER (WHERE stop IS NULL OR doc_id < stop) AS accepted_import,
-       count(*) FILTER (WHERE raw <= {_GUARD_BYTES}) AS accepted_cli
-FROM d LEFT JOIN stops USING (file) GROUP BY d.file
+SELECT lang || '.sql' AS file, count(*) AS all_statements, count(*) FILTER (WHERE octet_length(encode({_DOC_TEXT})) + 2 > {_GUARD_BYTES}) AS over_size,
+  CAST(sum(octet_length(encode({_DOC_TEXT}))) AS BIGINT) AS n_bytes
+FROM documents GROUP BY lang
 """)
 def size_guards(spark: SparkSession, sf: str) -> DataFrame:
-    """Statements over the byte guard: import stops at the first, cli goes on after each."""
-    lines = _document_lines(spark, sf)
-    got = split_statements(lines, ScanOptions("import"), max_bytes=_GUARD_BYTES).statements
-    per_file = got.groupBy("file").agg(F.count("*").alias("all_statements"), F.count("error").alias("over_size"))
-    imported = accepted(got).groupBy("file").agg(F.count("*").alias("accepted_import"))
-    cli = split_statements(lines, ScanOptions("cli"), max_bytes=_GUARD_BYTES).statements
-    # What reading goes on with inside an oversized text is not a statement of the table.
-    kept = accepted(cli, "cli").filter(F.col("text").startswith("INSERT INTO `documents`"))
-    whole = kept.groupBy("file").agg(F.count("*").alias("accepted_cli"))
-    joined = per_file.join(imported, "file", "left").join(whole, "file", "left")
-    return joined.select("file", "all_statements", "over_size", F.coalesce("accepted_import", F.lit(0)).alias("accepted_import"),
-                         F.coalesce("accepted_cli", F.lit(0)).alias("accepted_cli"))
+    """A byte limit labels the statements over it; all of them survive whole."""
+    got = split_statements(_document_lines(spark, sf), max_bytes=_GUARD_BYTES).statements
+    return got.groupBy("file").agg(F.count("*").alias("all_statements"), F.count("error").alias("over_size"), F.sum("n_bytes").alias("n_bytes"))
 
 
 _SESSION_LINES = 300
@@ -366,7 +356,7 @@ def _ddl(df: DataFrame, file: Column, key: str, name: Column) -> DataFrame:
     text = F.concat(
         F.lit("DROP TABLE IF EXISTS `old_"), name, F.lit("`;\nCREATE TABLE IF NOT EXISTS `"), name,
         F.lit("` (\n  `id` INT UNSIGNED NOT NULL AUTO_INCREMENT,\n  `price` DECIMAL(10,2) DEFAULT '0.00' COMMENT 'a, b (c)',\n"
-              "  `note` TEXT,\n  PRIMARY KEY (`id`),\n  KEY `k` (`price`)\n) ENGINE=InnoDB DEFAULT CHARSET=utf8mb4;"))
+              "  `order note` TEXT,\n  PRIMARY KEY (`id`),\n  KEY `k` (`price`)\n) ENGINE=InnoDB DEFAULT CHARSET=utf8mb4;"))
     return statement_lines(_per_line(df, file, key, text), LONG)
 
 
@@ -382,12 +372,13 @@ def created_table_names(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 WITH d AS (SELECT lang || '.sql' AS file, source AS table_name, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents)
-SELECT file, table_name, CAST(min(rn - 1) * 8 + 2 AS BIGINT) AS first_pos FROM d GROUP BY file, table_name
+SELECT file, table_name, CAST(min(rn - 1) * 6 + 2 AS BIGINT) AS first_pos FROM d GROUP BY file, table_name
 """)
 def created_table_names_raw(spark: SparkSession, sf: str) -> DataFrame:
-    """The same by line text alone."""
+    """The same by text alone, with names on lines of their own."""
     docs = table(spark, sf, "documents")
-    return created_tables_raw(_ddl(docs, F.concat("lang", F.lit(".sql")), "doc_id", F.col("source")))
+    text = F.concat(F.lit("-- next\nCREATE TABLE\n\n  `"), F.col("source"), F.lit("`\n(\n`id` INT);"))
+    return created_tables_raw(statement_lines(_per_line(docs, F.concat("lang", F.lit(".sql")), "doc_id", text), LONG))
 
 
 @query("""
@@ -407,7 +398,7 @@ def dumps_that_create(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 WITH t AS (SELECT 'ddl.sql' AS file, 's_' || s_suppkey AS "table" FROM supplier),
-c AS (SELECT * FROM (VALUES (0, 'id', 'int', '', true, true), (1, 'price', 'decimal', '(10,2)', false, false), (2, 'note', 'text', '', false, false))
+c AS (SELECT * FROM (VALUES (0, 'id', 'int', '', true, true), (1, 'price', 'decimal', '(10,2)', false, false), (2, 'order note', 'text', '', false, false))
       v(ordinal, "column", type, arguments, unsigned, is_key))
 SELECT file, "table", ordinal, "column", type, arguments, unsigned, is_key FROM t, c
 """)
@@ -473,28 +464,22 @@ def csv_table_names(spark: SparkSession, sf: str) -> DataFrame:
         "name", "valid").agg(F.count("*").alias("n"))
 
 
-_PROFILE_BYTES = 100_000
-
-
 @query(f"""
-WITH l AS (SELECT o_orderstatus || '.sql' AS file, o_orderkey, length({_ORDER_VALUES}) + 30 AS len,
-    CASE WHEN o_orderstatus = 'F' THEN 6 ELSE 0 END AS more FROM orders),
-c AS (SELECT file, sum(len + more) OVER (PARTITION BY file ORDER BY o_orderkey) AS upto, len + more AS size FROM l),
-p AS (SELECT file, CAST(sum(size) AS BIGINT) AS total, count(*) FILTER (WHERE upto <= {_PROFILE_BYTES}) AS n,
-      least({_PROFILE_BYTES}, sum(size)) AS bytes FROM c GROUP BY file)
+WITH l AS (SELECT o_orderstatus || '.sql' AS file, length({_ORDER_VALUES}) + 30 + CASE WHEN o_orderstatus = 'F' THEN 6 ELSE 0 END AS size FROM orders),
+p AS (SELECT file, CAST(sum(size) AS BIGINT) AS total, count(*) AS n FROM l GROUP BY file)
 SELECT file, total AS file_size, CASE WHEN total < 10485760 THEN 'tiny' WHEN total < 52428800 THEN 'small' WHEN total < 524288000 THEN 'medium'
     WHEN total < 2147483648 THEN 'large' ELSE 'massive' END AS category,
-  CAST(ceil(total / (bytes / n)) AS BIGINT) AS estimated_lines, round(bytes / n, 6) AS avg_bytes_per_line, file = 'F.sql' AS is_bulk_insert
+  n AS estimated_lines, round(total / n, 6) AS avg_bytes_per_line, file = 'F.sql' AS is_bulk_insert
 FROM p
 """)
 def file_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Size class, line estimate and bulk flag from the first bytes of each dump."""
+    """Size class, line count and bulk flag of each dump."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     values = values_text(orders, orders.columns)
     more = F.when(F.col("o_orderstatus") == "F", F.lit(", (NL)")).otherwise(F.lit(""))
     text = F.concat(F.lit("INSERT INTO `orders` VALUES "), values, more, F.lit(";"))
     lines = statement_lines(_per_line(orders, F.concat("o_orderstatus", F.lit(".sql")), "o_orderkey", text), SHORT)
-    got = profile_files(lines, sample_bytes=_PROFILE_BYTES)
+    got = profile_files(lines)
     return got.select("file", "file_size", "category", "estimated_lines", F.round("avg_bytes_per_line", 6).alias("avg_bytes_per_line"), "is_bulk_insert")
 
 
@@ -638,3 +623,107 @@ def optimised_files(spark: SparkSession, sf: str) -> DataFrame:
     write_dump(stage(done.output, "output"), path, "bzip2")
     again = split_statements(read_lines(spark, path))
     return load_rows(analyse_inserts(accepted(again.statements)), "customer", df.schema)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_tax FROM lineitem")
+def load_long_inserts(spark: SparkSession, sf: str) -> DataFrame:
+    """INSERTs that run over more than 300 lines, one tuple a line."""
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax")
+    group = F.floor(F.col("l_orderkey") / 400)
+    row = F.struct("l_orderkey", "l_linenumber", values_text(items, items.columns).alias("v"))
+    per = items.groupBy(group.alias("ord")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    text = F.concat(F.lit("INSERT INTO `lineitem` VALUES\n"), F.array_join(F.transform("rows", lambda r: r["v"]), ",\n"), F.lit(";"))
+    lines = statement_lines(_per_line(per, F.lit("lineitem.sql"), "ord", text), LONG)
+    return load_rows(accepted(split_statements(lines).statements), "lineitem", items.schema)
+
+
+_HOSTILE = " x SELECT y ON DUPLICATE KEY UPDATE a = VALUES (a)),(1); INSERT INTO t VALUES ("
+
+
+@query(f"SELECT doc_id, '{_HOSTILE}' || text AS text FROM documents")
+def load_hostile_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that hold the words of other statements."""
+    docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit(_HOSTILE), "text").alias("text"))
+    return _reload(docs, "documents", "doc_id", LONG)
+
+
+def _order_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders inserted, every third replaced later, every fifth given again with ON DUPLICATE KEY UPDATE, every seventh ignored."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    key = F.col("o_orderkey").cast("string")
+    ddl = "CREATE TABLE `my-orders$` (`order key` INT NOT NULL, `st` VARCHAR(9), PRIMARY KEY (`order key`));"
+    first = F.concat(F.lit("INSERT INTO `my-orders$` (`order key`, `st`) VALUES ("), key, F.lit(", '"), "o_orderstatus", F.lit("');"))
+    again = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("\nREPLACE INTO `my-orders$` VALUES ("), key, F.lit(", 'replaced');"))).otherwise("")
+    more = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("\ninsert into `my-orders$` values ("), key, F.lit(", 'updated') on duplicate key update st = values(st);"))).otherwise("")
+    late = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("\nINSERT IGNORE INTO `my-orders$` VALUES ("), key, F.lit(", 'ignored');"))).otherwise("")
+    text = F.concat(F.when(F.col("o_orderkey") == orders.agg(F.min("o_orderkey")).first()[0], ddl + "\n").otherwise(""), first, again, more, late)
+    return statement_lines(_per_line(orders, F.lit("orders.sql"), "o_orderkey", text), SHORT)
+
+
+@query("""
+SELECT o_orderkey AS "order key", CASE WHEN o_orderkey % 5 = 0 THEN 'updated' WHEN o_orderkey % 3 = 0 THEN 'replaced' ELSE o_orderstatus END AS st FROM orders
+""")
+def load_replace(spark: SparkSession, sf: str) -> DataFrame:
+    """REPLACE, ON DUPLICATE KEY UPDATE and INSERT IGNORE in dump order, with a quoted table name and the dump's own schema."""
+    got = load_table(split_statements(_order_changes(spark, sf)), "my-orders$")
+    return got.select(F.col("order key").cast("long").alias("order key"), "st")
+
+
+@query("SELECT 's_' || s_suppkey || '-$ x' AS name, s_suppkey AS n FROM supplier")
+def load_named_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of tables with any quoted name, and calls nested five deep."""
+    supplier = table(spark, sf, "supplier")
+    key = F.col("s_suppkey").cast("string")
+    text = F.concat(F.lit("INSERT INTO `db`.`s_"), key, F.lit("-$ x` (`a b`, `c`) VALUES ("), key, F.lit(", A(B(C(D(E(1))))));"))
+    tuples = insert_tuples(split_statements(statement_lines(_per_line(supplier, F.lit("s.sql"), "s_suppkey", text), SHORT)).statements)
+    return tuples.filter(F.size("items") == 2).select(F.col("table").alias("name"), F.trim(F.col("items")[0]).cast("long").alias("n"))
+
+
+@query("""
+SELECT NULL AS id, event_type, event_id FROM events UNION ALL
+SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn = 1
+""")
+def ignore_auto_increment(spark: SparkSession, sf: str) -> DataFrame:
+    """INSERT IGNORE with a key that is null never gives way; with a key the first row stays."""
+    events = table(spark, sf, "events")
+    event, user = F.col("event_id").cast("string"), F.col("user_id").cast("string")
+    row = lambda k: F.concat(F.lit("INSERT IGNORE INTO t VALUES ("), k, F.lit(", '"), "event_type", F.lit("', "), event, F.lit(");"))
+    ddl = F.lit("CREATE TABLE t (id BIGINT NOT NULL AUTO_INCREMENT PRIMARY KEY, event_type TEXT, event_id BIGINT);\n")
+    text = F.concat(F.when(F.col("event_id") == events.agg(F.min("event_id")).first()[0], ddl).otherwise(""), row(F.lit("NULL")), F.lit("\n"), row(user))
+    split = split_statements(statement_lines(_per_line(events, F.lit("t.sql"), "event_id", text), SHORT))
+    return load_table(split, "t")
+
+
+def _whole_dump(spark: SparkSession, sf: str) -> Loaded:
+    """Customers by nation, one table each, some of them with values that do not fit."""
+    customer = table(spark, sf, "customer")
+    nation, key = F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string")
+    first = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) == 1
+    ddl = F.concat(F.lit("CREATE TABLE n_"), nation, F.lit(" (id INT, name TEXT, day DATE);\n"))
+    values = F.when(F.col("c_custkey") % 4 == 0, F.concat(key, F.lit(", 'zero', '0000-00-00'"))).when(
+        F.col("c_custkey") % 4 == 1, F.concat(key, F.lit(", 'short'"))).otherwise(F.concat(key, F.lit(", 'fine', '2024-01-02'")))
+    text = F.concat(F.when(first, ddl).otherwise(""), F.lit("INSERT INTO n_"), nation, F.lit(" VALUES ("), values, F.lit(");"))
+    text = F.when(F.col("c_custkey") % 10 == 3, F.concat(text, F.lit("\nINSERT INTO n_0 SELECT 1;"))).otherwise(text)
+    return load_dump(split_statements(statement_lines(_per_line(customer, F.lit("all.sql"), "c_custkey", text), SHORT)))
+
+
+@query("""
+SELECT 'n_' || c_nationkey AS name, count(*) FILTER (WHERE c_custkey % 4 <> 1) AS n, CAST(sum(c_custkey) FILTER (WHERE c_custkey % 4 <> 1) AS BIGINT) AS ids,
+  count(*) FILTER (WHERE c_custkey % 4 > 1) AS days FROM customer GROUP BY c_nationkey
+""")
+def load_whole_dump(spark: SparkSession, sf: str) -> DataFrame:
+    """All tables of a dump, each with its own schema."""
+    frames = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.sum("id").alias("ids"), F.count("day").alias("days"))
+              for name, df in _whole_dump(spark, sf).tables.items()]
+    return reduce(DataFrame.unionAll, frames)
+
+
+@query("""
+SELECT 'n_' || c_nationkey AS "table", CASE c_custkey % 4 WHEN 0 THEN 'day' END AS "column",
+  CASE c_custkey % 4 WHEN 0 THEN 'no date' ELSE '2 values for 3 columns' END AS reason, count(*) AS n
+FROM customer WHERE c_custkey % 4 < 2 GROUP BY ALL
+UNION ALL SELECT NULL, NULL, 'no VALUES list', count(*) FROM customer WHERE c_custkey % 10 = 3 HAVING count(*) > 0
+""")
+def load_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """What a load of a whole dump could not store as it stands."""
+    return _whole_dump(spark, sf).rejects.groupBy("table", "column", "reason").agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.batches import BatchOptions, assign_batches, batch_stats, bucket_runs, file_sizes, gather
 from ..operators.csvrows import CsvOptions, csv_inserts, csv_records, csv_rows
 from ..operators.inserts import analyse_inserts, statement_counts, with_insert_columns
-from ..operators.load import first_per_key, load_rows, table_schema
+from ..operators.load import insert_tuples, rejects, resolve_keys, table_schema, table_schemas, typed_rows
 from ..operators.scan import ScanOptions
 from ..operators.statements import Split, accepted, split_statements
 from ..sinks import check_target, save_table, write_dump
@@ -71,20 +71,41 @@ def optimise_files(spark: SparkSession, source: str, target: str, preset: str =
 
 
 def load_table(split: Split, table: str, dialect: str = "import") -> DataFrame:
-    """Rows of one table of a dump, typed by its own CREATE TABLE, INSERT IGNORE applied.
+    """Rows of one table of a dump, typed by its own CREATE TABLE, in the state the dump leaves them."""
+    statements = accepted(split.statements, dialect)
+    schema, key = table_schema(statements, table)
+    return _stored(insert_tuples(statements).filter(F.col("table") == table.lower()), schema, key)
+
+
+def _stored(tuples: DataFrame, schema, key: list[str]) -> DataFrame:
+    """Typed rows of one table; keys only matter if a statement may meet an earlier row."""
+    width = F.when(F.col("names").isNull(), F.lit(len(schema.fields))).otherwise(F.size("names"))
+    tuples = tuples.filter(F.size("items") == width)
+    if not key or tuples.filter("mode != 'insert'").isEmpty():
+        return typed_rows(tuples, schema)
+    rows = typed_rows(tuples, schema, keep=("file", "pos", "item", "mode"))
+    return resolve_keys(rows, key).select(*[f.name for f in schema.fields])
+
+
+@dataclass(frozen=True)
+class Loaded:
+    """A frame per table of a dump, and what could not be stored as it stands."""
+
+    tables: dict[str, DataFrame]
+    rejects: DataFrame
+
 
-    Only INSERT IGNORE rows give way to rows already there; the order is that of the dump.
+def load_dump(split: Split, dialect: str = "import") -> Loaded:
+    """All tables that the dump creates, typed by their CREATE TABLE, and the reject table.
+
+    The value tuples are read from the statements once and staged by table.
     """
     statements = accepted(split.statements, dialect)
-    schema, key = table_schema(statements, table)
-    inserts = analyse_inserts(statements)
-    ignoring = inserts.filter("is_ignore").filter(F.col("table").contains(table.lower()))
-    if not key or ignoring.isEmpty():
-        return load_rows(inserts, table, schema)
-    rows = load_rows(inserts, table, schema, keep=("file", "pos", "item", "is_ignore"))
-    plain = rows.filter("not is_ignore")
-    wanted = first_per_key(rows.filter("is_ignore"), key, ["file", "pos", "item"], existing=plain)
-    return plain.unionByName(wanted).select(*[f.name for f in schema.fields])
+    labelled = split.statements if dialect == "cli" else split.statements.filter("not is_tail or like_sql")
+    schemas = table_schemas(statements)
+    tuples = stage(insert_tuples(statements), "tuples", partition_by=("table",))
+    tables = {name: _stored(tuples.filter(F.col("table") == name), schema, key) for name, (schema, key) in schemas.items()}
+    return Loaded(tables, rejects(labelled, {name: schema for name, (schema, _) in schemas.items()}, tuples))
 
 
 def load_csv(lines: DataFrame, schema, table: str, options: CsvOptions = CsvOptions(), empty_first: bool = False) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.format import format_bytes, format_clock, format_duration
+from ..functions.format import format_bytes, format_clock, format_duration, number_format
 from ..functions.literals import quote
 from ..operators import history as h
 from ..operators import progress as p
@@ -172,7 +172,7 @@ def history_latest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_HISTORY + "SELECT id FROM h ORDER BY ts DESC, id DESC LIMIT 50")
 def history_retained(spark: SparkSession, sf: str) -> DataFrame:
-    return h.retain(_history(spark, sf)).select("id")
+    return h.retain(_history(spark, sf), 50).select("id")
 
 
 @query(_HISTORY + f"""
@@ -374,3 +374,12 @@ def stream_arriving_dumps(spark: SparkSession, sf: str) -> DataFrame:
     write_dump(orders.select(F.lit("orders").alias("file"), F.col("o_orderkey").alias("pos"), insert_text(orders, "orders").alias("text")), path)
     ingest_dumps(spark, path, target, stage_path(spark, "check"), max_files=2).awaitTermination()
     return spark.read.parquet(f"{target}/statements").groupBy("keyword").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT o_orderkey, format('{:,}', o_orderkey * 7919) AS whole, format('{:,.2f}', o_totalprice) AS price FROM orders
+""")
+def formatted_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers with commas between thousands."""
+    orders = table(spark, sf, "orders")
+    return orders.select("o_orderkey", number_format(F.col("o_orderkey") * 7919).alias("whole"), number_format(F.col("o_totalprice"), 2).alias("price"))

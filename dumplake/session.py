@@ -6,8 +6,11 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 _MIN_SPLITS = "spark.sql.files.minPartitionNum"
@@ -60,6 +63,16 @@ def _stage_root(spark: SparkSession) -> str:
     return os.path.join(shared_dir(spark), "dumplake-stage", spark.sparkContext.applicationId)
 
 
+# A table is broadcast if its staged size is at most this many bytes.
+BROADCAST_BYTES = 32 * 1024**2
+
+
+def broadcast_within(df: DataFrame, most: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """``df`` marked for broadcast if Spark's own size of it (that of its files) is within ``most``, and whether it is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return (F.broadcast(df), True) if size <= most else (df, False)
+
+
 def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as parquet to the shared folder and return a reader over it.
 
@@ -78,9 +91,29 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scope: ContextVar[list[str] | None] = ContextVar("stage_scope", default=None)
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder, for sinks that write other formats."""
-    return os.path.join(_stage_root(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(_stage_root(spark), f"{name}-{uuid.uuid4().hex}")
+    if (made := _scope.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def stage_scope(spark: SparkSession):
+    """Delete at the end what was staged inside, as after a batch of a stream."""
+    made: list[str] = []
+    token = _scope.set(made)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for name in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_stage(spark: SparkSession) -> bool:

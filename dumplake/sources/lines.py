@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrow import segments
 from ..functions.text import BOMS
-from ..session import pin_split_plan, stage
+from ..session import broadcast_within, pin_split_plan, stage
 
 # Columns every line source provides. ``block`` is an offset that orders the pieces of a
 # file, ``row`` counts the lines of a piece upwards by one from any start, and the lines of
@@ -50,10 +46,6 @@ def read_lines(spark: SparkSession, paths: str | list[str], charset: str | None
 # (bytes) and holds what starts on at most this many lines (rows, for unsplit gzip).
 BUCKET_LINES = 1 << 17
 
-# The block table is joined by broadcast up to this many blocks (about 150 bytes each);
-# beyond it Spark picks the join.
-BROADCAST_BLOCKS = 1_000_000
-
 
 def line_blocks(lines: DataFrame) -> DataFrame:
     """One staged row per block: its number, first line, first byte and size.
@@ -77,35 +69,11 @@ def number_lines(lines: DataFrame, blocks: DataFrame | None = None) -> DataFrame
     """Add ``line_no`` (from 1 along each file) and ``bucket``, without moving the text."""
     blocks = line_blocks(lines) if blocks is None else blocks
     base = blocks.select("file", "block", "block_no", "first_line", "first_row", "start_byte")
-    base = F.broadcast(base) if blocks.count() <= BROADCAST_BLOCKS else base
+    base, small = broadcast_within(base)
     at = F.col("row") - F.col("first_row")
-    return lines.join(base, ["file", "block"]).select(
+    out = lines.join(base, ["file", "block"]).select(
         "file", "block", "row", (F.col("first_line") + at).alias("line_no"),
         (F.shiftleft("block_no", 20) + F.floor(at / BUCKET_LINES)).alias("bucket"), "start_byte", "value",
     )
-
-
-def file_head(lines: DataFrame, max_bytes: int, blocks: DataFrame | None = None) -> DataFrame:
-    """The lines of each file that start before byte ``max_bytes``, with their offset.
-
-    Blocks beyond the head are filtered out first; the rest is counted as it streams by.
-    """
-    numbered = number_lines(lines, blocks).filter(F.col("start_byte") < max_bytes)
-
-    def cut(batches):
-        key, offset = None, 0
-        for batch in batches:
-            for here, part in segments(batch):
-                if here != key:
-                    key, offset = here, part.column("start_byte")[0].as_py()
-                if offset >= max_bytes:
-                    continue
-                size = pc.binary_length(part.column("value")).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-                ends = offset + np.cumsum(size)
-                kept = part.slice(0, int(np.searchsorted(ends - size, max_bytes)))
-                offset = int(ends[-1])
-                yield pa.RecordBatch.from_arrays([kept.column(n) for n in ("file", "line_no", "value")],
-                                                 names=["file", "line_no", "value"])
-
-    return numbered.select("file", "block", "line_no", "start_byte", "value").mapInArrow(
-        cut, "file string, line_no long, value string")
+    # A shuffle join loses the order of the lines, which readers of whole blocks need.
+    return out if small else out.sortWithinPartitions("file", "block", "row")

@@ -9,8 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import TRIM, classify_line, without_bom
+from ..operators.load import rejects
 from ..operators.scan import ScanOptions
-from ..operators.statements import MAX_BYTES, MAX_LINES, OVER_BYTES, OVER_LINES, accepted, split_statements
+from ..operators.statements import OVER_BYTES, OVER_LINES, ROW_BYTES, accepted, split_statements
+from ..session import stage_scope
 from ..sources.lines import read_lines
 
 CHUNKS = "dump_id string, seq long, is_last boolean, data binary"
@@ -37,6 +39,10 @@ def ingest_dumps(spark: SparkSession, path: str, target: str, checkpoint: str, o
     """
 
     def load(batch: DataFrame, number: int) -> None:
+        with stage_scope(batch.sparkSession):
+            _load(batch, number)
+
+    def _load(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         paths = [r.path for r in batch.select("path").collect()]
         if not paths:
@@ -54,6 +60,8 @@ def ingest_dumps(spark: SparkSession, path: str, target: str, checkpoint: str, o
             (~F.col("unclosed_string")).alias("finished"), F.col("file").endswith(".gz").alias("is_gzip"),
         )
         log.write.mode("overwrite").parquet(f"{target}/progress/batch={number}")
+        rejected = rejects(split.statements.filter("not is_tail or like_sql"), {})
+        rejected.write.mode("overwrite").parquet(f"{target}/rejects/batch={number}")
 
     writer = arriving_files(spark, path, max_files).writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -77,11 +85,15 @@ _STATE = (
 _OUT = "dump_id string, seq long, pos long, last_line long, text string, is_tail boolean, error string"
 
 
+# Label of a stretch of a statement that is too long to be kept open whole; the stretch after it goes on.
+IN_PARTS = "Part of a statement that is too long for one row"
+
+
 class _Reader:
     """The resumable part of reading one dump: what is saved between chunks."""
 
-    def __init__(self, options: ScanOptions, saved: tuple | None, max_lines: int, max_bytes: int):
-        self.options, self.max_lines, self.max_bytes = options, max_lines, max_bytes
+    def __init__(self, options: ScanOptions, saved: tuple | None, max_lines: int | None, max_bytes: int | None, row_bytes: int = ROW_BYTES):
+        self.options, self.max_lines, self.max_bytes, self.row_bytes = options, max_lines, max_bytes, row_bytes
         start = (0, 0, options.delimiter, b"", "", 0, 0, 0, 0, 0, [], [], [])
         (self.next_seq, self.quote, self.delimiter, partial, pending, self.first_line, self.line_no, self.counted,
          self.statements, self.bytes, seqs, lasts, data) = saved or start
@@ -102,7 +114,12 @@ class _Reader:
         text = "".join(self.open_lines).strip(TRIM)
         if text.endswith(self.delimiter):
             text = text[: -len(self.delimiter)].strip(TRIM)
-        found = (self.first_line, self.line_no, text, tail, None) if text not in ("", "0") else None
+        error = None
+        if self.max_bytes is not None and self.open_bytes > self.max_bytes:
+            error = OVER_BYTES % self.max_bytes
+        elif self.max_lines is not None and self.counted > self.max_lines:
+            error = OVER_LINES % self.max_lines
+        found = (self.first_line, self.line_no, text, tail, error) if text not in ("", "0") else None
         self._clear()
         return found
 
@@ -114,20 +131,17 @@ class _Reader:
             self.delimiter = directive or self.delimiter
             return None
         size = len(line.encode()) + 1
-        if self.open_bytes + size > self.max_bytes:
-            self._clear()
-            self.quote = 0
-            return (self.line_no, self.line_no, "", False, OVER_BYTES % self.max_bytes)
         self.first_line = self.first_line or self.line_no
         self.quote = exits[self.quote]
         self.open_lines.append(line + "\n")
         self.open_bytes += size
         self.counted += self.quote == 0
-        if self.counted > self.max_lines:
-            self._clear()
-            return (self.line_no, self.line_no, "", False, OVER_LINES % self.max_lines)
         if self.quote == 0 and line.rstrip(TRIM).endswith(self.delimiter):
             return self._finish(False)
+        if self.open_bytes > self.row_bytes:
+            part = (self.first_line, self.line_no, "".join(self.open_lines), False, IN_PARTS)
+            self.open_lines, self.open_bytes, self.first_line = [], 0, 0
+            return part
         return None
 
     def read(self, seq: int, last: bool, data: bytes):
@@ -156,17 +170,15 @@ class _Reader:
 
 
 def split_stream(chunks: DataFrame, options: ScanOptions = ScanOptions(), max_lines: int | None = None,
-                 max_bytes: int = MAX_BYTES) -> DataFrame:
+                 max_bytes: int | None = None) -> DataFrame:
     """Statements of chunked dumps; a chunk may end anywhere, also inside a line or a string.
 
     The state per dump is what a stopped load needs to go on: quote, delimiter, the open
-    statement (capped by the byte guard), line and byte counts. Chunks ahead of their turn
+    statement (handed on in labelled parts beyond ``ROW_BYTES``), line and byte counts. Limits given here label statements. Chunks ahead of their turn
     wait in the state. Chunks already read are skipped, so repeats do no harm.
     """
-    limit = max_lines or MAX_LINES[options.dialect]
-
     def run(key, frames, state: GroupState):
-        reader = _Reader(options, state.get if state.exists else None, limit, max_bytes)
+        reader = _Reader(options, state.get if state.exists else None, max_lines, max_bytes)
         out = []
         for frame in frames:
             for row in frame.sort_values("seq").itertuples(index=False):

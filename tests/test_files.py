@@ -3,6 +3,7 @@ import gzip
 import json
 import os
 import random
+import re
 import tempfile
 
 import pytest
@@ -107,11 +108,13 @@ def test_numbered_lines_across_splits(spark, dump):
 
 
 def test_profile(spark, dump):
-    path = dump(a__sql="INSERT INTO t VALUES (1), (2);\n" * 10, b__sql="no newline", c__gz=gzip.compress(b"x\ny\n"))
+    late = "SELECT 1;\n" * 200_000 + "INSERT\nINTO t\nVALUES (1),\n(2);\n"
+    path = dump(a__sql="INSERT INTO t VALUES (1), (2);\n" * 10, b__sql="no newline", c__gz=gzip.compress(b"x\ny\n"), d__sql=late)
     sizes = list_files(spark, path).select(F.col("path").alias("file"), "size")
     got = {os.path.basename(r.file): r for r in profile_files(read_lines(spark, path), sizes).collect()}
     a, c = got["a.sql"], got["c.gz"]
     assert (a.file_size, a.category, a.estimated_lines, a.avg_bytes_per_line, a.is_bulk_insert) == (310, "tiny", 10, 31.0, True)
+    assert (got["d.sql"].is_bulk_insert, got["d.sql"].estimated_lines) == (True, 200_004) and not got["b.sql"].is_bulk_insert
     assert (c.category, c.estimated_lines, c.is_gzip, c.is_estimate, c.file_size) == ("medium", None, True, True, 0)
 
 
@@ -128,6 +131,21 @@ def test_created_tables(spark, dump):
     assert [r.table_name for r in has_create_table(wanted, created).collect()] == ["POSTS"]
 
 
+@pytest.mark.parametrize("size", ["16", "50", "1k"])
+def test_created_tables_across_lines_and_splits(spark, dump, size):
+    text = "".join(f"-- {i}\nCREATE  TABLE{chr(10) * (i % 4 + 1)} IF NOT\nEXISTS `t{i}`\n\n (id INT);\n" for i in range(60))
+    path = dump(a__sql=text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = created_tables_raw(read_lines(spark, path)).orderBy("first_pos").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(m[1], text.count("\n", 0, m.start()) + 1) for m in re.finditer(r"CREATE\s+TABLE\s+IF\s+NOT\s+EXISTS\s+`(\w+)`\s*\(", text)]
+    assert len(want) == 60 and [(r.table_name, r.first_pos) for r in got] == want
+
+
 def test_reset_drops_only_created_tables(spark, dump):
     spark.sql("CREATE TABLE IF NOT EXISTS dl_reset_a (id INT) USING parquet")
     created = created_tables(split_statements(read_lines(spark, dump(a__sql="CREATE TABLE dl_reset_a (id INT);\n"))).statements)
@@ -185,10 +203,14 @@ def test_history_folder(spark, folder):
     row = h.summary(h.read_history(spark, path)).first()
     assert (row.total_imports, row.failed_imports, row.total_bytes_formatted, row.avg_duration, row.last_import) == (60, 30, "120 KB", 1.23, "imp_59")
     assert h.delete_entry(spark, path, "imp_59") and not h.delete_entry(spark, path, "imp_59")
-    h.trim_history(spark, path)
+    h.trim_history(spark, path, 50)
     assert h.read_history(spark, path).count() == 50
+    os.rename(path, path + ".old-crashed")
+    assert h.read_history(spark, path).count() == 50, "a crash between the moves loses nothing"
+    os.rename(path + ".old-crashed", path)
     h.clear_history(spark, path)
     assert h.read_history(spark, path).count() == 0
+    assert [n for n in os.listdir(folder) if n.startswith("history")] == ["history"]
     broken = os.path.join(folder, "array.json")
     with open(broken, "w") as out:
         out.write(json.dumps([{"id": "x", "success": True}, {"id": "y", "success": False}]))

@@ -10,9 +10,9 @@ from dumplake.functions.literals import literal_text
 from dumplake.operators.csvrows import CsvOptions, check_table_name, csv_inserts, csv_records, csv_rows, parse_fields
 from dumplake.operators.inserts import analyse_inserts
 from dumplake.operators.scan import ScanOptions
-from dumplake.operators.load import load_rows, table_schema
+from dumplake.operators.load import load_rows, rejects, table_schema
 from dumplake.operators.statements import accepted, split_statements
-from dumplake.plans.jobs import dry_run, load_table
+from dumplake.plans.jobs import dry_run, load_dump, load_table
 from dumplake.sources.lines import read_lines
 from dumplake.sources.render import create_table_text, table_lines
 
@@ -133,3 +133,35 @@ def test_other_delimiter_and_names(spark):
 def test_dry_run_counts_only(spark, dump):
     rows = {(r.keyword, r.kind): r.n_statements for r in dry_run(read_lines(spark, dump(a__sql=DUMP))).collect()}
     assert rows[("CREATE", "other")] == 1 and rows[("INSERT", "insert_single")] == 6
+
+
+def test_every_row_of_a_dump_is_loaded(spark, dump):
+    text = ("INSERT INTO t VALUES (1, 'a SELECT b');\nREPLACE INTO t VALUES (2, 'x');\nINSERT INTO t VALUES (3, ') ON DUPLICATE KEY UPDATE a = (1)');\n"
+            "INSERT INTO t (a, b) VALUES (4, 'VALUES (9),(8)') ON DUPLICATE KEY UPDATE b = VALUES(b);\nINSERT LOW_PRIORITY INTO `t`(`b`,`a`)VALUES('z',5),\n('w',6);\n"
+            "INSERT INTO t VALUE (A(B(C(D(E(F(1)))))), 'deep');\nINSERT INTO `my-t` VALUES (1, 'n');\nINSERT INTO `d.b`.`t$x y` VALUES (1, 'n');\nINSERT INTO t SELECT * FROM u;\n")
+    got = split_statements(read_lines(spark, dump(a__sql=text))).statements
+    schema = T.StructType().add("a", "string").add("b", "string")
+    rows = sorted(tuple(r) for r in load_rows(got, "t", schema).collect())
+    assert rows == sorted([("1", "a SELECT b"), ("2", "x"), ("3", ") ON DUPLICATE KEY UPDATE a = (1)"), ("4", "VALUES (9),(8)"), ("5", "z"), ("6", "w"), ("A(B(C(D(E(F(1))))))", "deep")])
+    assert load_rows(got, "my-t", schema).count() == 1 and load_rows(got, "T$X Y", schema).count() == 1
+    assert [r.reason for r in rejects(got, {}).collect()] == ["no VALUES list"]
+
+
+def test_keys_in_dump_order(spark, dump):
+    text = ("CREATE TABLE k (id INT PRIMARY KEY, v TEXT);\nINSERT INTO k VALUES (1, 'plain'), (2, 'old'), (NULL, 'n1');\nINSERT IGNORE INTO k VALUES (1, 'late'), (3, 'first'), (NULL, 'n2');\n"
+            "INSERT IGNORE INTO k VALUES (3, 'second'), (NULL, 'n3');\nREPLACE INTO k VALUES (2, 'new');\nINSERT IGNORE INTO k VALUES (4, 'kept');\nINSERT INTO k VALUES (5, 'a');\n"
+            "INSERT INTO k VALUES (5, 'b') ON DUPLICATE KEY UPDATE v = VALUES(v);\n")
+    rows = load_table(split_statements(read_lines(spark, dump(a__sql=text))), "k").collect()
+    assert sorted((str(r.id), r.v) for r in rows) == [("1", "plain"), ("2", "new"), ("3", "first"), ("4", "kept"), ("5", "b"), ("None", "n1"), ("None", "n2"), ("None", "n3")]
+
+
+def test_whole_dump_and_rejects(spark, dump):
+    text = ("CREATE TABLE `a b` (`order date` DATE, `n` DECIMAL(65,2), `x,y` INT, PRIMARY KEY (`x,y`, `order date`(3)));\nCREATE TABLE c (d INT);\n"
+            "INSERT INTO `a b` VALUES ('2024-01-02', 12345678901234567890123456789012345678901234.5, 1), ('0000-00-00', 1, 2), (1, 2);\nINSERT INTO c VALUES ('x'), (NULL), (7) garbage;\n")
+    done = load_dump(split_statements(read_lines(spark, dump(a__sql=text)), max_bytes=60))
+    assert {n: df.count() for n, df in done.tables.items()} == {"a b": 2, "c": 3}
+    assert done.tables["a b"].columns == ["order date", "n", "x,y"]
+    assert done.tables["a b"].orderBy("x,y").first().n == "12345678901234567890123456789012345678901234.5"
+    got = sorted((str(r["table"]), str(r["column"]), r.reason) for r in done.rejects.collect())
+    assert got == sorted([("a b", "order date", "no date"), ("a b", "None", "2 values for 3 columns"), ("c", "d", "no int"), ("c", "None", "unread text after the values"),
+                          *[("None", "None", "Query exceeds maximum memory limit (60 bytes)")] * 2])

@@ -69,7 +69,7 @@ def test_block_table_joined_by_shuffle(spark, dump, monkeypatch):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
     try:
         _, by_hash = read(spark, path)
-        monkeypatch.setattr(module, "BROADCAST_BLOCKS", 0)
+        monkeypatch.setattr(module, "broadcast_within", lambda df: (df.hint("merge"), False))
         _, by_merge = read(spark, path)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
@@ -121,44 +121,47 @@ def test_tail_keywords_and_unclosed_string(spark, dump):
     assert report["a.sql"].problem is None and report["a.sql"].has_tail
 
 
-def test_line_guard(spark, dump):
+@pytest.mark.parametrize("dialect", ["import", "cli"])
+def test_limits_label_and_change_nothing(spark, dump, dialect):
     long = "CREATE PROCEDURE p\n" + "x\n" * 9 + "end;\n"
-    path = dump(a__sql="SELECT 1;\n" + long + "SELECT 2;\n")
-    got, by_file = read(spark, path, max_lines=5)
-    assert [r.error is not None for r in by_file["a.sql"]] == [False, True, False]
-    assert [r.text for r in accepted(got.statements).collect()] == ["SELECT 1"]
-    got, _ = read(spark, path, ScanOptions("cli"), max_lines=5)
-    expected, _, _ = split("SELECT 1;\n" + long + "SELECT 2;\n", "cli", max_lines=5)
-    rows = accepted(got.statements, "cli").orderBy("pos").collect()
-    assert [r.text for r in rows] == [t for _, t in expected if t is not None]
-
-
-def test_byte_guard(spark, dump):
-    text = "SELECT 1;\nSELECT '" + "x" * 300 + "';\nSELECT 'a\nb" + "y" * 300 + "\nc';\nSELECT 2;\n"
+    text = "SELECT 1;\n" + long + "SELECT '" + "x" * 300 + "';\nSELECT 'a\nb" + "y" * 300 + "\nc';\nSELECT 2;\n"
     path = dump(a__sql=text)
-    got, by_file = read(spark, path, max_bytes=200)
-    assert sum(r.error is not None for r in by_file["a.sql"]) == 2
-    assert [r.text for r in accepted(got.statements).collect()] == ["SELECT 1"]
+    want, _, _ = split(text, dialect)
+    for limit, over in (({}, []), ({"max_lines": 5}, [2]), ({"max_bytes": 200}, [13, 14])):
+        got, by_file = read(spark, path, ScanOptions(dialect), **limit)
+        assert [(r.pos, r.text) for r in by_file["a.sql"]] == want
+        assert [r.pos for r in by_file["a.sql"] if r.error] == over
+        assert accepted(got.statements, dialect).count() == len(want)
+
+
+def test_statement_too_long_for_a_row_comes_in_parts(spark, dump):
+    body = "SELECT '" + "\n".join(f"line {i}" for i in range(300)) + "';"
+    path = dump(a__sql="SELECT 1;\n" + body + "\nSELECT 2;\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        rows = split_statements(read_lines(spark, path), row_bytes=500).statements.orderBy("pos").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    parts = [r.text for r in rows if r.part]
+    assert "\n".join(parts) == body and len(parts) > 3 and not any(r.is_tail for r in rows)
+    assert [r.text for r in rows if not r.part] == ["SELECT 1", "SELECT 2"]
+    assert [r.part for r in rows if r.part] == sorted({r.part for r in rows if r.part})
 
 
 def test_open_statement_is_handed_on_in_parts(spark, dump, monkeypatch):
-    """An unclosed string neither gathers in one row nor stops the cli dialect."""
+    """What stays open over many batches is handed on in parts and joined again."""
     import dumplake.operators.scan as module
     text = "SELECT 1;\nSELECT 'a;\n" + "INSERT INTO t VALUES (1, 'x');\n" * 200 + "SELECT 9;\n" * 3
     path = dump(a__sql=text)
     monkeypatch.setattr(module, "PART_BYTES", 100)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
     try:
-        _, whole = read(spark, path, max_lines=10**6)
-        _, cut = read(spark, path, ScanOptions("cli"), max_bytes=500)
+        _, whole = read(spark, path)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     statements, tail, _ = split(text)
     assert [(r.pos, r.text) for r in whole["a.sql"] if not r.is_tail] == statements
     assert [r.text for r in whole["a.sql"] if r.is_tail] == ([tail] if tail else [])
-    expected, tail, _ = split(text, "cli", max_bytes=500)
-    good = [r.text for r in cut["a.sql"] if r.error is None]
-    assert good == [t for _, t in expected if t is not None] + ([tail] if tail else [])
 
 
 def test_latin1(spark, dump):

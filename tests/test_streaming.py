@@ -42,16 +42,16 @@ def test_chunks_out_of_order_and_resumed(spark, folder):
     assert [r.text for r in rows if r.is_tail] == [tail]
 
 
-def test_guards_in_the_stream(spark, folder):
+def test_limits_in_the_stream_label_only(spark, folder):
     source, out, check = (os.path.join(folder, n) for n in ("in", "out", "check"))
     os.mkdir(source)
     text = "SELECT 1;\nx\n" + "y\n" * 9 + ";\nSELECT 2;\n"
     for path, data in write(source, "d", text, [15]):
         open(path, "wb").write(data)
     rows = run(spark, source, out, check, max_lines=5)
-    want, _, _ = split(text, max_lines=5)
-    assert [(r.pos, r.text or None) for r in rows] == want
-    assert sum(r.error is not None for r in rows) == sum(t is None for _, t in want)
+    want, _, _ = split(text)
+    assert [(r.pos, r.text) for r in rows] == want
+    assert [r.pos for r in rows if r.error] == [2]
 
 
 def test_arriving_dumps_are_split_once(spark, folder):
@@ -68,4 +68,5 @@ def test_arriving_dumps_are_split_once(spark, folder):
     assert rows.filter("not is_tail").count() == 3 * len(want) + 1
     log = spark.read.parquet(f"{target}/progress").collect()
     assert len(log) == 4 and all(r.finished and r.file_size == r.bytes for r in log)
+    assert spark.read.parquet(f"{target}/rejects").count() == 0
     assert forget(spark, check) and not os.path.exists(check)
