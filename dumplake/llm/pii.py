@@ -89,7 +89,7 @@ def _words(name: str, kind: str, check: str) -> str:
 
 def _of(x: str, check: str) -> str:
     """A check on ``m`` as one on the match of ``x``."""
-    return check.replace("(m,", f"({x}.m,").replace("m RLIKE", f"{x}.m RLIKE")
+    return check.replace("(m,", f"({x}.m,").replace("(m)", f"({x}.m)").replace("m RLIKE", f"{x}.m RLIKE")
 
 
 def scan(docs: DataFrame) -> DataFrame:
