@@ -73,29 +73,21 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(ranks))
         self.order = sorted(ranks.values())
         self.whole = {t: struct.pack("<I", r) for t, r in ranks.items()}
-        self.split = regex.compile(pattern)
         shown = byte_characters()
         self.to_piece = {b: c for b, c in shown.items()}
         back = {c: b for b, c in shown.items()}
         self.bytes_of = {r: bytes(back[c] for c in self.model.id_to_piece(i)) for i, r in enumerate(self.order)}
-        self.units = Units(self._encode)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        matched = [self.split.findall(t) for t in texts]
-        tokens = list(set().union(*matched)) if matched else []
-        ids: dict[str, bytes] = {}
-        left, pieces = [], []
-        for t in tokens:
-            raw = t.encode("utf-8", "surrogatepass")
-            if raw in self.whole:
-                ids[t] = self.whole[raw]
-            else:
-                left.append(t)
-                pieces.append(raw.decode("latin-1").translate(self.to_piece))
+        self.units = Units(regex.compile(pattern).findall, self._encode)
+
+    def _encode(self, tokens: list[str]) -> list[bytes]:
+        raw = [t.encode("utf-8", "surrogatepass") for t in tokens]
+        out = [self.whole.get(r) for r in raw]
+        left = [i for i, x in enumerate(out) if x is None]
         order = self.order
-        for t, got in zip(left, self.model.encode(pieces, num_threads=1)):
-            ids[t] = struct.pack(f"<{len(got)}I", *[order[i] for i in got])
-        return [b"".join(map(ids.__getitem__, m)) for m in matched]
+        pieces = [raw[i].decode("latin-1").translate(self.to_piece) for i in left]
+        for i, got in zip(left, self.model.encode(pieces, num_threads=1)):
+            out[i] = struct.pack(f"<{len(got)}I", *[order[x] for x in got])
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 #: A space beside other white space or at an end of the text: there a cut before the space is not safe.
 _ODD = re.compile(r"(?:\A|\s) | (?:\s|\Z)")
+#: Units and tokens kept in a worker; beyond it the table starts anew.
 CACHED = 400_000
 
 
@@ -15,28 +16,33 @@ class Units:
 
     The common split pattern of byte-level vocabularies never matches across the place between a
     character that is not white space and a single space before another such character. So a text cut there has
-    the ids of its parts. ``encode`` gives the ids of texts one by one, as bytes.
+    the ids of its parts. ``split`` gives the tokens of a part, ``encode`` the ids of tokens, as bytes; parts and tokens
+    that were met before are looked up.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode = encode
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]]):
+        self.split, self.encode = split, encode
         self.first: dict[str, bytes] = {}
         self.after: dict[str, bytes] = {}
+        self.tokens: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.after) > CACHED:
-            self.first.clear()
-            self.after.clear()
+        """The ids of each text."""
+        for table in (self.first, self.after, self.tokens):
+            if len(table) > CACHED:
+                table.clear()
         parts = [t.split(" ") if not _ODD.search(t) else cut(t) for t in texts]
         heads, rest = {p[0] for p in parts}, set()
         for p in parts:
             rest.update(p[1:])
         heads.difference_update(self.first)
         rest.difference_update(self.after)
-        new = [*heads, *rest]
-        found = self.encode([*heads, *(" " + x for x in rest)]) if new else []
-        self.first.update(zip(new[: len(heads)], found))
-        self.after.update(zip(new[len(heads) :], found[len(heads) :]))
+        split = [self.split(x) for x in heads] + [self.split(" " + x) for x in rest]
+        fresh = list(set().union(*split).difference(self.tokens))
+        self.tokens.update(zip(fresh, self.encode(fresh)))
+        found = [b"".join(map(self.tokens.__getitem__, s)) for s in split]
+        self.first.update(zip(heads, found))
+        self.after.update(zip(rest, found[len(heads) :]))
         return [self.first[p[0]] + b"".join(map(self.after.__getitem__, p[1:])) for p in parts]
 
 

@@ -36,7 +36,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents written as sections and read back."""
     path = stage_path(spark, "rans")
-    rans.write_ids(table(spark, sf_dir, "documents"), path, TOKENIZER)
+    rans.write_ids(table(spark, sf_dir, "documents"), path, TOKENIZER, public_tokenizers.PATTERN)
     read = rans.read_ids(spark, path).select("part", "section", "place", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"))
     return rans.with_starts(stage(read, "rans-read")).select("doc_id", "start", "n_tokens", "ids_crc32")
 

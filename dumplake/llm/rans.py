@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,10 +35,10 @@ from pyspark.sql import functions as F
 from dumplake.llm.frames import text_or_empty
 from dumplake.llm.pretokens import Units
 
-LANES = 512
-BLOCK = 1 << 18
+LANES = 2048
+BLOCK = 1 << 20
 #: Steps of all lanes between two checkpoints of a block.
-CHECKPOINT = 128
+CHECKPOINT = 256
 #: Ids of a section; one document with more ids is a section of its own.
 SECTION = 1 << 21
 #: Text of a part, and sections in a file: what one task holds when it writes and when it reads.
@@ -183,35 +184,43 @@ _PLAIN = re.compile(r" ?\S+")
 
 
 @lru_cache(maxsize=2)
-def tokenizer_units(path: str) -> Units:
-    """Whole texts by the tokenizers library; each distinct unit of a task is encoded once."""
+def tokenizer_units(path: str, pattern: str) -> Units:
+    """Whole texts by the tokenizers library; each distinct token of a task is encoded once.
+
+    ``pattern`` is the split pattern of the tokenizer file. Parts with characters beyond the Latin ranges, where Unicode
+    versions of pattern libraries may differ, go to the library unsplit.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     feed = tokenizer.encode("\n", add_special_tokens=False).ids
+    matches = regex.compile(pattern).findall
+
+    def split(part: str) -> list[str]:
+        return matches(part) if part.isascii() or max(part) < "\u0250" else [part]
 
-    def encode(units: list[str]) -> list[bytes]:
+    def encode(tokens: list[str]) -> list[bytes]:
         out: dict[int, bytes] = {}
-        plain = [i for i, u in enumerate(units) if len(feed) == 1 and _PLAIN.fullmatch(u)]
-        # Units without inner white space go together, divided by line feeds, each of which is one id of its own.
+        plain = [i for i, u in enumerate(tokens) if len(feed) == 1 and _PLAIN.fullmatch(u)]
+        # Tokens without inner white space go together, divided by line feeds, each of which is one id of its own.
         for at in range(0, len(plain), 10_000):
             some = plain[at : at + 10_000]
-            ids = np.array(tokenizer.encode("\n".join([units[i] for i in some]), add_special_tokens=False).ids, "<u4")
+            ids = np.array(tokenizer.encode("\n".join([tokens[i] for i in some]), add_special_tokens=False).ids, "<u4")
             ends = np.append(np.flatnonzero(ids == feed[0]), len(ids)).tolist()
             raw, start = ids.tobytes(), 0
             for i, end in zip(some, ends, strict=True):
                 out[i] = raw[4 * start : 4 * end]
                 start = end + 1
-        others = [i for i in range(len(units)) if i not in out]
-        for i, got in zip(others, tokenizer.encode_batch([units[i] for i in others], add_special_tokens=False)):
+        others = [i for i in range(len(tokens)) if i not in out]
+        for i, got in zip(others, tokenizer.encode_batch([tokens[i] for i in others], add_special_tokens=False)):
             out[i] = np.array(got.ids, "<u4").tobytes()
-        return [out[i] for i in range(len(units))]
+        return [out[i] for i in range(len(tokens))]
 
-    return Units(encode)
+    return Units(split, encode)
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int = 0) -> None:
     """Tokenise whole texts and write their ids, ``end_id`` after each, to ``path`` in ascending order of ids.
 
     Texts are dealt by ranges of their id once; a task then tokenises and encodes its range in order.
@@ -221,7 +230,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> No
     end = np.array([end_id], np.uint32)
 
     def encode(batches):
-        units, part, number = tokenizer_units(tokenizer), TaskContext.get().partitionId(), 0
+        units, part, number = tokenizer_units(tokenizer, pattern), TaskContext.get().partitionId(), 0
         keys, ids, held = [], [], 0
         for pdf in batches:
             for key, raw in zip(pdf["k"], units.ids(list(pdf["text"]))):
