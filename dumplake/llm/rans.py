@@ -89,8 +89,11 @@ def encode_block(places: np.ndarray, freq: np.ndarray, low: np.ndarray, bits: in
     return states, [(t, int(before[t]), s) for t, s in reversed(saved)], np.concatenate(words) if words else np.empty(0, np.uint32)
 
 
-def decode_steps(states: np.ndarray, words: np.ndarray, n: int, table, bits: int) -> np.ndarray:
-    """``n`` table places from these states on; ``words`` starts with the word that is read next."""
+def decode_steps(states: np.ndarray, words: np.ndarray, n: int, table, bits: int) -> tuple[np.ndarray, bool]:
+    """``n`` table places from these states on, and whether all lanes end as they began when they were encoded.
+
+    ``words`` starts with the word that is read next.
+    """
     slots, freq, low = table
     states, mask, shift, at = states.copy(), np.uint64((1 << bits) - 1), np.uint64(bits), 0
     out = np.empty(n, slots.dtype)
@@ -102,10 +105,13 @@ def decode_steps(states: np.ndarray, words: np.ndarray, n: int, table, bits: int
         out[start : start + k] = s
         x = freq[s] * (x >> shift) + slot - low[s]
         need = np.flatnonzero(x < _LOW)
-        x[need] = (x[need] << _WORD) | words[at : at + len(need)]
+        more = words[at : at + len(need)]
+        if len(more) < len(need):
+            return out, False
+        x[need] = (x[need] << _WORD) | more
         at += len(need)
         states[:k] = x
-    return out
+    return out, bool((states == _LOW).all()) and at == len(words)
 
 
 def encode_section(part: int, number: int, keys: list[int], ids: list[np.ndarray]) -> bytes:
@@ -151,7 +157,7 @@ class Section:
         self.data, self.starts = data, end + np.concatenate(([0], np.cumsum(sizes)))
 
     def block(self, b: int, checkpoint: int | None = None) -> np.ndarray:
-        """Ids of block ``b``, verified; with a checkpoint only those from there on, which cannot be verified."""
+        """Ids of block ``b``, verified; with a checkpoint only those from there on, verified by the last states alone."""
         n, n_words, n_saved, crc = (int(x) for x in self.directory[b])
         at = int(self.starts[b])
         states, word, first = np.frombuffer(self.data, "<u8", LANES, at), 0, 0
@@ -160,8 +166,9 @@ class Section:
             step, word = struct.unpack_from("<QQ", self.data, saved)
             states, first = np.frombuffer(self.data, "<u8", LANES, saved + 16), step * LANES
         words = np.frombuffer(self.data, "<u4", n_words, at + 8 * LANES + n_saved * (16 + 8 * LANES))[word:]
-        ids = self.symbols[decode_steps(states, words, n - first, self.table, self.bits)]
-        if checkpoint is None and zlib.crc32(ids.tobytes()) != crc:
+        places, whole = decode_steps(states, words, n - first, self.table, self.bits)
+        ids = self.symbols[places] if whole else places
+        if not whole or checkpoint is None and zlib.crc32(ids.tobytes()) != crc:
             raise ValueError(f"block {b} of section {self.part}/{self.number} is damaged")
         return ids
 
