@@ -45,7 +45,7 @@ SHAPES = {
     "card": r"length(m) <= 64 AND m RLIKE '^[0-9]+([._/][0-9]+)*$' AND length(regexp_replace(m, '[^0-9]', '')) BETWEEN 13 AND 19",
     "phone": r"length(m) <= 64 AND m RLIKE '^[(]?[0-9]+([-.)/]+[0-9]+){1,5}$' AND length(regexp_replace(m, '[^0-9]', '')) BETWEEN 9 AND 12",
 }
-_TOKEN = r"(?<!\S)\S*[0-9@]\S*"
+_TOKEN = r"(?<!\S)\S*(?:[0-9@]|[(]at[)])\S*"
 _BLOCK = 512
 SEEDS, CONFIDENCE, ROUNDS = 3, 0.8, 3
 

@@ -34,7 +34,9 @@ def holds(kind, m):
 
 
 def base(text):
-    return [(k, m.start(), m.end()) for k, p in PLAIN.items() for m in re.finditer(p, text or "") if holds(k, m[0])]
+    # Without these signs there is no match, and the plain patterns need not look at very long words.
+    some = [k for k, sign in (("email", "@"), ("ip", "."), ("card", ""), ("phone", "+")) if sign in (text or "")]
+    return [(k, m.start(), m.end()) for k in some for m in re.finditer(PLAIN[k], text or "") if holds(k, m[0])]
 
 
 def check(docs, got):
@@ -68,5 +70,5 @@ def test_contexts_discover_unseen_identifiers(spark):
     docs = [(i, f"please reach me under phone +1 (555) 555-{1000 + i} today, mail: someone{i}@host{i}.example.org thanks") for i in range(20)]
     docs += [(100, "please reach me under phone 555-555-0177 today"), (101, "no context for 555-555-0178 here"), (102, "mail: person(at)hostname thanks"), (103, "phone home, page 12 of 14")]
     got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got[100] == "phone:28:40" and got[101] == "" and got[102] == "email:6:25" and got[103] == ""
+    assert got[100] == "phone:28:40" and got[101] == "" and got[102] == "email:6:24" and got[103] == ""
     assert all(len(got[i].split(",")) == 2 for i in range(20))
