@@ -181,13 +181,16 @@ def bag(words):
 
 def brute_leaks(docs, items, least=0.8):
     found = set()
+    words = {d: re.findall(r"\w+", (text or "").lower()) for d, text in docs}
+    shingles = {(d, k): {tuple(w[p : p + k]) for p in range(len(w) - k + 1)} for d, w in words.items() for k in range(1, 6)}
     for i, item in items:
         iw = re.findall(r"\w+", item.lower())
         ib, n = bag(iw), len(iw)
         if not n:
             continue
-        for d, text in docs:
-            w = re.findall(r"\w+", (text or "").lower())
+        for d, w in words.items():
+            if n > 4 and len(w) > 4 and not shingles[d, 5] & set(ib):
+                continue  # no window can be similar
             for p in range(max(1, len(w) - n + 1)):
                 b = bag(w[p : p + n])
                 if b and sum((b & ib).values()) / sum((b | ib).values()) >= least:
