@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dumplake.llm import bpe, decontaminate, licenses, line_dedup, nn_descent, pii, rans, simhash_dedup, toxicity, warc
+from dumplake.llm import bpe, decontaminate, filter_audit, licenses, line_dedup, nn_descent, pii, rans, simhash_dedup, toxicity, warc
 from dumplake.llm.registry import query, table
 from dumplake.session import stage, stage_path
 
@@ -96,3 +96,31 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(r"""
+    WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, length(text) AS n_chars FROM docs),
+    known AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+    f AS (SELECT w.part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT
+        + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * n_chars)::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+        + 16 * EXISTS (SELECT 1 FROM docs d WHERE d.text = w.text AND d.doc_id < w.doc_id)::INT AS bits
+      FROM w LEFT JOIN known USING (doc_id)),
+    c AS (SELECT part, bits, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+    l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS b),
+    o AS (SELECT l1.x || l2.x || l3.x || l4.x || l5.x AS filter_order, [l1.b, l2.b, l3.b, l4.b, l5.b] AS masks
+      FROM l l1, l l2, l l3, l l4, l l5 WHERE (l1.b | l2.b | l3.b | l4.b | l5.b) = 31),
+    s AS (SELECT filter_order, step, masks[step] AS bit, coalesce(list_sum(masks[1:step - 1]), 0)::BIGINT AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+    r AS (SELECT part, filter_order, step, sum(n) FILTER ((bits & (before | bit)) = 0) AS kept, sum(n) FILTER ((bits & before) = 0 AND (bits & bit) != 0) AS removed,
+        sum(n) FILTER ((bits & before) != 0 AND (bits & bit) != 0) AS redundant, sum(n) FILTER (bits = bit) AS unique_fails,
+        sum(good) FILTER ((bits & before) = 0 AND (bits & bit) != 0) AS good_lost, sum(toxic) FILTER ((bits & before) = 0 AND (bits & bit) != 0) AS toxic_lost
+      FROM c, s GROUP BY part, filter_order, step)
+    SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+      coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+      (sum(coalesce(removed, 0)) OVER (PARTITION BY part, substr(filter_order, step, 1)))::BIGINT AS shapley
+    FROM r
+""")
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of five filters under every order of applying them, per source."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
