@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dumplake.llm import bpe, decontaminate, filter_audit, licenses, line_dedup, nn_descent, pii, rans, simhash_dedup, toxicity, warc
+from dumplake.llm import (
+    bpe, decontaminate, filter_audit, licenses, line_dedup, nn_descent, pii, rans, simhash_dedup, toxicity, warc, whitening)
 from dumplake.llm.registry import query, table
 from dumplake.session import stage, stage_path
 
@@ -124,3 +125,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of five filters under every order of applying them, per source."""
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
