@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dumplake.llm import (
-    bpe, decontaminate, filter_audit, licenses, line_dedup, nn_descent, pii, rans, simhash_dedup, toxicity, warc, whitening)
+    bpe, decontaminate, filter_audit, licenses, line_dedup, nn_descent, packing, pii, rans, simhash_dedup, toxicity, warc, whitening)
 from dumplake.llm.registry import query, table
 from dumplake.session import stage, stage_path
 
@@ -15,6 +15,8 @@ from dumplake.session import stage, stage_path
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Vocabulary of the token-id files.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: Vocabulary of the packed sequences.
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
 @query("""
@@ -127,6 +129,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query()
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 2048 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), WORDS)
+
+
 @query()
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first eight whitened components of every vector."""
