@@ -27,6 +27,10 @@ CAPACITY = 2048
 FEW = 3
 #: Pieces of one length that are ranked together.
 SLICE_ROWS = 200_000
+#: Long documents weigh more in the fit by these powers of their length, and these shares of the fitted counts are tried: patterns that
+#: use up the short documents can leave long ones without a partner. The plan with the fewest sequences is taken.
+WEIGHTS = (0.5, 2.0)
+SHARES = (1.0, 0.9, 0.7, 0.4, 0.2)
 
 # The fit ends when the steepest descent is this share of the first one, after so many rounds, or so many without gain. Each round solves at
 # most so many times, with so many steps of conjugate gradients. What the fit leaves over is packed best fit, so ending early loses nothing.
@@ -57,9 +61,9 @@ def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
 class _Fit:
     """min |W (A x - h)| over x >= 0, with one column of A per pattern; length weights make long documents count more."""
 
-    def __init__(self, found: np.ndarray, histogram: np.ndarray):
+    def __init__(self, found: np.ndarray, histogram: np.ndarray, power: float):
         self.found, self.size = found, len(histogram)
-        self.weight = np.sqrt(np.arange(self.size) / self.size)
+        self.weight = (np.arange(self.size) / self.size) ** power
         self.weight[0] = 0.0
         self.target = self.weight * histogram
 
@@ -90,7 +94,7 @@ class _Fit:
         return x
 
 
-def fit_counts(found: np.ndarray, histogram: np.ndarray) -> np.ndarray:
+def fit_counts(found: np.ndarray, histogram: np.ndarray, power: float = WEIGHTS[0]) -> np.ndarray:
     """How often to use each pattern, as real numbers of at least zero.
 
     An active-set method with blocks: the patterns with the steepest descent that share no length enter together, and the
@@ -99,7 +103,7 @@ def fit_counts(found: np.ndarray, histogram: np.ndarray) -> np.ndarray:
     x = np.zeros(len(found))
     if not len(found):
         return x
-    fit = _Fit(found, histogram)
+    fit = _Fit(found, histogram, power)
     norm = np.sqrt((fit.weight[found] ** 2).sum(axis=1))
     active = np.empty(0, np.int64)
     first, stale = None, 0
@@ -183,6 +187,20 @@ def best_fit(histogram: np.ndarray, capacity: int) -> list[tuple[list[tuple[int,
     return out
 
 
+def _rounded(found: np.ndarray, counts: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """The patterns as often as the rounded counts say and the histogram allows, and the rest by best fit."""
+    left, counts, groups = left.copy(), np.rint(counts).astype(np.int64), []
+    for i in np.argsort(-counts, kind="stable"):
+        if counts[i] == 0:
+            break
+        lengths, times = np.unique(found[i][found[i] > 0], return_counts=True)
+        bins = int(min(counts[i], (left[lengths] // times).min()))
+        if bins:
+            left[lengths] -= bins * times
+            groups.append((list(zip(lengths.tolist()[::-1], times.tolist()[::-1])), bins))
+    return groups + best_fit(left, capacity)
+
+
 def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[Slot]:
     """Slots for all documents of a histogram (index: length, up to ``capacity``)."""
     left = histogram.astype(np.int64).copy()
@@ -192,16 +210,16 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[Slot]:
         groups.append(([(capacity, 1)], int(left[capacity])))
         left[capacity] = 0
     found = patterns(np.flatnonzero(left), capacity)
-    counts = np.rint(fit_counts(found, left.astype(np.float64))).astype(np.int64)
-    for i in np.argsort(-counts, kind="stable"):
-        if counts[i] == 0:
+    least, best = -(-int((left * np.arange(capacity + 1)).sum()) // capacity), None
+    for power in WEIGHTS:
+        counts = fit_counts(found, left.astype(np.float64), power)
+        for share in SHARES:
+            tried = _rounded(found, share * counts, left, capacity)
+            if best is None or sum(b for _, b in tried) < sum(b for _, b in best):
+                best = tried
+        if sum(b for _, b in best) == least:
             break
-        lengths, times = np.unique(found[i][found[i] > 0], return_counts=True)
-        bins = int(min(counts[i], (left[lengths] // times).min()))
-        if bins:
-            left[lengths] -= bins * times
-            groups.append((list(zip(lengths.tolist()[::-1], times.tolist()[::-1])), bins))
-    groups += best_fit(left, capacity)
+    groups += best
     slots, first, taken = [], 0, np.zeros(capacity + 1, np.int64)
     for items, bins in groups:
         offset = 0
