@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dumplake.session import ship_package, stage
+from dumplake.session import broadcast_within, ship_package, stage
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 500
@@ -120,6 +120,25 @@ def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
     return mix(out)
 
 
+# --- hot keys ---------------------------------------------------------------------------------
+
+#: Rows of one key that one task of ``join_hot`` reads.
+ROWS_A_TASK = 20_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """Inner join of ``left`` with ``right``, a written table of one row per ``key`` whose ``n`` counts the rows of ``left``.
+
+    Keys with more than ``rows_a_task`` rows are dealt to several tasks, their row of ``right`` repeated for each.
+    """
+    splits = F.ceil(F.col("n") / rows_a_task).cast("int")
+    hot, _ = broadcast_within(right.where(F.col("n") > rows_a_task).select(key, splits.alias("_splits")))
+    left = left.join(hot, key, "left").withColumn(
+        "_split", F.pmod(F.xxhash64(*[c for c in left.columns if c != key]), F.coalesce("_splits", F.lit(1))).cast("int")).drop("_splits")
+    right = right.withColumn("_split", F.explode(F.sequence(F.lit(0), splits - 1))).drop("n")
+    return left.join(right, [key, "_split"]).drop("_split")
+
+
 # --- components -------------------------------------------------------------------------------
 
 def components(edges: DataFrame) -> DataFrame:

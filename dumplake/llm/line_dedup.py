@@ -3,14 +3,18 @@
 A line is a line of the text or, as long lines are whole paragraphs in web text, a sentence of one. Lines
 compare with their blanks folded. A gram is the shortest run of lines with ``gram_words`` words; of the
 grams inside each shortest run with ``run_words`` words, the one with the smallest hash is a fingerprint. So any
-two equal runs of ``run_words`` words share a fingerprint. Each fingerprint is joined with the first place that
-has it (by id, then position), the match is extended along its diagonal both ways while lines are equal,
-and what stands earlier is marked. Marked stretches with ``run_words`` words or more are deleted.
+two equal runs of ``run_words`` words share a fingerprint, and only places of fingerprints that occur twice go on. From each such
+place the match is carried both ways, to every shortest run of ``run_words`` words that begins where the fingerprint
+was the smallest, and to those that end behind it. Each of these runs is joined with its first place in the corpus (by id, then
+position); where that lies earlier, its lines are marked. The runs that begin and those that end in an equal stretch cover it to its
+last line, so every stretch of ``run_words`` words or more that stands earlier, in whatever document, is marked whole, and work
+grows with the number of lines even where one line fills a text. Marked stretches are deleted.
 A deleted line always stands earlier in the corpus, so the first copy of every line stays.
 
-Defined results: a null text has no lines and stays null; lines without a word neither match nor break a run; repeated
+Defined results: a null text has no lines and stays null, an empty one stays empty; lines without a word neither match nor break a run; a very long
+text is read whole, its runs dealt to many tasks; repeated
 rows (same id and text) are one document and get one result; a null id comes before all ids; equal ids
-with different texts are ordered by the hash of the text. Columns of the input stay, except those that an output of
+with different texts are ordered by the hash of the text. An empty table gives no rows. Columns of the input stay, except those that an output of
 the same name replaces.
 """
 
@@ -24,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dumplake.llm.frames import keyed, mix, powers, text_or_empty, without
+from dumplake.llm.frames import join_hot, keyed, mix, powers, text_or_empty, without
 from dumplake.session import stage
 
 GRAM_WORDS = 25
@@ -63,20 +67,19 @@ def _ends(total: np.ndarray, least: int) -> np.ndarray:
     return np.searchsorted(total, total[:-1] + least, side="left")
 
 
-def fingerprints(hashes: np.ndarray, words: np.ndarray, gram_words: int, run_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the selected grams and their hashes."""
+def fingerprints(hashes: np.ndarray, words: np.ndarray, gram_words: int, run_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the selected grams, their hashes, and for each shortest run with ``run_words`` words which of them it selected."""
     n = len(hashes)
     total = np.concatenate(([0], np.cumsum(words)))
     if total[-1] < run_words:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
     gram_end, run_end = _ends(total, gram_words), _ends(total, run_words)
     starts = int((gram_end <= n).sum())
-    up, down = powers(n + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[:n], dtype=np.uint64)))
-    grams = mix((sums[gram_end[:starts]] - sums[:starts]) * down[:starts])
+    grams = _run_hashes(hashes, np.arange(starts), gram_end[:starts])
     # The last gram that ends inside the run that starts at each line.
     last = np.searchsorted(gram_end[:starts], run_end[: int((run_end <= n).sum())], side="right").tolist()
     value, picked, front, done = grams.tolist(), [-1], 0, 0
+    selected: list[int] = []
     held: list[int] = []  # starts whose hashes rise, the first is the minimum of the window
     for i, upto in enumerate(last):
         while done < upto:
@@ -89,71 +92,65 @@ def fingerprints(hashes: np.ndarray, words: np.ndarray, gram_words: int, run_wor
         # Of equal minima the one already picked stays, so a line repeated many times gives few fingerprints.
         if picked[-1] < i or value[picked[-1]] != value[held[front]]:
             picked.append(held[front])
+        selected.append(len(picked) - 2)
     at = np.array(picked[1:], np.int64)
-    return at, grams[at]
+    return at, grams[at], np.array(selected, np.int64)
 
 
-def _lines(gram_words: int, run_words: int):
-    def run(batches):
-        for pdf in batches:
-            out = {"at": [], "h": [], "w": [], "fp": [], "fa": []}
-            for text in pdf["text"]:
-                at, hashes, words = line_numbers(text)
-                h = np.array(hashes, np.uint64)
-                fa, fp = fingerprints(h, np.array(words, np.int64), gram_words, run_words)
-                for name, x in (("at", at), ("h", h.view(np.int64)), ("w", words), ("fp", fp.view(np.int64)), ("fa", fa)):
-                    out[name].append(x)
-            yield pd.DataFrame({"_k1": pdf["_k1"], "_k2": pdf["_k2"], **out})
+def _run_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each run of lines, the same wherever it stands."""
+    up, down = powers(len(hashes) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)))
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
-    return run
 
+def shortest_runs(words: np.ndarray, run_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs with ``run_words`` words that get shorter than that without their first or without their last line."""
+    total = np.concatenate(([0], np.cumsum(words)))
+    ends = _ends(total, run_words)
+    ends = ends[ends <= len(words)]
+    if not len(ends):
+        return ends, ends
+    # Ends behind the first possible one belong to the last start from which the words still suffice.
+    many = np.maximum(np.append(ends[1:], len(words) + 1) - ends, 1)
+    start = np.repeat(np.arange(len(ends)), many)
+    return start, ends[start] + np.arange(len(start)) - (np.cumsum(many) - many)[start]
 
-def _matches(gram_words: int):
-    """Equal stretches on one diagonal: runs of lines that equal the lines ``d`` before (or of the earlier text)."""
 
+def _lines(gram_words: int, run_words: int):
     def run(batches):
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                h, s, w = np.asarray(row.h), np.asarray(row.s), np.asarray(row.w)
-                same = np.zeros(len(h) + 2, np.int8)
-                same[row.lo + 1 : row.lo + 1 + len(s)] = h[row.lo : row.lo + len(s)] == s
-                edge = np.diff(same)
-                total = np.concatenate(([0], np.cumsum(w)))
-                runs = [(a, b) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)) if total[b] - total[a] >= gram_words]
-                out.append([int(x) for ab in runs for x in ab])
-            yield pd.DataFrame({"_k1": pdf["_k1"], "_k2": pdf["_k2"], "runs": out})
+            out = {"fp": [], "lo": [], "n": [], "h": [], "a": [], "b": []}
+            for text in pdf["text"]:
+                _, hashes, words = line_numbers(text)
+                h, w = np.array(hashes, np.uint64), np.array(words, np.int64)
+                _, fp, selected = fingerprints(h, w, gram_words, run_words)
+                start, end = shortest_runs(w, run_words)
+                runs = _run_hashes(h, start, end) if len(start) else np.empty(0, np.uint64)
+                bounds = np.searchsorted(selected[start] if len(start) else start, np.arange(len(fp) + 1))
+                for name, x in (("fp", fp.view(np.int64)), ("lo", bounds[:-1]), ("n", np.diff(bounds)), ("h", runs.view(np.int64)), ("a", start), ("b", end)):
+                    out[name].append(x)
+            yield pd.DataFrame({"_k1": pdf["_k1"], "_k2": pdf["_k2"], **out})
 
     return run
 
 
-def _once(lines: DataFrame) -> DataFrame:
-    """One row per key. Only the rows of repeated keys are shuffled for it."""
-    key = ["_k1", "_k2"]
-    more = lines.groupBy(*key).count().where("count > 1").select(*key)
-    repeated = lines.join(more, key, "left_semi").groupBy(*key).agg(*[F.first(c).alias(c) for c in lines.columns[2:]])
-    return lines.join(more, key, "left_anti").union(repeated)
-
-
 def repeated_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """``_k1, _k2, runs`` for documents with lines that stand earlier: starts and ends of matched stretches, by word-bearing line."""
+    """``_k1, _k2, _runs`` for documents with lines that stand earlier: starts and ends of runs, by word-bearing line, flattened."""
     texts = keyed(docs).select("_k1", "_k2", text_or_empty().alias("text"))
     lines = stage(texts.mapInPandas(
-        _lines(gram_words, run_words), "_k1 long, _k2 long, at array<int>, h array<long>, w array<int>, fp array<long>, fa array<int>"), "lines")
-    prints = lines.select("_k1", "_k2", F.explode(F.arrays_zip("fp", "fa")).alias("x")).selectExpr("_k1", "_k2", "x.fp AS fp", "x.fa AS fa")
-    first = prints.groupBy("fp").agg(F.min(F.struct("_k1", "_k2", "fa")).alias("f"), F.max(F.struct("_k1", "_k2", "fa")).alias("l"))
-    first = first.where("f != l").selectExpr("fp", "f._k1 AS s1", "f._k2 AS s2", "f.fa AS sa")
-    seeds = prints.join(first, "fp").where("_k1 != s1 OR _k2 != s2 OR fa != sa")
-    seeds = stage(seeds.select("_k1", "_k2", "s1", "s2", (F.col("fa") - F.col("sa")).alias("d")).distinct(), "line-seeds")
-    arrays = _once(lines.select("_k1", "_k2", "h", "w"))
-    # Only the slice of the earlier text that the diagonal can reach goes on, at most as long as the later text.
-    on, source = seeds.join(arrays, ["_k1", "_k2"]), arrays.selectExpr("_k1 AS s1", "_k2 AS s2", "h AS sh")
-    lo, start = F.greatest("d", F.lit(0)), F.greatest(-F.col("d"), F.lit(0))
-    on = on.join(source, ["s1", "s2"]).select(
-        "_k1", "_k2", "h", "w", lo.alias("lo"),
-        F.slice("sh", (start + 1).cast("int"), F.greatest(F.least(F.size("sh") - start, F.size("h") - lo), F.lit(0)).cast("int")).alias("s"))
-    found = on.mapInPandas(_matches(gram_words), "_k1 long, _k2 long, runs array<int>").where(F.size("runs") > 0)
-    return found.groupBy("_k1", "_k2").agg(F.flatten(F.collect_set("runs")).alias("_runs"))
+        _lines(gram_words, run_words), "_k1 long, _k2 long, fp array<long>, lo array<int>, n array<int>, h array<long>, a array<int>, b array<int>"), "lines")
+    prints = lines.select("_k1", "_k2", F.expr("inline(arrays_zip(fp, lo, n))"), "h", "a", "b")
+    prints = prints.selectExpr("_k1", "_k2", "fp", "lo", *[f"slice({c}, lo + 1, n) AS {c}" for c in ("h", "a", "b")])
+    place = F.struct("_k1", "_k2", "lo")
+    narrow = lines.select("_k1", "_k2", F.expr("inline(arrays_zip(fp, lo))"))
+    shared = narrow.groupBy("fp").agg(F.min(place).alias("f"), F.max(place).alias("l"), F.count("*").alias("n")).where("f != l").select("fp", "n")
+    runs = join_hot(prints, stage(shared, "line-prints"), "fp").select("_k1", "_k2", F.expr("inline(arrays_zip(h, a, b))"))
+    runs = stage(runs, "line-runs")
+    first = runs.groupBy("h").agg(F.min(F.struct("_k1", "_k2", "a")).alias("f"), F.max(F.struct("_k1", "_k2", "a")).alias("l"), F.count("*").alias("n"))
+    first = stage(first.where("f != l").select("h", "f", "n"), "line-firsts")
+    later = join_hot(runs, first, "h").where(F.struct("_k1", "_k2", "a") != F.col("f"))
+    return later.groupBy("_k1", "_k2").agg(F.flatten(F.collect_set(F.array("a", "b"))).alias("_runs"))
 
 
 def _delete(run_words: int):

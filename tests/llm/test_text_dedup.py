@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from conftest_paths import SF
 from pyspark.sql import functions as F
 
 from dumplake.llm import decontaminate, frames, licenses, line_dedup, queries, simhash_dedup
+from dumplake.session import stage
 
 
 def roots(n, pairs):
@@ -114,6 +116,59 @@ def test_equal_runs_share_a_fingerprint(seed):
     assert padded(int(rng.integers(0, 20))) & padded(int(rng.integers(0, 20)))
 
 
+def brute_line_dedup(rows, run_words=50):
+    """Texts without any run of ``run_words`` words that stands earlier, every pair of places compared."""
+    docs = [(i, t.split("\n")) for i, t in sorted(rows)]
+    seen, out = set(), {}
+    for i, lines in docs:
+        n = [len(x.split()) for x in lines]
+        gone = set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(n[a:b]) >= run_words:
+                    run = tuple(" ".join(x.split()) for x in lines[a:b])
+                    if run in seen:
+                        gone.update(range(a, b))
+                    seen.add(run)
+        out[i] = "".join(x + ("\n" if j < len(lines) - 1 else "") for j, x in enumerate(lines) if j not in gone)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_like_every_pair_of_places(spark, seed):
+    rng = random.Random(seed)
+    pool = [sentence(rng, rng.choice([1, 4, 9, 14, 30, 55])) for _ in range([6, 15, 40][seed])]
+    rows = []
+    for i in range(80):
+        lines = []
+        for _ in range(rng.randint(1, 4)):
+            a = rng.randrange(len(pool))
+            lines += rng.choice([pool[a : a + rng.randint(1, 8)], [rng.choice(pool) for _ in range(rng.randint(1, 4))], [sentence(rng)], pool[:2] * 3])
+        rows.append((i, "\n".join(lines)))
+    rows += [(200 + i, rows[3][1]) for i in range(3)]
+    # A run whose gram stands first without the rest of the run.
+    one, two = sentence(rng, 30), sentence(rng, 22)
+    rows += [(300, one), (301, one + "\n" + two), (302, two + "\n" + one), (303, one + "\n" + two)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute_line_dedup(rows)
+
+
+def test_one_line_that_fills_a_text(spark):
+    line = "these nine words stand in every line of it"
+    rows = [(1, "\n".join([line] * 100_000)), (2, "\n".join([line] * 7)), (3, line)]
+    start = time.time()
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - start < 120
+    assert (got[1].n_deleted, got[2].n_deleted, got[3].n_deleted) == (99_999, 7, 0) and got[1].text == line + "\n"
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    left = spark.range(1000).selectExpr("if(id % 3 = 0, 0, id) AS k", "id")
+    right = stage(left.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low")), "right")
+    got = frames.join_hot(left, right, "k", rows_a_task=10)
+    assert sorted(map(tuple, got.collect())) == sorted((0 if i % 3 == 0 else i, i, 0 if i % 3 == 0 else i) for i in range(1000))
+
+
 def test_line_dedup_of_odd_rows(odd_docs, no_docs):
     out = line_dedup.dedup_lines(odd_docs)
     assert sorted(out.columns) == sorted({*odd_docs.columns, "words_deleted"})
