@@ -17,3 +17,13 @@ def segments(batch: pa.RecordBatch):
     for lo, hi in zip(bounds, bounds[1:]):
         if hi > lo:
             yield (files.dictionary[index[lo]].as_py(), int(block[lo])), batch.slice(lo, hi - lo)
+
+
+def as_text(values: list[bytes | None]) -> pa.Array:
+    """A string column of exactly these bytes, valid UTF-8 or not."""
+    return pa.array(values, pa.binary()).view(pa.string())
+
+
+def as_bytes(column: pa.Array, i: int) -> bytes:
+    """The bytes of one value of a string column."""
+    return column.slice(i, 1).cast(pa.binary())[0].as_py()

@@ -1,4 +1,4 @@
-"""SQL literal text in columns: quoting, unquoting, tuple and literal patterns."""
+"""SQL literal text in columns: quoting, unquoting, declarations."""
 
 from __future__ import annotations
 
@@ -8,19 +8,13 @@ from pyspark.sql import functions as F
 _SINGLE = r"'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'"
 _DOUBLE = r'"[^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+"'
 _PLAIN = r"[^'\"()]++"
-# Calls nested this deep are read; deeper ones end up in the reject table, as their tuple has the wrong number of items.
+# Calls in a declaration may be nested this deep.
 DEPTH = 32
 _CALL = rf"\((?:{_PLAIN}|{_SINGLE}|{_DOUBLE})*+\)"
 for _ in range(DEPTH - 1):
     _CALL = rf"\((?:{_PLAIN}|{_SINGLE}|{_DOUBLE}|{_CALL})*+\)"
 
-# One value tuple, with calls inside it.
-TUPLE = rf"(?s)\(((?:{_PLAIN}|{_SINGLE}|{_DOUBLE}|{_CALL})*+)\)"
-
-# One item of a comma list: quoted strings, calls and plain text up to the next comma.
-ITEM = rf"(?s)\G(?:^|,)((?:[^'\"(),]++|{_SINGLE}|{_DOUBLE}|{_CALL})*+)"
-
-# The same for declarations, where names in backticks may hold commas and parentheses.
+# One item of a comma list of declarations: quoted strings, names in backticks, calls and plain text up to the next comma.
 DECLARATION = rf"(?s)\G(?:^|,)((?:[^'\"`(),]++|`(?:[^`]|``)*+`|{_SINGLE}|{_DOUBLE}|{_CALL})*+)"
 
 # Blanks around a literal.
@@ -59,7 +53,8 @@ def _unescape(body: Column, mark: str) -> Column:
 def literal_text(item: Column) -> Column:
     """The text a literal stands for: unquoted strings, NULL and DEFAULT as null, rest as is."""
     word = F.btrim(item, F.lit(BLANKS))
-    body = F.substring(word, F.lit(2), F.length(word) - 2)
+    # By bytes: in text that is no UTF-8 a last letter may seem to take the closing quote with it.
+    body = F.substring(word.cast("binary"), F.lit(2), F.octet_length(word) - 2).cast("string")
     return (
         F.when(word.startswith("'"), _unescape(body, "'"))
         .when(word.startswith('"'), _unescape(body, '"'))

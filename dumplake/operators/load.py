@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.literals import DECLARATION, ITEM, TUPLE, literal_text, number_text
+from ..functions.arrow import as_text
+from ..functions.literals import DECLARATION, literal_text, number_text
 from ..functions.text import trim
+from ..functions.tuples import advance, cut_lists, cut_part, summarise
+from ..session import broadcast_within, stage
 
 _CREATE = r"(?is)^CREATE\s+(?:TEMPORARY\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?((?:`(?:[^`]|``)+`|\"[^\"]+\"|[^\s`\"(.]+)(?:\.(?:`(?:[^`]|``)+`|[^\s`\"(.]+))?)\s*\((.*)\)[^)]*$"
 _KEY_WORDS = r"(?i)^(?:PRIMARY|UNIQUE|KEY|INDEX|FULLTEXT|SPATIAL|CONSTRAINT|FOREIGN|CHECK)\b"
@@ -117,39 +122,163 @@ def table_schema(statements: DataFrame, table: str) -> tuple[T.StructType, list[
     return found[table.lower()]
 
 
-def value_lists(statements: DataFrame) -> DataFrame:
-    """Statements with a VALUES list, from their ``text``: table, columns, mode, tuples and what follows the tuples.
-
-    mode: 'insert', 'ignore', 'replace' or 'update' (ON DUPLICATE KEY UPDATE). Rows that start like an INSERT or REPLACE
-    but have no such list have a null ``table``.
-    """
-    kept = [c for c in ("file", "pos", "part", "error") if c in statements.columns]
+def _heads(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """``rows`` with what stands before their VALUES list, and ``rest``, the list and all after it (null: no list)."""
     text = F.col("text")
-    found = statements.filter(text.rlike(r"(?i)^(?:INSERT|REPLACE)\b")).select(*kept, "text", F.regexp_extract(text, _HEAD, 0).alias("_head"))
+    found = rows.select(*kept, "text", F.regexp_extract(text, _HEAD, 0).alias("_head"))
     head = F.col("_head")
     listed = head != ""
-    rest = F.substring(text, F.length(head) + 1, F.length(text))
-    chain = rf"(?s)^(?:\s*+,?\s*+(?:{TUPLE.removeprefix('(?s)')}))*+"
-    found = found.withColumn("_rest", F.when(listed, rest)).withColumn("_list", F.regexp_extract("_rest", chain, 0))
-    after = F.btrim(F.substring(F.col("_rest"), F.length("_list") + 1, F.length("_rest")), F.lit(" \t\n\r;"))
     whole = F.concat(head, F.lit("("))  # the pattern looks ahead to the first parenthesis
     names = F.regexp_extract(whole, _HEAD, 4)
-    verb, options = F.upper(F.regexp_extract(whole, _HEAD, 1)), F.upper(F.regexp_extract(whole, _HEAD, 2))
-    mode = F.when(verb == "REPLACE", "replace").when(after.rlike(r"(?is)^(?:AS\s.*)?ON\s+DUPLICATE\s+KEY\s+UPDATE\b"), "update").when(
-        options.contains("IGNORE"), "ignore").otherwise("insert")
     columns = F.transform(F.regexp_extract_all(names, F.lit(rf"({_PART})"), F.lit(1)), unquoted)
     return found.select(
-        *kept, F.when(listed, bare_name(F.regexp_extract(whole, _HEAD, 3))).alias("table"), mode.alias("mode"), after.alias("after"),
-        F.when(names != "", columns).alias("names"), F.regexp_extract_all("_list", F.lit(rf"(?s)\G\s*+,?\s*+{TUPLE.removeprefix('(?s)')}"), F.lit(1)).alias("tuples"))
+        *kept, F.when(listed, bare_name(F.regexp_extract(whole, _HEAD, 3))).alias("table"), F.upper(F.regexp_extract(whole, _HEAD, 1)).alias("verb"),
+        F.upper(F.regexp_extract(whole, _HEAD, 2)).alias("options"), F.when(names != "", columns).alias("names"),
+        F.when(listed, F.substring(text, F.length(head) + 1, F.length(text))).alias("rest"))
+
+
+def _cut(batches):
+    for batch in batches:
+        columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+        tuples, after = cut_lists(batch.column(batch.num_columns - 1))
+        yield pa.RecordBatch.from_arrays([*columns, tuples, after], names=[*batch.schema.names[:-1], "tuples", "after"])
+
+
+def _cut_rows(rows: DataFrame) -> DataFrame:
+    """Replace ``rest``, the last column, by the literals of its tuples and what follows them."""
+    schema = T.StructType(rows.schema.fields[:-1]).add("tuples", T.ArrayType(T.ArrayType(T.StringType()))).add("after", "string")
+    return rows.mapInArrow(_cut, schema)
+
+
+_KEYS = ["file", "stmt", "pos"]
+
+
+def _summaries(batches):
+    for batch in batches:
+        found = [summarise(t) for t in batch.column(3).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([json.dumps(f) for f in found], pa.string())], names=[*_KEYS, "summary"])
+
+
+def _entries(batches):
+    """State, depth and whether the list is over at the start of each part; parts of a statement come together and in order."""
+    key, now = None, (0, 0, False)
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            if (r["file"], r["stmt"]) != key:
+                key, now = (r["file"], r["stmt"]), (0, 0, False)
+            out.append({**{k: r[k] for k in _KEYS}, "state": now[0], "depth": now[1], "over": now[2]})
+            state, depth, over = advance(json.loads(r["summary"]), now[0], now[1])
+            now = (state, depth, now[2] or over)
+        yield pa.RecordBatch.from_pylist(out, schema=_ENTRIES)
+
+
+_ENTRIES = pa.schema([("file", pa.string()), ("stmt", pa.int64()), ("pos", pa.int64()), ("state", pa.int32()), ("depth", pa.int64()), ("over", pa.bool_())])
+
+
+def _cut_parts(batches):
+    for batch in batches:
+        out = {k: [] for k in ("lead", "list", "open", "after")}
+        for text, state, depth, over in zip(*[c.to_pylist() for c in (batch.column(3).cast(pa.binary()), *batch.columns[4:])]):
+            cut = (b"", b"", b"", text) if over else cut_part(text, state, depth)
+            for column, piece in zip(out.values(), cut):
+                column.append(piece or None)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[as_text(c) for c in out.values()]], names=[*_KEYS, *out])
+
+
+def _lists_in_parts(parts: DataFrame, kept: list[str]) -> DataFrame:
+    """Rows like those of whole statements from the parts of statements that are too long for one row.
+
+    Parts are summarised on their own, one short row each is folded along a statement, and each part is cut from its true state.
+    Only a tuple that lies on a border is put together from its pieces.
+    """
+    first = parts.filter("pos = stmt")
+    heads = stage(_heads(first, [*kept, "stmt"]).drop("rest"), "list-heads")
+    rest = _heads(first, ["file", "stmt", "pos"]).select(*_KEYS, "rest")
+    lines = rest.filter("rest is not null").union(
+        parts.filter("pos > stmt").join(F.broadcast(heads.filter("table is not null").select("file", "stmt")), ["file", "stmt"], "left_semi").select(*_KEYS, "text"))
+    summary = lines.mapInArrow(_summaries, "file string, stmt long, pos long, summary string").repartition("file", "stmt").sortWithinPartitions(*_KEYS)
+    entries = stage(summary.mapInArrow(_entries, "file string, stmt long, pos long, state int, depth long, over boolean"), "list-entries")
+    placed = lines.join(broadcast_within(entries)[0], _KEYS)
+    cut = stage(placed.select(*_KEYS, "rest", "state", "depth", "over").mapInArrow(
+        _cut_parts, "file string, stmt long, pos long, lead string, list string, open string, after string"), "list-parts")
+    # A tuple on a border: the part that opens it, and the leads of the parts up to the one that closes it.
+    group = F.sum(F.col("open").isNotNull().cast("long")).over(Window.partitionBy("file", "stmt").orderBy("pos"))
+    numbered = cut.select(*_KEYS, F.col("open").isNotNull().alias("opens"), F.col("lead").isNotNull().alias("leads"), group.alias("n"))
+    texts = cut.filter("open is not null").select(*_KEYS, F.lit(1).alias("turn"), F.col("open").alias("t")).union(
+        cut.filter("lead is not null").select(*_KEYS, F.lit(0), "lead"))
+    pieces = texts.join(numbered, _KEYS).withColumn("n", F.when(F.col("turn") == 1, F.col("n")).otherwise(F.col("n") - F.col("opens").cast("long")))
+    parts_of = F.array_sort(F.collect_list(F.struct("pos", "turn", "t")))
+    joined = pieces.groupBy("file", "stmt", "n").agg(
+        F.min("pos").alias("pos"), F.array_join(F.transform(parts_of, lambda p: p["t"]), "\n").alias("rest"))
+    chunks = cut.filter("list is not null").select(*_KEYS, F.lit(0).alias("turn"), F.col("list").alias("rest")).union(
+        joined.select(*_KEYS, F.lit(1), "rest"))
+    done = stage(_cut_rows(chunks).withColumnRenamed("after", "unclosed").withColumn("n", F.size("tuples").cast("long")), "list-tuples")
+    along = Window.partitionBy("file", "stmt").orderBy("pos", "turn")
+    before = F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = done.select(*_KEYS, "turn", before.alias("first_item"), (F.row_number().over(along) == 1).alias("head"))
+    afters = F.array_sort(F.collect_list(F.struct("pos", "turn", "t")))
+    after = cut.select(*_KEYS, F.lit(2).alias("turn"), F.col("after").alias("t")).union(done.select(*_KEYS, "turn", "unclosed")).filter("t <> ''")
+    after = after.groupBy("file", "stmt").agg(F.array_join(F.transform(afters, lambda p: p["t"]), "\n").alias("after"))
+    rows = done.join(firsts, [*_KEYS, "turn"]).select("file", "stmt", "tuples", "first_item", "head")
+    full = heads.join(after, ["file", "stmt"], "left").join(rows, ["file", "stmt"], "left")
+    shown = {"pos": F.col("stmt"), "part": F.lit(0)}
+    return full.select(
+        *[shown.get(c, F.col(c)).alias(c) for c in kept], "table", "verb", "options", "names",
+        F.coalesce("tuples", F.expr("CAST(array() AS array<array<string>>)")).alias("tuples"), F.coalesce("after", F.lit("")).alias("after"),
+        F.coalesce("first_item", F.lit(0).cast("long")).alias("first_item"), F.coalesce("head", F.lit(True)).alias("head"))
+
+
+def value_lists(statements: DataFrame) -> DataFrame:
+    """Statements with a VALUES list: table, columns, mode, the literals of their tuples and what follows the tuples.
+
+    mode: 'insert', 'ignore', 'replace' or 'update' (ON DUPLICATE KEY UPDATE). Rows that start like an INSERT or REPLACE
+    but have no such list have a null ``table``. Tuples may be of any length and nested to any depth. A statement in parts gives a
+    row per stretch of its tuples, ``first_item`` being the number of tuples before it; its first row has ``head`` set.
+    """
+    kept = [c for c in ("file", "pos", "part", "error") if c in statements.columns]
+    starts = F.col("text").rlike(r"(?i)^(?:INSERT|REPLACE)\b")
+    in_parts = "part" in statements.columns and "stmt" in statements.columns
+    whole = statements.filter(starts & (F.col("part") == 0) if in_parts else starts)
+    found = _cut_rows(_heads(whole, kept)).withColumns({"first_item": F.lit(0).cast("long"), "head": F.lit(True)})
+    if in_parts and not (parts := statements.filter("part > 0")).isEmpty():
+        long = parts.filter((F.col("pos") == F.col("stmt")) & starts).select("file", "stmt")
+        found = found.unionByName(_lists_in_parts(parts.join(F.broadcast(long), ["file", "stmt"], "left_semi"), kept))
+    after = F.btrim("after", F.lit(" \t\n\r;"))
+    mode = F.when(F.col("verb") == "REPLACE", "replace").when(after.rlike(r"(?is)^(?:AS\s.*)?ON\s+DUPLICATE\s+KEY\s+UPDATE\b"), "update").when(
+        F.col("options").contains("IGNORE"), "ignore").otherwise("insert")
+    return found.select(*kept, "table", mode.alias("mode"), after.alias("after"), "names", "tuples", "first_item", "head")
+
+
+def list_tuples(lists: DataFrame) -> DataFrame:
+    """One row per value tuple of ``value_lists``, with its literals as text."""
+    spread = lists.filter("table is not null").select(
+        "file", "pos", "table", (F.col("mode") == "ignore").alias("is_ignore"), "mode", "names", "first_item", F.posexplode("tuples").alias("item", "items"))
+    return spread.withColumn("item", F.col("first_item") + F.col("item")).drop("first_item")
 
 
 def insert_tuples(statements: DataFrame) -> DataFrame:
     """One row per value tuple of INSERT and REPLACE statements, with its literals as text."""
-    some = value_lists(statements).filter("table is not null")
-    spread = some.select(
-        "file", "pos", "table", (F.col("mode") == "ignore").alias("is_ignore"), "mode", "names", F.posexplode("tuples").alias("item", "tuple"))
-    items = F.regexp_extract_all("tuple", F.lit(ITEM), F.lit(1))
-    return spread.withColumn("items", items).drop("tuple")
+    return list_tuples(value_lists(statements))
+
+
+def text_schemas(lists: DataFrame, known: list[str]) -> dict[str, tuple[T.StructType, list[str]]]:
+    """Schemas of text columns for the tables of ``value_lists`` that are not ``known``.
+
+    Columns are those the statements name, in the order of the dump, or col_1 to the longest tuple where none names any.
+    Brings one row per table and column list to the driver.
+    """
+    width = F.array_max(F.transform("tuples", lambda t: F.size(t)))
+    rows = lists.filter(F.col("table").isNotNull() & ~F.col("table").isin(list(known))).groupBy("table", "names").agg(
+        F.min(F.struct("file", "pos")).alias("at"), F.max(width).alias("width")).orderBy("table", "at").collect()
+    columns: dict[str, list[str]] = {}
+    for r in rows:
+        named = columns.setdefault(r["table"], [])
+        named += [n for n in dict.fromkeys(r["names"] or []) if n not in named]
+    for r in rows:
+        if not columns[r["table"]]:
+            columns[r["table"]] = [f"col_{k + 1}" for k in range(max(x["width"] or 0 for x in rows if x["table"] == r["table"]))]
+    return {t: (T.StructType([T.StructField(c, T.StringType()) for c in names]), []) for t, names in columns.items()}
 
 
 def _typed(text: Column, kind: T.DataType) -> Column:
@@ -194,33 +323,60 @@ def load_rows(statements: DataFrame, table: str, schema: T.StructType, keep: tup
     return typed_rows(tuples, schema, keep)
 
 
-def rejects(statements: DataFrame, schemas: dict[str, T.StructType], tuples: DataFrame | None = None) -> DataFrame:
+def storable(schema: T.StructType) -> Column:
+    """Whether a row of ``insert_tuples`` has a value for each column it names, and names only columns of ``schema``."""
+    known = F.array(*[F.lit(f.name.lower()) for f in schema.fields]) if schema.fields else F.expr("CAST(array() AS array<string>)")
+    named = (F.size("items") == F.size("names")) & (F.size(F.array_except("names", known)) == 0)
+    return F.when(F.col("names").isNull(), F.size("items") == len(schema.fields)).otherwise(named)
+
+
+def rejects(statements: DataFrame, schemas: dict[str, T.StructType], lists: DataFrame | None = None) -> DataFrame:
     """What a load cannot store as it stands: file, pos, item, table, column, reason.
 
-    Statements without a readable VALUES list, tuples with the wrong number of values, values that do not cast, and
-    labels. Rows with a failed cast are stored with a null; the others here, but for labels, are not stored.
+    Statements without a readable VALUES list, what follows one unread, labels; and of tuples: tables and columns that are not in
+    ``schemas``, numbers of values that do not fit, values that do not cast. Rows with a failed cast are stored with a null; the others
+    here, but for labels, are not stored. Without any schema only statements are checked. One plan for any number of tables: their
+    columns come as a joined row of names and types.
     """
     none = F.lit(None)
-    lists = value_lists(statements)
+    lists = value_lists(statements) if lists is None else lists
     shape = ("file", "pos")
-    odd = F.when(F.col("part") > 0, "statement in parts") if "part" in lists.columns else F.lit(None).cast("string")
-    odd = F.coalesce(odd, F.when(F.col("table").isNull(), "no VALUES list"), F.when(
-        (F.col("after") != "") & (F.col("mode") != "update") & ~F.col("after").rlike(r"(?is)^(?:AS\s.*)?ON\s+DUPLICATE\b"), "unread text after the values"))
-    out = lists.filter(odd.isNotNull()).select(*shape, none.cast("int").alias("item"), "table", none.cast("string").alias("column"), odd.alias("reason"))
+    odd = F.when(F.col("table").isNull(), "no VALUES list").when(
+        (F.col("after") != "") & (F.col("mode") != "update") & ~F.col("after").rlike(r"(?is)^(?:AS\s.*)?ON\s+DUPLICATE\b"), "unread text after the values")
+    out = lists.filter(F.col("head") & odd.isNotNull()).select(
+        *shape, none.cast("long").alias("item"), "table", none.cast("string").alias("column"), odd.alias("reason"))
     if "error" in statements.columns:
-        out = out.union(statements.filter("error is not null").select(*shape, none.cast("int"), none.cast("string"), none.cast("string"), "error"))
-    tuples = insert_tuples(statements) if tuples is None else tuples
-    for table, schema in schemas.items():
-        rows = tuples.filter(F.col("table") == table.lower())
-        wanted = F.coalesce(F.size("names"), F.lit(-1))
-        wanted = F.when(F.col("names").isNull(), F.lit(len(schema.fields))).otherwise(wanted)
-        wrong = F.when(F.size("items") != wanted, F.array(F.struct(none.cast("string").alias("column"), F.format_string(
-            "%d values for %d columns", F.size("items"), wanted).alias("reason"))))
-        failed = [F.when(literal_text(item).isNotNull() & (F.trim(item) != "") & _value(item, f.dataType).isNull(), F.struct(
-            F.lit(f.name).alias("column"), F.lit(f"no {f.dataType.simpleString()}").alias("reason"))) for item, f in zip(_items(schema), schema.fields)]
-        found = rows.withColumn("_bad", F.coalesce(wrong, F.filter(F.array(*failed), lambda x: x.isNotNull()))).filter(F.size("_bad") > 0)
-        out = out.union(found.select(*shape, "item", "table", F.explode("_bad").alias("b")).select(*shape, "item", "table", "b.column", "b.reason"))
-    return out
+        out = out.union(statements.filter("error is not null").select(*shape, none.cast("long"), none.cast("string"), none.cast("string"), "error"))
+    if not schemas:
+        return out
+    declared = statements.sparkSession.createDataFrame(
+        [(t.lower(), [f.name.lower() for f in s.fields], [f.dataType.simpleString() for f in s.fields]) for t, s in schemas.items()],
+        "table string, _columns array<string>, _types array<string>")
+    rows = list_tuples(lists).join(broadcast_within(declared)[0], "table", "left")
+
+    def problem(column, reason):
+        return F.struct(column.cast("string").alias("column"), reason.cast("string").alias("reason"))
+
+    unknown = F.transform(F.array_except("names", "_columns"), lambda c: problem(c, F.lit("no such column")))
+    wanted = F.coalesce(F.size("names"), F.size("_columns"))
+    wanted = F.when(F.col("names").isNull(), F.size("_columns")).otherwise(wanted)
+    wrong = F.array(problem(none, F.format_string("%d values for %d columns", F.size("items"), wanted)))
+    kinds = {f.dataType.simpleString(): f.dataType for s in schemas.values() for f in s.fields if not isinstance(f.dataType, T.StringType)}
+
+    def failed(field, k):
+        named = F.array_position("names", field["_columns"]).cast("int") - 1
+        item = F.get("items", F.when(F.col("names").isNull(), k).otherwise(F.when(named >= 0, named)))
+        bad = F.lit(False)
+        for name, kind in kinds.items():
+            bad = F.when(field["_types"] == name, _value(item, kind).isNull()).otherwise(bad)
+        given = item.isNotNull() & (F.trim(item) != "")
+        return F.when(given & bad & literal_text(item).isNotNull(), problem(field["_columns"], F.concat(F.lit("no "), field["_types"])))
+
+    casts = F.filter(F.transform(F.arrays_zip("_columns", "_types"), failed), lambda x: x.isNotNull())
+    found = F.when(F.col("_columns").isNull(), F.array(problem(none, F.lit("table without columns")))).when(F.size(unknown) > 0, unknown).when(
+        F.size("items") != wanted, wrong).otherwise(casts)
+    bad = rows.select(*shape, "item", "table", F.explode(found).alias("b"))
+    return out.union(bad.select(*shape, "item", "table", "b.column", "b.reason"))
 
 
 def first_per_key(rows: DataFrame, key: list[str], order: list[str], existing: DataFrame | None = None) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def profile_files(lines: DataFrame, sizes: DataFrame | None = None) -> DataFrame
     """
     blocks = line_blocks(lines)
     totals = blocks.groupBy("file").agg(F.sum("bytes").alias("text_bytes"), F.sum("lines").alias("n_lines"))
-    bulk = matches_across_lines(lines, BULK_INSERT, "INSERT", blocks).groupBy("file").agg(F.count("*").alias("bulk"))
+    bulk = matches_across_lines(lines, BulkInserts(), blocks).groupBy("file").agg(F.count("*").alias("bulk"))
     if sizes is not None:
         totals = totals.join(sizes.select("file", F.col("size").alias("stored")), "file", "left")
     else:
@@ -64,7 +65,7 @@ def profile_files(lines: DataFrame, sizes: DataFrame | None = None) -> DataFrame
         mean.alias("avg_bytes_per_line"), F.col("bulk").isNotNull().alias("is_bulk_insert"),
         size_class(size, is_gzip).alias("cls"),
     )
-    estimate = F.when(F.col("file_size") > 0, F.ceil(F.col("file_size") / F.col("avg_bytes_per_line")))
+    estimate = F.when(F.col("file_size") > 0, F.ceil(F.round(F.col("file_size") / F.col("avg_bytes_per_line"), 6)))
     return shaped.select(
         "file", "file_size", "cls.category", "cls.category_label", estimate.cast("long").alias("estimated_lines"),
         "avg_bytes_per_line", "is_bulk_insert", "cls.target_ram_usage", "is_gzip",
@@ -72,72 +73,190 @@ def profile_files(lines: DataFrame, sizes: DataFrame | None = None) -> DataFrame
     )
 
 
-# How far a match may reach over the border of two blocks.
-REACH = 64 * 1024
+# A chunk is whole lines, each with its line feed. At its end a match that is under way can only be where a line feed may
+# stand, so a few numbered places describe it, and they, not the text, go from chunk to chunk and from block to block.
+FOUND, DEAD = -1, 0
 
 
-def matches_across_lines(lines: DataFrame, pattern: str, word: str, blocks: DataFrame | None = None) -> DataFrame:
-    """``file, pos, i, match``: all matches of ``pattern``, which starts with ``word``, in the text of each file, over line ends, too.
+class BulkInserts:
+    """``BULK_INSERT`` as steps from a keyword on.
 
-    Blocks are searched batch by batch; what a batch leaves open since its last ``word`` is carried on. A match over the border of two
-    blocks is found in what the first leaves open and the first ``REACH`` characters of those after it.
+    Places: 1 blanks after INSERT, 2 after INTO, 3 after the name, 4 in the columns, 5 after them, 6 after VALUES, 7 in the values, 8 after them.
+    """
+
+    start, word, places, once = re.compile(rb"(?i)INSERT(?=\s)"), "INSERT", 8, True
+    _words = {1: re.compile(rb"(?i)INTO(?=\s)"), 2: re.compile(rb"\S+"), 3: re.compile(rb"(?i)VALUES"), 5: re.compile(rb"(?i)VALUES")}
+    _next = {1: 2, 2: 3, 3: 6, 5: 6}
+
+    def run(self, text: "_Chunk", at: int, place: int, name: str | None = None) -> tuple[int, str | None]:
+        """Where a match stands at the end of the text, from ``at`` on."""
+        data = text.data
+        while True:
+            if place in (4, 7):
+                close = text.next_close(at)
+                if close < 0:
+                    return place, None
+                if close == at and data[at - 1 : at] == b"(":
+                    return DEAD, None
+                at = close + 1
+                if place == 4 and not data[at : at + 1].isspace():
+                    return DEAD, None
+                place += 1
+            at = _BLANKS.match(data, at).end()
+            if at == len(data):
+                return place, None
+            if place == 8:
+                return (FOUND if data[at] == 44 else DEAD), None
+            if data[at] == 40 and place in (3, 6):
+                place, at = place + 1, at + 1
+            elif place in self._next and (m := self._words[place].match(data, at)):
+                place, at = self._next[place], m.end()
+            else:
+                return DEAD, None
+
+
+class CreatedTables:
+    """``CREATE_TABLE`` as steps from a keyword on.
+
+    Places: blanks after 1 CREATE, 2 TABLE, 3 IF (which may be the name), 4 NOT, 5 EXISTS, 6 the name.
+    """
+
+    start, word, places, once = re.compile(rb"(?i)CREATE(?=\s)"), "CREATE", 6, False
+    _words = {1: re.compile(rb"(?i)TABLE(?=\s)"), 3: re.compile(rb"(?i)NOT(?=\s)"), 4: re.compile(rb"(?i)EXISTS(?=\s)")}
+    _next = {1: 2, 3: 4, 4: 5}
+    _name = re.compile(rb"([`\"']?)([a-zA-Z_][a-zA-Z0-9_]*)([`\"']?)")
+
+    def run(self, text: "_Chunk", at: int, place: int, name: str | None = None) -> tuple[int, str | None]:
+        data = text.data
+        while True:
+            at = _BLANKS.match(data, at).end()
+            if at == len(data):
+                return place, name
+            if place in (3, 6) and data[at] == 40:
+                return FOUND, name
+            if place in (2, 5):
+                m = self._name.match(data, at)
+                if not m:
+                    return DEAD, None
+                name, at = m[2].decode(), m.end()
+                place = 3 if place == 2 and name.upper() == "IF" and not m[1] and not m[3] else 6
+            elif place in self._next and (m := self._words[place].match(data, at)):
+                place, at = self._next[place], m.end()
+            else:
+                return DEAD, None
+
+
+_BLANKS = re.compile(rb"\s*")
+
+
+class _Chunk:
+    """Text with a look ahead for closing parentheses that never scans a stretch twice."""
+
+    def __init__(self, data: bytes):
+        self.data, self._from, self._close = data, 0, -2
+
+    def next_close(self, at: int) -> int:
+        if self._close == -2 or at < self._from or -1 < self._close < at:
+            self._from, self._close = at, self.data.find(b")", at)
+        return self._close
+
+
+class _Block:
+    """What is known of a block so far: matches under way that began in it, and what became of those that may have entered it."""
+
+    def __init__(self, machine):
+        self.machine = machine
+        self.own: dict[int, tuple[int, str | None]] = {}   # place: first line, name
+        self.entered: dict[int, tuple[int, str | None]] = {k: (k, None) for k in range(1, machine.places + 1)}
+        self.found: list[tuple[int, str | None]] = []
+
+    def idle(self) -> bool:
+        return not self.own and all(place < 1 for place, _ in self.entered.values())
+
+    def read(self, data: bytes, line: int) -> None:
+        chunk, own = _Chunk(data), {}
+
+        def keep(place, first, name):
+            if place == FOUND:
+                self.found.append((first, name))
+            elif place != DEAD and first < own.get(place, (first + 1,))[0]:
+                own[place] = (first, name)
+
+        for k, (place, name) in self.entered.items():
+            if place > 0:
+                self.entered[k] = self.machine.run(chunk, 0, place, name)
+        for place, (first, name) in self.own.items():
+            after, named = self.machine.run(chunk, 0, place, name)
+            keep(after, first, named)
+        at, seen = 0, line
+        for m in self.machine.start.finditer(data):
+            if self.machine.once and self.found:
+                break
+            place, name = self.machine.run(chunk, m.end(), 1)
+            if place != DEAD:
+                seen += data.count(b"\n", at, m.start())
+                at = m.start()
+                keep(place, seen, name)
+        self.own = own
+
+
+_MATCHES = pa.schema([("file", pa.string()), ("pos", pa.int64()), ("match", pa.string()), ("block", pa.int64()), ("state", pa.string())])
+
+
+def matches_across_lines(lines: DataFrame, machine, blocks: DataFrame | None = None) -> DataFrame:
+    """``file, pos, match``: where the matches of ``machine`` begin in the text of each file, over any number of lines and blocks.
+
+    With ``machine.once`` at most the first of a block is given. Texts are searched as bytes, whatever their encoding.
     """
-    find, start = re.compile(pattern), re.compile(f"(?i){word}")
 
     def search(batches):
-        key, carry, first, head = None, "", 0, ""
+        key, block = None, None
 
-        def found(m, text, line, place):
-            return (place[0], line + text.count("\n", 0, m.start()), m[1] if m.re.groups else m[0])
+        def ended():
+            return {"file": key[0], "block": key[1], "state": json.dumps([list(block.own.items()), list(block.entered.items())])}
 
         for batch in batches:
-            out, edges = [], []
+            out = []
             for here, part in segments(batch):
-                values, lines_at = part.column("value").to_pylist(), part.column("line_no")
                 if here != key:
                     if key:
-                        edges.append((*key, head, carry, first))
-                    key, carry, head = here, "", ""
-                text = "\n".join(values)
-                head += (text + "\n")[: REACH - len(head)] if len(head) < REACH else ""
-                line = first if carry else lines_at[0].as_py()
-                text = carry + text + "\n"
-                end = 0
-                for m in find.finditer(text):
-                    out.append(found(m, text, line, here))
-                    end = m.end()
-                opened = [m.start() for m in start.finditer(text, max(end, len(text) - REACH))]
-                carry = text[opened[0] :] if opened else ""
-                first = line + text.count("\n", 0, opened[0]) if opened else 0
-            yield _search_rows(out, edges)
+                        out.append(ended())
+                    key, block = here, _Block(machine)
+                value = part.column("value")
+                if block.idle() and (machine.once and block.found or not pc.any(pc.match_substring(value, machine.word, ignore_case=True)).as_py()):
+                    continue
+                block.read(b"\n".join(value.cast(pa.binary()).to_pylist()) + b"\n", part.column("line_no")[0].as_py())
+                found = block.found[:1] if machine.once else block.found
+                out += [{"file": key[0], "pos": line, "match": name} for line, name in found]
+                block.found = block.found[:1] if machine.once else []
+            yield pa.RecordBatch.from_pylist(out, schema=_MATCHES)
         if key:
-            yield _search_rows([], [(*key, head, carry, first)])
-
-    numbered = number_lines(lines, blocks).select("file", "block", "line_no", "value")
-    rows = stage(numbered.mapInArrow(search, "file string, pos long, match string, block long, head string, carry string"), "line-matches")
-    order = Window.partitionBy("file").orderBy("block")
-    edges = rows.filter("block is not null")
-    ahead = F.concat_ws("", *[F.lead("head", n).over(order) for n in range(1, 5)])
-    edges = edges.select("file", "pos", "carry", F.substring(ahead, F.lit(1), F.lit(REACH)).alias("ahead")).filter("carry != ''")
-
-    def cross(batches):
-        for pdf in batches:
-            got = []
-            for file, line, carry, more in zip(pdf["file"], pdf["pos"], pdf["carry"], pdf["ahead"]):
-                for m in find.finditer(carry + more):
-                    if m.start() < len(carry):
-                        got.append((file, line + carry.count("\n", 0, m.start()), m[1] if find.groups else m[0]))
-            yield pd.DataFrame(got, columns=["file", "pos", "match"])
-
-    over = edges.mapInPandas(cross, "file string, pos long, match string")
-    return rows.filter("block is null").select("file", "pos", "match").union(over)
+            yield pa.RecordBatch.from_pylist([ended()], schema=_MATCHES)
 
+    def fold(batches):
+        """Matches that begin in one block of a file and end in a later one; blocks come together and in order."""
+        file, alive = None, {}
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["file"] != file:
+                    file, alive = r["file"], {}
+                own, entered = json.loads(r["state"])
+                entered, after = dict(entered), {place: tuple(v) for place, v in own}
+                for place, (first, name) in alive.items():
+                    now, named = entered[place]
+                    if now == FOUND:
+                        out.append({"file": file, "pos": first, "match": named or name})
+                    elif now != DEAD and first < after.get(now, (first + 1,))[0]:
+                        after[now] = (first, named or name)
+                alive = after
+            yield pa.RecordBatch.from_pylist(out, schema=_MATCHES)
 
-def _search_rows(found: list, edges: list) -> pa.RecordBatch:
-    schema = pa.schema([("file", pa.string()), ("pos", pa.int64()), ("match", pa.string()), ("block", pa.int64()), ("head", pa.string()), ("carry", pa.string())])
-    rows = [(f, p, m, None, None, None) for f, p, m in found] + [(f, first, None, b, head, carry) for f, b, head, carry, first in edges]
-    columns = list(zip(*rows)) if rows else [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
+    numbered = number_lines(lines, blocks).select("file", "block", "line_no", "value")
+    shape = "file string, pos long, match string, block long, state string"
+    rows = stage(numbered.mapInArrow(search, shape), "line-matches")
+    edges = rows.filter("block is not null").repartition("file").sortWithinPartitions("file", "block")
+    return rows.filter("block is null").select("file", "pos", "match").union(edges.mapInArrow(fold, shape).select("file", "pos", "match"))
 
 
 def created_tables(texts: DataFrame, order: str = "pos", text: str = "text") -> DataFrame:
@@ -155,7 +274,7 @@ def created_tables(texts: DataFrame, order: str = "pos", text: str = "text") ->
 
 def created_tables_raw(lines: DataFrame) -> DataFrame:
     """Created tables by text alone, comments included, also where a name stands on a line of its own."""
-    found = matches_across_lines(lines, CREATE_TABLE, "CREATE")
+    found = matches_across_lines(lines, CreatedTables())
     return found.groupBy("file", F.col("match").alias("table_name")).agg(F.min("pos").alias("first_pos"))
 
 

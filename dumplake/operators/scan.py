@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrow import segments
+from ..functions.arrow import as_bytes, as_text, segments
 from ..functions.text import TRIM, classify_line, default_markers, line_columns, normalise_newlines, without_bom
 from ..session import broadcast_within, stage
 from ..sources.lines import BUCKET_LINES, bom_bytes
@@ -62,7 +62,7 @@ def _line_arrays(part: pa.RecordBatch, first_of_file: bool, options: ScanOptions
     dropped = part.column("dropped").to_numpy(zero_copy_only=False).copy()
     column = part.column("directive")
     rows = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False)) if column.null_count < len(column) else []
-    directives = {int(i): column[int(i)].as_py() for i in rows}
+    directives = {int(i): as_bytes(column, int(i)).decode("utf-8", "replace") for i in rows}
     text = None
     if first_of_file and part.column("marked")[0].is_valid:
         text = without_bom(part.column("marked")[0].as_py()).decode("utf-8", "replace")
@@ -225,7 +225,7 @@ class _Cutter:
                 ends[lo:hi] &= semi[lo:hi]
             else:
                 for i in np.flatnonzero(ends[lo:hi]) + lo:
-                    ends[i] = value[int(i)].as_py().rstrip(TRIM).endswith(delim)
+                    ends[i] = as_bytes(value, int(i)).rstrip(TRIM.encode()).endswith(delim.encode())
         self.delimiter = delimiters[-1][1]
         line_no = self.line + np.arange(len(code))
         self.line += len(code)
@@ -257,6 +257,11 @@ _PIECES_ARROW = pa.schema([
 ])
 
 
+def _open_batch(rows: list[dict]) -> pa.RecordBatch:
+    columns = [as_text([r["text"] for r in rows]) if f.name == "text" else pa.array([r[f.name] for r in rows], f.type) for f in _PIECES_ARROW]
+    return pa.RecordBatch.from_arrays(columns, schema=_PIECES_ARROW)
+
+
 def _merged(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
     """Many small batches (one per block) as one."""
     return pa.Table.from_batches(parts).combine_chunks().to_batches() if len(parts) > 1 else parts
@@ -271,7 +276,7 @@ def _cut(options: ScanOptions):
 
         def rest():
             return {
-                **open_piece, "text": "\n".join(open_piece["text"]), "file": cut.key[0],
+                **open_piece, "text": b"\n".join(open_piece["text"]), "file": cut.key[0],
                 "bucket": _bucket(cut, open_piece["first_line"]), "delimiter": cut.delimiter,
                 "closed": False, "border": True,
             }
@@ -301,8 +306,8 @@ def _cut(options: ScanOptions):
                     n_counted = np.add.reduceat(counted, bounds[:-1])
                     n_bytes = np.add.reduceat(size, bounds[:-1])
                     if open_piece is not None:
-                        head = "\n".join([*open_piece["text"], joined[0].as_py()])
-                        joined = pa.concat_arrays([pa.array([head], joined.type), joined.slice(1)])
+                        head = b"\n".join([*open_piece["text"], as_bytes(joined, 0)])
+                        joined = pa.concat_arrays([as_text([head]), joined.slice(1)])
                         first[0] = open_piece["first_line"]
                         lines[0] += open_piece["n_lines"]
                         n_counted[0] += open_piece["n_counted"]
@@ -324,7 +329,7 @@ def _cut(options: ScanOptions):
                     if open_piece is None:
                         open_piece = {"first_line": int(got["line_no"][kept[lo]]), "text": [],
                                       "n_lines": 0, "n_counted": 0, "raw_bytes": 0}
-                    open_piece["text"].extend(value.slice(lo).to_pylist())
+                    open_piece["text"].extend(value.slice(lo).cast(pa.binary()).to_pylist())
                     open_piece["last_line"] = int(got["line_no"][kept[-1]])
                     open_piece["n_lines"] += len(kept) - lo
                     open_piece["n_counted"] += int(counted[lo:].sum())
@@ -333,10 +338,10 @@ def _cut(options: ScanOptions):
                         left_open.append(rest())
                         open_piece, untouched = None, True
             if left_open:
-                out.append(pa.RecordBatch.from_pylist(left_open, schema=_PIECES_ARROW))
+                out.append(_open_batch(left_open))
             yield from _merged(out)
         if open_piece is not None:
-            yield pa.RecordBatch.from_pylist([rest()], schema=_PIECES_ARROW)
+            yield _open_batch([rest()])
 
     return run
 

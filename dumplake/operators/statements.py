@@ -40,9 +40,10 @@ def _grouped_borders(borders: DataFrame, row_bytes: int) -> DataFrame:
     before = F.sum(F.col("closed").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     upto = F.sum("raw_bytes").over(Window.partitionBy("file", "grp").orderBy("first_line"))
     keys = borders.select("file", "first_line", "raw_bytes", "closed", F.coalesce(before, F.lit(0)).alias("grp"))
-    whole = keys.groupBy("file", "grp").agg((F.sum("raw_bytes") <= row_bytes).alias("fits"), F.max("closed").alias("ends"))
+    whole = keys.groupBy("file", "grp").agg(
+        (F.sum("raw_bytes") <= row_bytes).alias("fits"), F.max("closed").alias("ends"), F.min("first_line").alias("stmt"))
     parts = keys.withColumn("upto", upto).join(whole, ["file", "grp"]).select(
-        "file", "first_line", "grp", "ends",
+        "file", "first_line", "grp", "ends", "stmt",
         F.when(F.col("fits"), 0).otherwise(F.floor((F.col("upto") - F.col("raw_bytes")) / row_bytes) + 1).cast("int").alias("part"))
     return borders.join(parts, ["file", "first_line"])
 
@@ -55,7 +56,7 @@ def _joined_borders(grouped: DataFrame) -> DataFrame:
             F.min("bucket").alias("bucket"), F.min("first_line").alias("_first"), F.max("last_line").alias("last_line"),
             F.sum("n_lines").alias("n_lines"), F.sum("n_counted").alias("n_counted"), F.sum("raw_bytes").alias("raw_bytes"),
             F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"),
-            F.max_by("delimiter", "last_line").alias("delimiter"), F.max("ends").alias("closed"),
+            F.max_by("delimiter", "last_line").alias("delimiter"), F.max("ends").alias("closed"), F.min("stmt").alias("stmt"),
         ).drop("grp").withColumnRenamed("_first", "first_line")
     )
 
@@ -108,21 +109,21 @@ def split_statements(
     A statement ends at a line that ends outside a string with the delimiter in force. A size
     limit given here labels the statements over it in ``error`` and changes nothing else.
     A statement over ``row_bytes`` comes as raw parts: rows with ``part`` from 1 on, in the
-    order of ``pos``, whose texts joined by line feeds are the statement with its delimiter.
+    order of ``pos``, whose texts joined by line feeds are the statement with its delimiter. ``stmt`` is its first line.
     Pieces are staged once, with the few border pieces in a partition of their own, so
     joining borders reads nothing else.
     """
     scanned = scan(lines, options or ScanOptions())
     cut = scanned.pieces()
     piece = F.when(F.col("border"), F.col("text"))
-    pieces = stage(_finished(cut.withColumns({"piece": piece, "part": F.lit(0)})), "pieces", partition_by=("border",))
+    pieces = stage(_finished(cut.withColumns({"piece": piece, "part": F.lit(0), "stmt": F.col("first_line")})), "pieces", partition_by=("border",))
     borders = pieces.filter("border").select(*_RAW, F.col("piece").alias("text"))
     joined = stage(_finished(_joined_borders(_grouped_borders(borders, row_bytes))), "borders")
     whole = pieces.filter("not border").drop("border", "piece").unionByName(joined)
     of_insert = [F.when(F.col("part") == 0, F.col(c)).alias(c) for c in ("table", "prefix", "values_at", "n_sets", "vbytes", "is_ignore")]
     statements = whole.filter("part > 0 or not blank").select(
         "file", "bucket", F.col("first_line").alias("pos"), "first_line", "last_line",
-        F.col("n_lines").cast("int").alias("n_lines"), "text", "n_bytes", "keyword", "part",
+        F.col("n_lines").cast("int").alias("n_lines"), "text", "n_bytes", "keyword", "part", "stmt",
         (~F.col("closed")).alias("is_tail"), "like_sql", _guard(max_lines, max_bytes).alias("error"),
         F.when(F.col("part") == 0, F.col("kind")).otherwise("other").alias("kind"), *of_insert,
     )

@@ -727,3 +727,78 @@ UNION ALL SELECT NULL, NULL, 'no VALUES list', count(*) FROM customer WHERE c_cu
 def load_rejects(spark: SparkSession, sf: str) -> DataFrame:
     """What a load of a whole dump could not store as it stands."""
     return _whole_dump(spark, sf).rejects.groupBy("table", "column", "reason").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT o_orderkey, o_orderstatus || repeat(' (it''s),', CAST(o_orderkey % 3 AS INTEGER)) AS st, CAST(o_totalprice AS DOUBLE) AS price FROM orders
+""")
+def load_huge_insert(spark: SparkSession, sf: str) -> DataFrame:
+    """All orders in one INSERT that comes in very many parts, with strings and calls over the borders of parts and splits."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    key = F.col("o_orderkey").cast("string")
+    status = F.concat("o_orderstatus", F.repeat(F.lit(" (it\\'s),"), (F.col("o_orderkey") % 3).cast("int")))
+    row = F.concat(F.lit("("), key, F.lit(",\n'"), status, F.lit("', "), F.col("o_totalprice").cast("string"), F.lit(", f(g((((1, ')'))))))"))
+    least, most = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    text = F.concat(F.when(F.col("o_orderkey") == least, "INSERT INTO `orders` (k, st, price, c) VALUES\n").otherwise(""), row,
+                    F.when(F.col("o_orderkey") == most, ";").otherwise(","))
+    split = split_statements(statement_lines(_per_line(orders, F.lit("huge.sql"), "o_orderkey", text), SHORT), row_bytes=1 << 16)
+    schema = T.StructType().add("k", "long").add("st", "string").add("price", "double").add("c", "string")
+    return load_rows(accepted(split.statements), "orders", schema).filter(F.trim("c") == "f(g((((1, ')')))))").select(
+        F.col("k").alias("o_orderkey"), "st", "price")
+
+
+def _data_only(spark: SparkSession, sf: str) -> Loaded:
+    """Suppliers as a dump without any CREATE TABLE: with and without column lists, and rows that do not fit them."""
+    supplier = table(spark, sf, "supplier")
+    key = F.col("s_suppkey").cast("string")
+    named = F.concat(F.lit("INSERT INTO named (id, name) VALUES ("), key, F.lit(", '"), "s_name", F.lit("');\nINSERT INTO named (nation, id) VALUES ("),
+                     F.col("s_nationkey").cast("string"), F.lit(", "), key, F.lit(");"))
+    bare = F.concat(F.lit("\nINSERT INTO bare VALUES ("), key, F.lit(", NULL), ('"), "s_name", F.lit("', 2);"))
+    more = F.when(F.col("s_suppkey") % 3 == 0, F.lit("\nINSERT INTO named (id) VALUES (1, 2);")).otherwise("")
+    return load_dump(split_statements(statement_lines(_per_line(supplier, F.lit("data.sql"), "s_suppkey", F.concat(named, bare, more)), SHORT)))
+
+
+@query("""
+SELECT 'named' AS name, CAST(s_suppkey AS VARCHAR) AS a, s_name AS b, NULL AS c FROM supplier
+UNION ALL SELECT 'named', CAST(s_suppkey AS VARCHAR), NULL, CAST(s_nationkey AS VARCHAR) FROM supplier
+UNION ALL SELECT 'bare', CAST(s_suppkey AS VARCHAR), NULL, NULL FROM supplier UNION ALL SELECT 'bare', s_name, '2', NULL FROM supplier
+""")
+def load_without_ddl(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables a dump fills but does not create, as text: columns named by the statements, or numbered."""
+    tables = _data_only(spark, sf).tables
+    named, bare = tables["named"], tables["bare"]
+    return named.select(F.lit("named").alias("name"), F.col("id").alias("a"), F.col("name").alias("b"), F.col("nation").alias("c")).union(
+        bare.select(F.lit("bare"), "col_1", "col_2", F.lit(None).cast("string")))
+
+
+@query("""
+SELECT 't' AS "table", 'nope' AS "column", 'no such column' AS reason, count(*) AS n FROM supplier WHERE s_suppkey % 2 = 0 HAVING count(*) > 0
+UNION ALL SELECT 't', 'id', 'no int', count(*) FROM supplier WHERE s_suppkey % 2 = 1 HAVING count(*) > 0
+UNION ALL SELECT 'u', NULL, '1 values for 2 columns', count(*) FROM supplier WHERE s_suppkey % 5 = 1 HAVING count(*) > 0
+""")
+def load_unknown_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns a table does not have, values it cannot take, and rows that do not fit a table without CREATE TABLE."""
+    supplier = table(spark, sf, "supplier")
+    key = F.col("s_suppkey").cast("string")
+    ddl = F.when(F.col("s_suppkey") == supplier.agg(F.min("s_suppkey")).first()[0], "CREATE TABLE t (id INT, name TEXT);\n").otherwise("")
+    row = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("INSERT INTO t (id, nope) VALUES ("), key, F.lit(", 'x');"))).otherwise(
+        F.concat(F.lit("INSERT INTO t VALUES ('k"), key, F.lit("', 'x');")))
+    other = F.when(F.col("s_suppkey") % 5 == 1, F.lit("\nINSERT INTO u (a, b) VALUES (1);")).otherwise(F.lit("\nINSERT INTO u (a, b) VALUES (1, 2);"))
+    split = split_statements(statement_lines(_per_line(supplier, F.lit("t.sql"), "s_suppkey", F.concat(ddl, row, other)), SHORT))
+    return load_dump(split).rejects.groupBy("table", "column", "reason").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT c_nationkey || '.sql' AS file, c_nationkey % 2 = 0 AS is_bulk_insert, CAST(2 * count(*) + 2 AS BIGINT) AS n_lines FROM customer GROUP BY c_nationkey
+""")
+def bulk_inserts_over_many_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """One INSERT a nation whose first tuple runs over all its lines, in bytes that are no UTF-8; only every other one has a second tuple."""
+    customer = table(spark, sf, "customer")
+    file = F.concat(F.col("c_nationkey").cast("string"), F.lit(".sql"))
+    ends = customer.groupBy("c_nationkey").agg(F.min("c_custkey").alias("lo"), F.max("c_custkey").alias("hi"))
+    rows = customer.join(F.broadcast(ends), "c_nationkey")
+    body = F.concat(F.col("c_name").cast("binary"), F.lit(bytearray(b" \xe9\n\xff ")), F.col("c_name").cast("binary")).cast("string")
+    after = F.when(F.col("c_nationkey") % 2 == 0, "\n'), (2);").otherwise("\n');")
+    text = F.concat(F.when(F.col("c_custkey") == F.col("lo"), "INSERT INTO t VALUES ('\n").otherwise(""), body, F.when(F.col("c_custkey") == F.col("hi"), after).otherwise(""))
+    lines = statement_lines(_per_line(rows, file, "c_custkey", text), SHORT)
+    return profile_files(lines).select("file", "is_bulk_insert", F.col("estimated_lines").alias("n_lines"))

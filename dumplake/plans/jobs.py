@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..operators.batches import BatchOptions, assign_batches, batch_stats, bucket_runs, file_sizes, gather
 from ..operators.csvrows import CsvOptions, csv_inserts, csv_records, csv_rows
 from ..operators.inserts import analyse_inserts, statement_counts, with_insert_columns
-from ..operators.load import insert_tuples, rejects, resolve_keys, table_schema, table_schemas, typed_rows
+from ..operators.load import (
+    insert_tuples, list_tuples, rejects, resolve_keys, storable, table_schema, table_schemas, text_schemas, typed_rows, value_lists)
 from ..operators.scan import ScanOptions
 from ..operators.statements import Split, accepted, split_statements
 from ..sinks import check_target, save_table, write_dump
@@ -70,18 +71,25 @@ def optimise_files(spark: SparkSession, source: str, target: str, preset: str =
     return Optimised(output, done.batched, done.per_file, done.split, done.options).statistics()
 
 
+def _may_meet(statements: DataFrame) -> bool:
+    """Whether a statement may meet the key of an earlier row, by the staged columns of the split alone."""
+    if not {"keyword", "kind", "is_ignore"} <= set(statements.columns):
+        return True
+    return not statements.filter("keyword = 'REPLACE' OR is_ignore OR keyword = 'INSERT' AND kind = 'other'").isEmpty()
+
+
 def load_table(split: Split, table: str, dialect: str = "import") -> DataFrame:
     """Rows of one table of a dump, typed by its own CREATE TABLE, in the state the dump leaves them."""
     statements = accepted(split.statements, dialect)
     schema, key = table_schema(statements, table)
-    return _stored(insert_tuples(statements).filter(F.col("table") == table.lower()), schema, key)
+    tuples = insert_tuples(statements).filter(F.col("table") == table.lower())
+    return _stored(tuples, schema, key if key and _may_meet(statements) else [])
 
 
 def _stored(tuples: DataFrame, schema, key: list[str]) -> DataFrame:
     """Typed rows of one table; keys only matter if a statement may meet an earlier row."""
-    width = F.when(F.col("names").isNull(), F.lit(len(schema.fields))).otherwise(F.size("names"))
-    tuples = tuples.filter(F.size("items") == width)
-    if not key or tuples.filter("mode != 'insert'").isEmpty():
+    tuples = tuples.filter(storable(schema))
+    if not key:
         return typed_rows(tuples, schema)
     rows = typed_rows(tuples, schema, keep=("file", "pos", "item", "mode"))
     return resolve_keys(rows, key).select(*[f.name for f in schema.fields])
@@ -96,16 +104,18 @@ class Loaded:
 
 
 def load_dump(split: Split, dialect: str = "import") -> Loaded:
-    """All tables that the dump creates, typed by their CREATE TABLE, and the reject table.
+    """All tables of a dump, typed by their CREATE TABLE, and the reject table. Tables that the dump fills but does not create are text.
 
     The value tuples are read from the statements once and staged by table.
     """
     statements = accepted(split.statements, dialect)
     labelled = split.statements if dialect == "cli" else split.statements.filter("not is_tail or like_sql")
+    lists = stage(value_lists(labelled), "lists", partition_by=("table",))
     schemas = table_schemas(statements)
-    tuples = stage(insert_tuples(statements), "tuples", partition_by=("table",))
-    tables = {name: _stored(tuples.filter(F.col("table") == name), schema, key) for name, (schema, key) in schemas.items()}
-    return Loaded(tables, rejects(labelled, {name: schema for name, (schema, _) in schemas.items()}, tuples))
+    schemas |= text_schemas(lists, list(schemas))
+    meet = _may_meet(statements)
+    tables = {name: _stored(list_tuples(lists.filter(F.col("table") == name)), schema, key if meet else []) for name, (schema, key) in schemas.items()}
+    return Loaded(tables, rejects(labelled, {name: schema for name, (schema, _) in schemas.items()}, lists))
 
 
 def load_csv(lines: DataFrame, schema, table: str, options: CsvOptions = CsvOptions(), empty_first: bool = False) -> None:
