@@ -7,8 +7,10 @@ from collections.abc import Callable
 
 #: A space beside other white space or at an end of the text: there a cut before the space is not safe.
 _ODD = re.compile(r"(?:\A|\s) | (?:\s|\Z)")
-#: Units and tokens kept in a worker; beyond it the table starts anew.
-CACHED = 400_000
+#: Bytes of units, tokens and ids in a worker's tables; beyond it new ones are begun, which take over from the last what is met again.
+#: Longer units are not kept.
+CACHED_BYTES = 64 << 20
+LONGEST = 100
 
 
 class Units:
@@ -25,25 +27,43 @@ class Units:
         self.first: dict[str, bytes] = {}
         self.after: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], ...] = ({}, {}, {})
+        self.held = 0
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        for table in (self.first, self.after, self.tokens):
-            if len(table) > CACHED:
-                table.clear()
+        if self.held > CACHED_BYTES:
+            self.older, self.held = (self.first, self.after, self.tokens), 0
+            self.first, self.after, self.tokens = {}, {}, {}
         parts = [t.split(" ") if not _ODD.search(t) else cut(t) for t in texts]
         heads, rest = {p[0] for p in parts}, set()
         for p in parts:
             rest.update(p[1:])
-        heads.difference_update(self.first)
-        rest.difference_update(self.after)
-        split = [self.split(x) for x in heads] + [self.split(" " + x) for x in rest]
-        fresh = list(set().union(*split).difference(self.tokens))
-        self.tokens.update(zip(fresh, self.encode(fresh)))
+        fresh_heads = self._take(self.first, 0, heads)
+        fresh_rest = self._take(self.after, 1, rest)
+        split = [self.split(x) for x in fresh_heads] + [self.split(" " + x) for x in fresh_rest]
+        fresh = self._take(self.tokens, 2, set().union(*split))
+        self._add(self.tokens, fresh, self.encode(fresh))
         found = [b"".join(map(self.tokens.__getitem__, s)) for s in split]
-        self.first.update(zip(heads, found))
-        self.after.update(zip(rest, found[len(heads) :]))
-        return [self.first[p[0]] + b"".join(map(self.after.__getitem__, p[1:])) for p in parts]
+        self._add(self.first, fresh_heads, found[: len(fresh_heads)])
+        self._add(self.after, fresh_rest, found[len(fresh_heads) :])
+        out = [self.first[p[0]] + b"".join(map(self.after.__getitem__, p[1:])) for p in parts]
+        for table, fresh_units in ((self.tokens, fresh), (self.first, fresh_heads), (self.after, fresh_rest)):
+            for unit in [u for u in fresh_units if len(u) > LONGEST]:
+                self.held -= len(unit) + len(table.pop(unit)) + 150
+        return out
+
+    def _take(self, table: dict[str, bytes], which: int, units: set[str]) -> list[str]:
+        """The units that neither ``table`` nor the one before it has; what only the latter has moves on."""
+        units.difference_update(table)
+        again = units.intersection(self.older[which])
+        self._add(table, again, map(self.older[which].__getitem__, again))
+        return list(units.difference(again))
+
+    def _add(self, table: dict[str, bytes], units, ids) -> None:
+        for u, i in zip(units, ids):
+            table[u] = i
+            self.held += len(u) + len(i) + 150
 
 
 def cut(text: str) -> list[str]:

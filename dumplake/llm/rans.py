@@ -200,7 +200,6 @@ def tokenizer_units(path: str, pattern: str) -> Units:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     feed = tokenizer.encode("\n", add_special_tokens=False).ids
     matches = regex.compile(pattern).findall
 
@@ -213,18 +212,38 @@ def tokenizer_units(path: str, pattern: str) -> Units:
         # Tokens without inner white space go together, divided by line feeds, each of which is one id of its own.
         for at in range(0, len(plain), 10_000):
             some = plain[at : at + 10_000]
-            ids = np.array(tokenizer.encode("\n".join([tokens[i] for i in some]), add_special_tokens=False).ids, "<u4")
+            ids = np.array(tokenizer.encode_batch_fast(["\n".join([tokens[i] for i in some])], add_special_tokens=False)[0].ids, "<u4")
             ends = np.append(np.flatnonzero(ids == feed[0]), len(ids)).tolist()
             raw, start = ids.tobytes(), 0
             for i, end in zip(some, ends, strict=True):
                 out[i] = raw[4 * start : 4 * end]
                 start = end + 1
         others = [i for i in range(len(tokens)) if i not in out]
-        for i, got in zip(others, tokenizer.encode_batch([tokens[i] for i in others], add_special_tokens=False)):
-            out[i] = np.array(got.ids, "<u4").tobytes()
+        for i, got in zip(others, whole([tokens[i] for i in others])):
+            out[i] = got
         return [out[i] for i in range(len(tokens))]
 
-    return Units(split, encode)
+    def whole(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    return WithSpecial(split, encode, re.compile("|".join(map(re.escape, special)) or r"(?!)"), whole)
+
+
+class WithSpecial(Units):
+    """Units of a library that reads the names of special tokens in a text as these tokens: such texts go to it whole."""
+
+    def __init__(self, split, encode, special: re.Pattern, whole):
+        super().__init__(split, encode)
+        self.special, self.whole = special, whole
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        named = [i for i, t in enumerate(texts) if self.special.search(t)]
+        if not named:
+            return super().ids(texts)
+        found = dict(zip(named, self.whole([texts[i] for i in named])))
+        rest = iter(super().ids([t for i, t in enumerate(texts) if i not in found]))
+        return [found[i] if i in found else next(rest) for i in range(len(texts))]
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int = 0) -> None:

@@ -19,7 +19,6 @@ from dumplake.session import stage_path
 RANKS = bpe.read_ranks(queries.RANKS)
 TIKTOKEN = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 HF = Tokenizer.from_file(queries.TOKENIZER)
-HF.encode_special_tokens = True
 
 
 def ids_of(raw):
@@ -36,11 +35,24 @@ def test_codec_on_random_texts():
 
 def test_units_of_the_tokenizers_library():
     units, rng = rans.tokenizer_units(queries.TOKENIZER, public_tokenizers.PATTERN), random.Random(2)
+    for text in ("end here <|endoftext|> next doc", "<|endoftext|>", "a<|endoftext|>b <|endoftext", "x" * 300_000, "中" * 3_000):
+        assert ids_of(units.ids(["before it", text])[1]) == HF.encode(text, add_special_tokens=False).ids
     samples = ["".join(rng.choices(" \n\t\r\x1c\x85 'sdabcXY1.,é ñ中😀", k=rng.randint(0, 40))) for _ in range(3000)]
     for text, got in zip(samples, units.ids(samples)):
         assert ids_of(got) == HF.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_tables_of_units_are_bounded_by_bytes(monkeypatch):
+    from dumplake.llm import pretokens
+
+    units, rng = rans.tokenizer_units.__wrapped__(queries.TOKENIZER, public_tokenizers.PATTERN), random.Random(3)
+    monkeypatch.setattr(pretokens, "CACHED_BYTES", 20_000)
+    for _ in range(40):
+        texts = [" ".join(rng.choice(["abc", "ü,x", "w" + str(rng.random()), "long" * 50]) for _ in range(9)) + "y" * 20_000 for _ in range(5)]
+        assert [ids_of(i) for i in units.ids(texts)] == [HF.encode(t, add_special_tokens=False).ids for t in texts]
+        assert units.held < 60_000 and all(len(u) <= pretokens.LONGEST for t in (units.first, units.after, units.tokens) for u in t)
+
+
 def test_digests_of_given_and_odd_texts(spark, odd_docs, no_docs, texts):
     for docs in (spark.read.parquet(f"{SF}/documents.parquet"), odd_docs):
         want = sorted((str(r.doc_id), hashlib.sha256((r.text or "").encode()).hexdigest(), len(i), hashlib.sha256(struct.pack(f"<{len(i)}I", *i)).hexdigest())
