@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..functions.format import format_bytes, format_clock, format_duration, number_format
@@ -324,8 +325,11 @@ def _chunks(spark: SparkSession, sf: str) -> str:
     return path
 
 
+_CHUNK_ROWS = "dump_id string, seq long, is_last boolean, data binary"
+
+
 def _chunk_source(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema("dump_id string, seq long, is_last boolean, data binary").option("maxFilesPerTrigger", 2).parquet(path)
+    return spark.readStream.schema(_CHUNK_ROWS).option("maxFilesPerTrigger", 2).parquet(path)
 
 
 @query("""
@@ -345,25 +349,65 @@ def stream_chunked_dumps(spark: SparkSession, sf: str) -> DataFrame:
 SELECT CAST(c_nationkey AS VARCHAR) AS dump_id, count(*) AS queries, count(*) AS inserts, CAST(count(*) * 3 AS BIGINT) AS lines, CAST(0 AS BIGINT) AS errors FROM customer GROUP BY c_nationkey
 """)
 def stream_live_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    """Statement counts per dump, kept up to date while chunks arrive."""
-    found = live_statistics(_split_then_count(spark, sf))
-    out = stage_path(spark, "live")
+    """Statement counts per dump, kept up to date in the query that splits the arriving chunks."""
+    found, out = live_statistics(split_stream(_chunk_source(spark, _chunks(spark, sf)))), stage_path(spark, "live")
+    job = found.writeStream.format("parquet").option("checkpointLocation", stage_path(spark, "check")).option("path", out)
+    job.trigger(availableNow=True).start().awaitTermination()
+    counts = ["queries", "inserts", "lines", "errors"]
+    latest = spark.read.schema(found.schema).parquet(out).groupBy("dump_id").agg(F.max(F.struct(*counts)).alias("now"))
+    return latest.select("dump_id", *[f"now.{c}" for c in counts])
+
+
+@query("""
+SELECT CAST(c_nationkey AS VARCHAR) AS dump_id, CAST((row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) * 3 + 1 AS BIGINT) AS pos,
+  'INSERT INTO `c` VALUES (' || c_custkey || ', ''it\\''s' || chr(10) || c_name || ';' || chr(10) || ''')' AS text, false AS is_tail
+FROM customer
+""")
+def stream_stop_resume(spark: SparkSession, sf: str) -> DataFrame:
+    """The same statements, once each, by a query that fails after it wrote a batch and before it could commit it, and is started again."""
+    path, out, check, failed = _chunks(spark, sf), stage_path(spark, "streamed"), stage_path(spark, "check"), []
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if not failed:
+            failed.append(number)
+            raise InterruptedError("stopped after the write")
 
-    job = found.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", stage_path(spark, "check"))
-    job.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(found.schema).parquet(out).select("dump_id", "queries", "inserts", "lines", "errors")
+    def run() -> None:
+        job = split_stream(_chunk_source(spark, path)).writeStream.foreachBatch(keep).option("checkpointLocation", check)
+        job.trigger(availableNow=True).start().awaitTermination()
 
+    try:
+        run()
+    except StreamingQueryException:
+        run()
+    return spark.read.parquet(out).select("dump_id", "pos", "text", "is_tail")
 
-def _split_then_count(spark: SparkSession, sf: str) -> DataFrame:
-    """Statements of the chunked dumps as a stream over the table the splitter wrote."""
-    statements = stream_chunked_dumps(spark, sf)
-    path = stage_path(spark, "statements")
-    statements.select("*", (F.col("pos") + 2).alias("last_line"), F.lit(None).cast("string").alias("error")).write.parquet(path)
-    schema = "dump_id string, pos long, text string, is_tail boolean, last_line long, error string"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+@query("""
+WITH c AS (SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)
+SELECT CAST(c_nationkey AS VARCHAR) AS dump_id, CAST((rn - 1) * 3 + 1 AS BIGINT) AS pos, NULL AS error FROM c WHERE c_nationkey % 5 > 0 OR rn = 1
+UNION ALL SELECT CAST(c_nationkey AS VARCHAR), 3, 'Chunk 1 did not arrive in time; ' || (n - 2) || ' later chunks were not read' FROM c WHERE c_nationkey % 5 = 0 AND rn = 1 AND n > 1
+""")
+def stream_lost_chunk(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every fifth dump a chunk never comes: what came before it stays, and once time went on an error row ends the dump."""
+    path, out, check = stage_path(spark, "chunks"), stage_path(spark, "streamed"), stage_path(spark, "check")
+    rows = spark.read.schema(_CHUNK_ROWS).parquet(_chunks(spark, sf)).withColumn("arrived", F.timestamp_seconds(F.lit(1_700_000_000)))
+    rows.filter(~((F.col("dump_id").cast("int") % 5 == 0) & (F.col("seq") == 1))).write.parquet(path)
+
+    def run() -> DataFrame:
+        chunks = spark.readStream.schema(_CHUNK_ROWS + ", arrived timestamp").option("maxFilesPerTrigger", 2).parquet(path)
+        found = split_stream(chunks, wait="30 days")
+        job = found.writeStream.format("parquet").option("checkpointLocation", check).option("path", out)
+        job.trigger(availableNow=True).start().awaitTermination()
+        return found
+
+    run()
+    late = spark.range(1).select(
+        F.lit("late").alias("dump_id"), F.lit(0).cast("long").alias("seq"), F.lit(True).alias("is_last"),
+        F.lit("SELECT 1;").cast("binary").alias("data"), F.timestamp_seconds(F.lit(1_800_000_000)).alias("arrived"))
+    late.write.mode("append").parquet(path)
+    return spark.read.schema(run().schema).parquet(out).filter("dump_id <> 'late'").select("dump_id", "pos", "error")
 
 
 @query("SELECT 'INSERT' AS keyword, count(*) AS n FROM orders")

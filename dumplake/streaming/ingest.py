@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..functions.text import TRIM, classify_line, without_bom
+from ..functions.text import TAIL_KEYWORDS, TRIM, classify_line, without_bom
 from ..operators.load import rejects
 from ..operators.scan import ScanOptions
-from ..operators.statements import OVER_BYTES, OVER_LINES, ROW_BYTES, accepted, split_statements
+from ..operators.statements import OVER_BYTES, OVER_LINES, ROW_BYTES, UNCLOSED, accepted, split_statements
 from ..session import stage_scope
 from ..sources.lines import read_lines
 
@@ -68,19 +69,20 @@ def ingest_dumps(spark: SparkSession, path: str, target: str, checkpoint: str, o
 
 
 def chunk_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    """Chunk files as a stream of (dump_id, seq, is_last, data); one chunk is one row."""
+    """Chunk files as a stream of (dump_id, seq, is_last, data, arrived); one chunk is one row."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     raw = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", max_files).load(path)
     return raw.select(
         F.regexp_extract("path", _CHUNK_NAME, 1).alias("dump_id"),
         F.regexp_extract("path", _CHUNK_NAME, 2).cast("long").alias("seq"),
         (F.regexp_extract("path", _CHUNK_NAME, 3) != "").alias("is_last"), F.col("content").alias("data"),
+        F.col("modificationTime").alias("arrived"),
     )
 
 
 _STATE = (
     "next_seq long, quote int, delimiter string, partial binary, pending string, first_line long, line_no long, "
-    "counted int, statements long, bytes long, held_seq array<long>, held_last array<boolean>, held_data array<binary>"
+    "counted int, statements long, bytes long"
 )
 _OUT = "dump_id string, seq long, pos long, last_line long, text string, is_tail boolean, error string"
 
@@ -94,18 +96,16 @@ class _Reader:
 
     def __init__(self, options: ScanOptions, saved: tuple | None, max_lines: int | None, max_bytes: int | None, row_bytes: int = ROW_BYTES):
         self.options, self.max_lines, self.max_bytes, self.row_bytes = options, max_lines, max_bytes, row_bytes
-        start = (0, 0, options.delimiter, b"", "", 0, 0, 0, 0, 0, [], [], [])
+        start = (0, 0, options.delimiter, b"", "", 0, 0, 0, 0, 0)
         (self.next_seq, self.quote, self.delimiter, partial, pending, self.first_line, self.line_no, self.counted,
-         self.statements, self.bytes, seqs, lasts, data) = saved or start
+         self.statements, self.bytes) = saved or start
         self.partial = bytes(partial)
         self.open_lines = [pending] if pending else []
         self.open_bytes = len(pending.encode())
-        self.held = {s: (last, bytes(d)) for s, last, d in zip(seqs, lasts, data)}
 
     def state(self) -> tuple:
-        seqs = sorted(self.held)
         return (self.next_seq, self.quote, self.delimiter, self.partial, "".join(self.open_lines), self.first_line, self.line_no,
-                self.counted, self.statements, self.bytes, seqs, [self.held[s][0] for s in seqs], [self.held[s][1] for s in seqs])
+                self.counted, self.statements, self.bytes)
 
     def _clear(self) -> None:
         self.open_lines, self.open_bytes, self.first_line, self.counted = [], 0, 0, 0
@@ -144,58 +144,170 @@ class _Reader:
             return part
         return None
 
-    def read(self, seq: int, last: bool, data: bytes):
-        """Take a chunk; yield (seq, statement) for all chunks that are now in order."""
-        if seq >= self.next_seq:
-            self.held[seq] = (last, data)
-        while self.next_seq in self.held:
-            here = self.next_seq
-            last, data = self.held.pop(here)
-            self.bytes += len(data)
-            *lines, self.partial = (self.partial + data).split(b"\n")
-            if last and self.partial:
-                lines, self.partial = [*lines, self.partial], b""
-            for raw in lines:
-                raw = without_bom(raw) if self.line_no == 0 else raw
-                text = (raw[:-1] if raw.endswith(b"\r") else raw).decode("utf-8", "replace")
-                found = self._line(text.replace("\r\n", "\n").replace("\r", "\n"))
-                if found:
-                    self.statements += 1
-                    yield here, found
-            if last and self.open_lines:
-                found = self._finish(True)
-                if found:
-                    yield here, found
-            self.next_seq += 1
+    def read(self, last: bool, data: bytes):
+        """Take the chunk whose turn it is; yield its statements."""
+        self.bytes += len(data)
+        *lines, self.partial = (self.partial + data).split(b"\n")
+        if last and self.partial:
+            lines, self.partial = [*lines, self.partial], b""
+        for raw in lines:
+            raw = without_bom(raw) if self.line_no == 0 else raw
+            text = (raw[:-1] if raw.endswith(b"\r") else raw).decode("utf-8", "replace")
+            found = self._line(text.replace("\r\n", "\n").replace("\r", "\n"))
+            if found:
+                self.statements += 1
+                yield found
+        if last:
+            unclosed = self.quote != 0
+            found = self._finish(True) if self.open_lines else None
+            # The tail of an import counts only if it starts like SQL; one that is no statement still shows an open string.
+            if found and (self.options.dialect == "cli" or _LIKE_SQL.match(found[2])):
+                self.statements += 1
+                yield (*found[:4], UNCLOSED if unclosed else found[4])
+            elif unclosed:
+                yield (self.line_no, self.line_no, None, True, UNCLOSED)
+        self.next_seq += 1
+
+
+_LIKE_SQL = re.compile(rf"(?i)(?:{'|'.join(TAIL_KEYWORDS)}|/\*|--)")
+# Fixed value: error of a dump with a chunk that did not come.
+LOST = "Chunk %d did not arrive in time; %d later chunks were not read"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _with_state_store(spark: SparkSession) -> None:
+    """Timers and several states per key need the RocksDB store; a session that chose its own keeps it."""
+    if spark.conf.get(_PROVIDER, "").endswith("HDFSBackedStateStoreProvider") or not spark.conf.get(_PROVIDER, ""):
+        spark.conf.set(_PROVIDER, _ROCKS)
+
+
+class _Splitter(StatefulProcessor):
+    """One dump: where its reading stands, chunks ahead of their turn one by one, and a timer until the last one came."""
+
+    def __init__(self, options: ScanOptions, max_lines: int | None, max_bytes: int | None, wait_ms: int | None):
+        self.options, self.max_lines, self.max_bytes, self.wait_ms = options, max_lines, max_bytes, wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.reader = handle.getValueState("reader", _STATE)
+        self.held = handle.getMapState("held", "seq long", "is_last boolean, data binary, arrived timestamp")
+
+    def _rows(self, found: list) -> pd.DataFrame:
+        return pd.DataFrame(found, columns=["dump_id", "seq", "pos", "last_line", "text", "is_tail", "error", "arrived"])
+
+    def _clear(self) -> None:
+        self.reader.clear()
+        self.held.clear()
+        self._stop_waiting()
+
+    def _stop_waiting(self) -> None:
+        if self.wait_ms is not None:  # a query without time has no timers
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+
+    def handleInputRows(self, key, rows, timerValues):
+        saved = self.reader.get() if self.reader.exists() else None
+        reader = _Reader(self.options, tuple(saved) if saved else None, self.max_lines, self.max_bytes)
+        given, latest, done = {}, None, False
+        for frame in rows:
+            for row in frame.itertuples(index=False):
+                if int(row.seq) >= reader.next_seq:  # chunks already read are skipped
+                    given[int(row.seq)] = (bool(row.is_last), bytes(row.data), row.arrived)
+                    latest = row.arrived if latest is None else max(latest, row.arrived)
+        out = []
+        while not done:
+            seq = reader.next_seq
+            if seq in given:
+                last, data, arrived = given.pop(seq)
+            elif self.held.containsKey((seq,)):
+                last, data, arrived = self.held.getValue((seq,))
+                self.held.removeKey((seq,))
+            else:
+                break
+            out += [(key[0], seq, *found, arrived) for found in reader.read(last, bytes(data))]
+            done = last
+        if done:
+            self._clear()
+        else:
+            for seq, chunk in given.items():
+                self.held.updateValue((seq,), chunk)
+            self.reader.update(reader.state())
+            if self.wait_ms is not None and latest is not None:
+                self._stop_waiting()
+                self.handle.registerTimer(int(pd.Timestamp(latest).timestamp() * 1000) + self.wait_ms)
+        yield self._rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        saved = self.reader.get() if self.reader.exists() else None
+        reader = _Reader(self.options, tuple(saved) if saved else None, self.max_lines, self.max_bytes)
+        held = list(self.held.iterator())
+        arrived = max((v[2] for _, v in held), default=None)
+        text = "".join(reader.open_lines) or None
+        at = reader.first_line or reader.line_no
+        self._clear()
+        yield self._rows([(key[0], reader.next_seq, at, reader.line_no, text, True, LOST % (reader.next_seq, len(held)), arrived)])
+
+    def close(self) -> None:
+        pass
 
 
 def split_stream(chunks: DataFrame, options: ScanOptions = ScanOptions(), max_lines: int | None = None,
-                 max_bytes: int | None = None) -> DataFrame:
+                 max_bytes: int | None = None, wait: str | None = None) -> DataFrame:
     """Statements of chunked dumps; a chunk may end anywhere, also inside a line or a string.
 
     The state per dump is what a stopped load needs to go on: quote, delimiter, the open
     statement (handed on in labelled parts beyond ``ROW_BYTES``), line and byte counts. Limits given here label statements. Chunks ahead of their turn
-    wait in the state. Chunks already read are skipped, so repeats do no harm.
+    wait in the state, one entry each. Chunks already read are skipped, so repeats do no harm. After its last chunk a dump leaves no state.
+    With ``wait`` (such as '2 hours') a dump with a missing chunk, its last one included, ends in an error row, with the statement it left open, once chunks of any dump
+    arrived that much later; this needs a column ``arrived``. Without it such a dump waits on. The tail rules are those of the batch scan.
     """
-    def run(key, frames, state: GroupState):
-        reader = _Reader(options, state.get if state.exists else None, max_lines, max_bytes)
-        out = []
-        for frame in frames:
-            for row in frame.sort_values("seq").itertuples(index=False):
-                for seq, found in reader.read(int(row.seq), bool(row.is_last), bytes(row.data)):
-                    out.append((key[0], seq, *found))
-        state.update(reader.state())
-        yield pd.DataFrame(out, columns=["dump_id", "seq", "pos", "last_line", "text", "is_tail", "error"])
+    spark = chunks.sparkSession
+    _with_state_store(spark)
+    if "arrived" not in chunks.columns:
+        chunks = chunks.withColumn("arrived", F.lit(None).cast("timestamp") if wait is None else F.current_timestamp())
+    timed = wait is not None
+    chunks = chunks.withWatermark("arrived", "0 seconds") if timed else chunks.withColumn("arrived", F.coalesce("arrived", F.timestamp_seconds(F.lit(0))))
+    wait_ms = spark.sql(f"SELECT unix_millis(timestamp_seconds(0) + INTERVAL {wait})").first()[0] if timed else None
+    found = chunks.groupBy("dump_id").transformWithStateInPandas(
+        _Splitter(options, max_lines, max_bytes, wait_ms), _OUT + ", arrived timestamp", "Append", "EventTime" if timed else "None")
+    return found.drop("arrived")
+
 
-    return chunks.groupBy("dump_id").applyInPandasWithState(run, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+_COUNTS = "queries long, inserts long, bytes long, errors long, lines long"
+
+
+class _Counter(StatefulProcessor):
+    """Running counts of one dump."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getValueState("counts", _COUNTS)
+
+    def handleInputRows(self, key, rows, timerValues):
+        queries, inserts, size, errors, lines = self.counts.get() if self.counts.exists() else (0, 0, 0, 0, 0)
+        for frame in rows:
+            texts = frame["text"].dropna()
+            queries += len(texts)
+            inserts += int(texts.str.match("(?i)INSERT").sum())
+            size += int(texts.str.encode("utf-8").str.len().sum())
+            errors += int(frame["error"].notna().sum())
+            lines = max(lines, int(frame["last_line"].max()))
+        now = (queries, inserts, size, errors, lines)
+        self.counts.update(now)
+        yield pd.DataFrame([(key[0], *now)], columns=["dump_id", "queries", "inserts", "bytes", "errors", "lines"])
+
+    def close(self) -> None:
+        pass
 
 
 def live_statistics(statements: DataFrame) -> DataFrame:
-    """Running counts per dump, for a query in update or complete mode."""
-    return statements.groupBy("dump_id").agg(
-        F.count("*").alias("queries"), F.count_if(F.col("text").rlike("(?i)^INSERT")).alias("inserts"),
-        F.sum(F.octet_length("text")).alias("bytes"), F.count("error").alias("errors"), F.max("last_line").alias("lines"),
-    )
+    """Running counts per dump over a stream of statements: a row per dump and micro-batch that adds to it, the latest the highest.
+
+    May follow ``split_stream`` in one query, so counts and statements share a checkpoint.
+    """
+    _with_state_store(statements.sparkSession)
+    rows = statements.select("dump_id", "text", "error", "last_line")
+    return rows.groupBy("dump_id").transformWithStateInPandas(_Counter(), "dump_id string, " + _COUNTS, "Append", "None")
 
 
 def forget(spark: SparkSession, checkpoint: str) -> bool:

@@ -1,9 +1,10 @@
 import os
 import random
 
+import pytest
 from sequential import split
 
-from dumplake.streaming.ingest import chunk_stream, forget, ingest_dumps, split_stream
+from dumplake.streaming.ingest import chunk_stream, forget, ingest_dumps, live_statistics, split_stream
 
 TEXT = "SELECT 1;\n" + "".join(f"INSERT INTO t VALUES ({i}, 'it''s\n; -- {i}\n');\n-- note\n" for i in range(60)) + "DELIMITER //\nA;\nB//\nSELECT 'é'//\nCOMMIT"
 
@@ -54,6 +55,86 @@ def test_limits_in_the_stream_label_only(spark, folder):
     assert [r.pos for r in rows if r.error] == [2]
 
 
+def test_a_lost_chunk_ends_in_an_error_row(spark, folder):
+    source, out, check = (os.path.join(folder, n) for n in ("in", "out", "check"))
+    os.mkdir(source)
+    start = 1_700_000_000
+
+    def put(files, at):
+        for path, data in files:
+            open(path, "wb").write(data)
+            os.utime(path, (at, at))
+
+    whole = write(source, "ok", TEXT, [50, 400])
+    lost = write(source, "lost", "SELECT 1;\nSELECT '2\n" + "x\n" * 50 + "';\nSELECT 3;\n", [20, 60, 90])
+    put([*whole[:2], lost[0], lost[2], lost[3]], start)
+    rows = run(spark, source, out, check, wait="2 hours")
+    assert [r.text for r in rows if r.dump_id == "lost"] == ["SELECT 1"] and not [r for r in rows if r.error]
+    put(whole[2:], start + 3600)
+    assert not [r for r in run(spark, source, out, check, wait="2 hours") if r.error]
+    put(write(source, "late", "SELECT 'late';\n", []), start + 3 * 3600)
+    put(write(source, "later", "SELECT 'later';\n", []), start + 3 * 3600 + 1)
+    rows = run(spark, source, out, check, wait="2 hours")
+    assert [(r.dump_id, r.seq, r.pos, r.error) for r in rows if r.error] == [("lost", 1, 2, "Chunk 1 did not arrive in time; 2 later chunks were not read")]
+    want, _, _ = split(TEXT)
+    assert [(r.pos, r.text) for r in rows if r.dump_id == "ok" and not r.is_tail] == want
+    for name in ("reader", "held"):
+        state = spark.read.format("statestore").option("stateVarName", name).load(check)
+        assert state.count() == 0
+
+
+def test_tails_and_open_strings_in_the_stream(spark, folder):
+    source, out, check = (os.path.join(folder, n) for n in ("in", "out", "check"))
+    os.mkdir(source)
+    for name, text in (("a", "SELECT 1;\nnot sql"), ("b", "SELECT 1;\nINSERT 'open"), ("c", "SELECT 1;\n'open"), ("d", "SELECT 1;\nCOMMIT")):
+        for path, data in write(source, name, text, [12]):
+            open(path, "wb").write(data)
+    rows = run(spark, source, out, check)
+    tails = [(r.dump_id, r.text, bool(r.error)) for r in rows if r.is_tail]
+    assert tails == [("b", "INSERT 'open", True), ("c", None, True), ("d", "COMMIT", False)]
+
+
+def test_a_failure_between_write_and_commit_doubles_nothing(spark, folder):
+    source, out, check = (os.path.join(folder, n) for n in ("in", "out", "check"))
+    os.mkdir(source)
+    rng = random.Random(6)
+    for name in "ab":
+        for path, data in write(source, name, TEXT, sorted(rng.sample(range(1, len(TEXT.encode())), 7))):
+            open(path, "wb").write(data)
+    failed = []
+
+    def sink(batch, number):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if number == 2 and not failed:
+            failed.append(number)
+            raise RuntimeError("stopped after the write")
+
+    def once():
+        found = split_stream(chunk_stream(spark, source, max_files=3))
+        return found.writeStream.foreachBatch(sink).option("checkpointLocation", check).trigger(availableNow=True).start()
+
+    with pytest.raises(Exception):
+        once().awaitTermination()
+    once().awaitTermination()
+    want, _, _ = split(TEXT)
+    rows = spark.read.parquet(out).orderBy("dump_id", "pos").collect()
+    assert failed and [(r.dump_id, r.pos, r.text) for r in rows if not r.is_tail] == [(d, *w) for d in "ab" for w in want]
+
+
+def test_counts_follow_the_splitter_in_one_query(spark, folder):
+    source, check = (os.path.join(folder, n) for n in ("in", "check"))
+    os.mkdir(source)
+    for path, data in write(source, "a", TEXT, [100, 900, 1500]):
+        open(path, "wb").write(data)
+    seen = []
+    found = live_statistics(split_stream(chunk_stream(spark, source, max_files=2)))
+    found.writeStream.foreachBatch(lambda b, n: seen.extend(b.collect())).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    want, tail, _ = split(TEXT)
+    last = max(seen, key=lambda r: r.queries)
+    assert last.queries == len(want) + 1 and last.inserts == 60 and last.lines == TEXT.count("\n") + 1 and last.errors == 0
+    assert last.bytes == sum(len(t.encode()) for _, t in want) + len(tail) and len(seen) == 2
+
+
 def test_arriving_dumps_are_split_once(spark, folder):
     source, target, check = (os.path.join(folder, n) for n in ("in", "out", "check"))
     os.mkdir(source)
