@@ -1,17 +1,22 @@
-"""The history of loads: an append-only table, listed newest first, and its summary."""
+"""The history of loads: entries listed newest first, their summary, and a versioned folder that keeps them.
 
-from __future__ import annotations
+Every change of the folder is one new version (see ``snapshots``), so writers at the same time lose no entry.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.format import format_bytes, format_duration
+from ..snapshots import Snapshot, Table, change, current, delete_path, names_in, write_part
 
 # Fixed value: entries listed by default.
 LIST = 20
+# Parts of a history on disk beyond which an append writes them as one.
+FOLD = 64
+_NAME = "history"
 
 SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("filename", T.StringType()),
@@ -22,17 +27,21 @@ SCHEMA = T.StructType([
 ])
 
 
+def _start(spark: SparkSession, path: str) -> Snapshot:
+    """A history without versions: the files of its folder, or the file itself, are its parts."""
+    base = path.rstrip("/")
+    files = [n for n in names_in(spark, base) if not n.startswith(("_", ".")) and n != "data"]
+    return Snapshot(base, 0, {_NAME: Table(tuple(files), SCHEMA, "json")})
+
+
+def _opened(spark: SparkSession, path: str) -> Snapshot:
+    now = current(spark, path)
+    return now if now.version else _start(spark, path)
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """History entries under ``path`` (JSON lines, or JSON arrays); a missing or broken file is empty."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        left = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".old-*"))
-        if not left:
-            return spark.createDataFrame([], SCHEMA)
-        path = left[0].getPath().toString()
-    rows = spark.read.option("mode", "DROPMALFORMED").schema(SCHEMA).json(path)
-    return rows.filter("id is not null")
+    """History entries under ``path`` as they are now: versioned, or a plain folder of JSON lines; a missing or broken one is empty."""
+    return _opened(spark, path).read(spark, _NAME).filter("id is not null")
 
 
 def read_history_array(spark: SparkSession, path: str) -> DataFrame:
@@ -77,42 +86,63 @@ def without(history: DataFrame, entry_id: str) -> DataFrame:
     return history.filter(F.col("id") != entry_id)
 
 
-def append_history(loads: DataFrame, path: str) -> None:
-    loads.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMA.fields]).write.mode("append").json(path)
+def _change(spark: SparkSession, path: str, step) -> None:
+    """Change the parts of a history in one step, again if another writer was first."""
+
+    def tables(now: Snapshot, write) -> dict[str, Table] | None:
+        parts = step(now, now.tables[_NAME].parts, write)
+        return None if parts is None else {_NAME: Table(tuple(parts), SCHEMA, "json")}
 
+    change(spark, path, tables, start=lambda: _start(spark, path), fmt="json")
 
-def _rewrite(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Replace a history folder: write aside under a name of its own, move the old one away, then move the new one in.
 
-    At every moment the old or the new entries are whole on disk: after a crash between the two moves the old ones lie in
-    the folder that ends in ``.old-…``, and ``read_history`` reads them from there.
+def append_history(loads: DataFrame, path: str, keep: int | None = None) -> None:
+    """Add entries; with ``keep`` only the newest so many stay, by the same change.
+
+    Entries are written once, however often the change starts anew. Beyond ``FOLD`` parts all are written as one.
     """
-    mark = uuid.uuid4().hex
+    spark = loads.sparkSession
     base = path.rstrip("/")
-    rows.write.json(f"{base}.next-{mark}")
-    jvm = spark._jvm.org.apache.hadoop.fs.Path
-    fs = jvm(base).getFileSystem(spark._jsc.hadoopConfiguration())
-    aside = jvm(f"{base}.old-{mark}")
-    moved = fs.rename(jvm(base), aside)
-    if not fs.rename(jvm(f"{base}.next-{mark}"), jvm(base)):
-        if moved:
-            fs.rename(aside, jvm(base))
-        raise RuntimeError(f"could not replace {base}")
-    fs.delete(aside, True)
+    part = write_part(loads.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMA.fields]), base, "json")
+    whole: list[bool] = []
+
+    def step(now: Snapshot, parts, write):
+        parts = (*parts, part)
+        whole[:] = [keep is None and len(parts) <= FOLD]
+        if whole[0]:
+            return parts
+        rows = now.read(spark, _NAME, parts).filter("id is not null")
+        return [write(rows if keep is None else retain(rows, keep))]
+
+    shown = False
+    try:
+        _change(spark, base, step)
+        shown = whole[0]
+    finally:
+        if not shown:
+            delete_path(spark, f"{base}/{part}")
 
 
 def delete_entry(spark: SparkSession, path: str, entry_id: str) -> bool:
-    """Remove an entry; says whether it was there."""
-    history = read_history(spark, path)
-    if history.filter(F.col("id") == entry_id).isEmpty():
-        return False
-    _rewrite(spark, without(history, entry_id), path)
-    return True
+    """Remove an entry; says whether it was there. Only parts that hold it are written anew."""
+    found: list[str] = []
+
+    def step(now: Snapshot, parts, write):
+        files = now.read(spark, _NAME, parts).select("id", F.col("_metadata.file_path").alias("file")) if parts else None
+        names = [] if files is None else [r.file for r in files.filter(F.col("id") == entry_id).select("file").distinct().collect()]
+        found[:] = [p for p in parts if any(f"/{p}/" in n or n.endswith(f"/{p}") for n in names)]
+        if not found:
+            return None
+        return [*(p for p in parts if p not in found), write(without(now.read(spark, _NAME, tuple(found)), entry_id))]
+
+    _change(spark, path, step)
+    return bool(found)
 
 
 def trim_history(spark: SparkSession, path: str, keep: int) -> None:
-    _rewrite(spark, retain(read_history(spark, path), keep), path)
+    """Keep the newest entries only."""
+    _change(spark, path, lambda now, parts, write: [write(retain(now.read(spark, _NAME, parts).filter("id is not null"), keep))] if parts else None)
 
 
 def clear_history(spark: SparkSession, path: str) -> None:
-    _rewrite(spark, spark.createDataFrame([], SCHEMA), path)
+    _change(spark, path, lambda now, parts, write: [])

@@ -14,6 +14,7 @@ from ..operators.load import (
     insert_tuples, list_tuples, rejects, resolve_keys, storable, table_schema, table_schemas, text_schemas, typed_rows, value_lists)
 from ..operators.scan import ScanOptions
 from ..operators.statements import Split, accepted, split_statements
+from ..snapshots import Snapshot, publish
 from ..sinks import check_target, save_table, write_dump
 from ..sources.lines import read_lines
 from ..session import stage
@@ -118,6 +119,21 @@ def load_dump(split: Split, dialect: str = "import") -> Loaded:
     return Loaded(tables, rejects(labelled, {name: schema for name, (schema, _) in schemas.items()}, lists))
 
 
+# Fixed value: the name under which the rejects of a load are published.
+REJECTS = "#rejects"
+
+
+def publish_dump(loaded: Loaded, base: str, mode: str = "new") -> Snapshot:
+    """Store all tables of a loaded dump and its rejects under ``base``; readers see none of them, or all.
+
+    ``new`` refuses tables that are there already, ``replace`` replaces them, ``append`` adds to them (see ``snapshots.publish``);
+    the rejects are always those of the last load. Read them back by ``snapshots.published``.
+    """
+    if REJECTS in loaded.tables:
+        raise ValueError(f"the dump has a table of the name {REJECTS}")
+    return publish(loaded.tables | {REJECTS: loaded.rejects}, base, mode, replacing=(REJECTS,))
+
+
 def load_csv(lines: DataFrame, schema, table: str, options: CsvOptions = CsvOptions(), empty_first: bool = False) -> None:
     """CSV lines into a table, which is emptied at most once, before the load."""
     save_table(csv_rows(csv_records(lines, options), schema), table, empty_first)

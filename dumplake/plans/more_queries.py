@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import history as h
 from ..operators.diagnose import advise, error_message
 from ..operators.profile import created_tables, created_tables_raw
+from ..operators.progress import progress
 from ..operators.statements import split_statements
 from ..session import stage_path
+from ..snapshots import Table, change, publish, published
 from ..sources.render import statement_lines
-from .dump_queries import SHORT, _customer_files, _ddl, _per_line
-from .log_queries import _error, _history
+from ..streaming.ingest import CHUNKS, ProgressLog, observed, split_stream, stream_log
+from .dump_queries import SHORT, _customer_files, _ddl, _per_line, _whole_dump
+from .jobs import REJECTS, publish_dump
+from .log_queries import _chunk_source, _chunks, _error, _history
 from .registry import ORACLE, query, table
 
 
@@ -86,6 +93,84 @@ def history_cleared(spark: SparkSession, sf: str) -> DataFrame:
     return h.summary(h.read_history(spark, path)).select("total_imports", "total_queries", "total_bytes", F.lit(before).cast("long").alias("rows_before"))
 
 
+@query("""
+WITH e AS (SELECT 'imp_' || event_id AS id, event_id FROM events), top AS (SELECT id FROM e WHERE event_id <> 5 ORDER BY event_id DESC LIMIT 1)
+SELECT id, false AS late FROM e WHERE event_id NOT IN (5, 6) UNION ALL SELECT 'late_' || id, true FROM top
+""")
+def history_after_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """A history after two appends, a delete, and a delete during which another writer appends: no change is lost."""
+    path = _kept_history(spark, sf)
+    h.delete_entry(spark, path, "imp_5")
+    number = F.expr("cast(substring(id, 5) as bigint)")
+    late = h.newest(h.read_history(spark, path).withColumn("ts", F.timestamp_seconds(number)), 1)
+    late = late.withColumn("id", F.concat(F.lit("late_"), "id"))
+    first: list[bool] = []
+
+    def step(now, write):
+        kept = write(h.without(now.read(spark, "history"), "imp_6"))
+        if not first:
+            first.append(True)
+            h.append_history(late, path)
+        return {"history": Table((kept,), h.SCHEMA, "json")}
+
+    change(spark, path, step, fmt="json")
+    return h.read_history(spark, path).select("id", F.col("id").startswith("late_").alias("late"))
+
+
+@query(ORACLE["load_whole_dump"])
+def publish_whole_dump(spark: SparkSession, sf: str) -> DataFrame:
+    """All tables of a dump, published at once and read back from one version; a load before it that fails half way shows nothing."""
+    base, loaded = stage_path(spark, "published"), _whole_dump(spark, sf)
+    name, rows = next(iter(loaded.tables.items()))
+    broken = loaded.tables | {name: rows.withColumn("id", F.raise_error(F.lit("write failed")).cast(rows.schema["id"].dataType))}
+    try:
+        publish(broken, base)
+    except Exception as error:
+        if "write failed" not in str(error) or published(spark, base):
+            raise
+    publish_dump(loaded, base)
+    tables = published(spark, base)
+    tables.pop(REJECTS)
+    frames = [df.agg(F.lit(n).alias("name"), F.count("*").alias("n"), F.sum("id").alias("ids"), F.count("day").alias("days")) for n, df in tables.items()]
+    return reduce(DataFrame.unionAll, frames)
+
+
+@query("""
+WITH c AS (SELECT length('INSERT INTO `c` VALUES (' || c_custkey || ', ''it\\''s' || chr(10) || c_name || ';' || chr(10) || ''')') + 2 AS b FROM customer)
+SELECT count(*) AS queries_done, count(*) AS queries_total, CAST(count(*) * 3 AS BIGINT) AS lines_done, CAST(sum(b) AS BIGINT) AS bytes_done,
+  CAST(100 AS DOUBLE) AS pct_done, true AS each_once FROM c
+""")
+def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """Progress over the log of a stream that fails between write and commit and goes on: its last row, and whether every batch is logged once."""
+    source, failed = _chunks(spark, sf), []
+    log, out, check = (stage_path(spark, n) for n in ("log", "streamed", "check"))
+    sizes = spark.read.schema(CHUNKS).parquet(source).agg(F.sum(F.octet_length("data")).alias("size"), F.count_if("is_last").alias("dumps")).first()
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if number and not failed:
+            failed.append(number)
+            raise InterruptedError("stopped after the write")
+
+    def run() -> None:
+        events = ProgressLog(spark, log, "chunked_dumps")
+        job = observed(_chunk_source(spark, source), split_stream).writeStream.queryName("chunked_dumps").foreachBatch(keep)
+        try:
+            job.option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+        finally:
+            events.wait()
+
+    try:
+        run()
+    except StreamingQueryException:
+        run()
+    rows = progress(stream_log(spark, log, sizes["size"], sizes["dumps"]))
+    last = rows.agg(F.max("seq").alias("s"), F.count("*").alias("n"), F.count_distinct("run_id").alias("runs"))
+    once = last.first()
+    each_once = once.n == once.s + 1 and once.runs == 2
+    return rows.filter("finished").select("queries_done", "queries_total", "lines_done", "bytes_done", "pct_done", F.lit(each_once).alias("each_once"))
+
+
 @query("""
 WITH f AS (SELECT 'c' || c_custkey || '.sql' AS file, c_name, c_custkey FROM customer)
 SELECT file, CASE WHEN c_custkey % 2 = 0 THEN 'in_comment' ELSE 'real_' || c_custkey END AS table_name, CAST(CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 3 END AS BIGINT) AS first_pos FROM f

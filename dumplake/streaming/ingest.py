@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import re
+import threading
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from ..functions.text import TAIL_KEYWORDS, TRIM, classify_line, without_bom
 from ..operators.load import rejects
 from ..operators.scan import ScanOptions
 from ..operators.statements import OVER_BYTES, OVER_LINES, ROW_BYTES, UNCLOSED, accepted, split_statements
 from ..session import stage_scope
+from ..snapshots import put_once, withdraw
 from ..sources.lines import read_lines
 
 CHUNKS = "dump_id string, seq long, is_last boolean, data binary"
@@ -310,6 +313,87 @@ def live_statistics(statements: DataFrame) -> DataFrame:
     return rows.groupBy("dump_id").transformWithStateInPandas(_Counter(), "dump_id string, " + _COUNTS, "Append", "None")
 
 
+def observed(chunks: DataFrame, found) -> DataFrame:
+    """``found(chunks)``, with what a batch reads and writes counted on the way, for ``ProgressLog``."""
+    text = F.decode("data", "ISO-8859-1")
+    chunks = chunks.observe("chunks", F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("bytes"),
+                            F.coalesce(F.sum(F.length(text) - F.length(F.translate(text, "\n", ""))), F.lit(0)).alias("lines"),
+                            F.count("*").alias("chunks"), F.count_if("is_last").alias("dumps"),
+                            F.coalesce(F.sum(F.when(F.col("is_last"), F.col("seq") + 1)), F.lit(0)).alias("awaited"))
+    return found(chunks).observe("statements", F.count("text").alias("queries"), F.count("error").alias("errors"))
+
+
+class ProgressLog(StreamingQueryListener):
+    """Keeps one file per committed batch of an observed query under ``path``: what the batch read and found.
+
+    A file is named by the number of its batch, so a batch that ran again after a failure is there once; a query that is
+    stopped and started on its checkpoint goes on with the next number, under the same import. Make it before the
+    query of this name starts; ``wait`` returns once the last event of the ended query is on disk.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, name: str):
+        self.spark, self.path, self.name = spark, path.rstrip("/"), name
+        self._runs: set[str] = set()
+        self._ended = threading.Event()
+        spark.streams.addListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        if event.name == self.name:
+            self._runs.add(str(event.runId))
+
+    def onQueryProgress(self, event) -> None:
+        now = event.progress
+        if str(now.runId) not in self._runs or not {"chunks", "statements"} <= set(now.observedMetrics):
+            return
+        row = {"import_id": self.name, "run_id": str(now.runId), "seq": now.batchId, "ts": now.timestamp}
+        for metrics in ("chunks", "statements"):
+            row |= now.observedMetrics[metrics].asDict()
+        put_once(self.spark, f"{self.path}/{self.name}-{now.batchId:012d}.json", json.dumps(row))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if str(event.runId) in self._runs:
+            self._ended.set()
+
+    def wait(self, timeout: float = 60) -> None:
+        """Until the events of the ended query are written; then listen no more."""
+        try:
+            if not self._ended.wait(timeout):
+                raise TimeoutError(f"no end of {self.name} was reported within {timeout} s")
+        finally:
+            self.spark.streams.removeListener(self)
+
+
+_EVENTS = "import_id string, run_id string, seq long, ts timestamp, bytes long, lines long, chunks long, dumps long, awaited long, queries long, errors long"
+
+
+def stream_log(spark: SparkSession, path: str, file_size: int | None = None, dumps: int = 1) -> DataFrame:
+    """The log that ``progress``, ``with_speed`` and the other signals read, from the files of a ``ProgressLog``.
+
+    A row per batch, with counts since the start of the import, so its windows hold one row per batch. ``file_size`` is the
+    size of all its dumps, if known; an import is finished once the last chunks of its ``dumps`` and all before them are read,
+    in any order (chunks that came twice count twice).
+    """
+    so_far = Window.partitionBy("import_id").orderBy("seq")
+    rows = spark.read.schema(_EVENTS).json(path)
+    return rows.select(
+        "import_id", "run_id", "seq", "ts", F.lit(file_size).cast("long").alias("file_size"),
+        *[F.sum(c).over(so_far).alias(c) for c in ("lines", "queries", "bytes", "errors")],
+        ((F.sum("dumps").over(so_far) >= dumps) & (F.sum("chunks").over(so_far) >= F.sum("awaited").over(so_far))).alias("finished"), F.lit(False).alias("is_gzip"))
+
+
+def drop_and_restart(spark: SparkSession, base: str, tables: list[str], checkpoint: str) -> list[str]:
+    """Hide the tables that a failed load published, all at once, and forget how far it came; says which tables were there.
+
+    ``tables`` are those the dump creates (``created_tables`` or ``created_tables_raw``); no others are touched. Stop the query first.
+    """
+    gone = withdraw(spark, base, tables)
+    forget(spark, checkpoint)
+    return gone
+
+
 def forget(spark: SparkSession, checkpoint: str) -> bool:
     """Restart from the beginning: drop a checkpoint, so the next query reads all files again."""
     path = spark._jvm.org.apache.hadoop.fs.Path(checkpoint)

@@ -205,9 +205,8 @@ def test_history_folder(spark, folder):
     assert h.delete_entry(spark, path, "imp_59") and not h.delete_entry(spark, path, "imp_59")
     h.trim_history(spark, path, 50)
     assert h.read_history(spark, path).count() == 50
-    os.rename(path, path + ".old-crashed")
-    assert h.read_history(spark, path).count() == 50, "a crash between the moves loses nothing"
-    os.rename(path + ".old-crashed", path)
+    h.append_history(loads.filter("id = 'imp_59'"), path, keep=50)
+    assert h.read_history(spark, path).count() == 50 and h.newest(h.read_history(spark, path), 1).first().id == "imp_59"
     h.clear_history(spark, path)
     assert h.read_history(spark, path).count() == 0
     assert [n for n in os.listdir(folder) if n.startswith("history")] == ["history"]

@@ -4,7 +4,10 @@ import random
 import pytest
 from sequential import split
 
-from dumplake.streaming.ingest import chunk_stream, forget, ingest_dumps, live_statistics, split_stream
+from dumplake.operators.progress import progress
+from dumplake.snapshots import publish, published
+from dumplake.streaming.ingest import (
+    ProgressLog, chunk_stream, drop_and_restart, forget, ingest_dumps, live_statistics, observed, split_stream, stream_log)
 
 TEXT = "SELECT 1;\n" + "".join(f"INSERT INTO t VALUES ({i}, 'it''s\n; -- {i}\n');\n-- note\n" for i in range(60)) + "DELIMITER //\nA;\nB//\nSELECT 'é'//\nCOMMIT"
 
@@ -151,3 +154,33 @@ def test_arriving_dumps_are_split_once(spark, folder):
     assert len(log) == 4 and all(r.finished and r.file_size == r.bytes for r in log)
     assert spark.read.parquet(f"{target}/rejects").count() == 0
     assert forget(spark, check) and not os.path.exists(check)
+
+
+def test_the_log_of_a_stopped_and_resumed_stream(spark, folder):
+    source, out, check, log = (os.path.join(folder, n) for n in ("in", "out", "check", "log"))
+    os.mkdir(source)
+    files = write(source, "a", TEXT, [100, 900, 1500])
+
+    def run():
+        events = ProgressLog(spark, log, "chunks_of_a")
+        found = observed(chunk_stream(spark, source, max_files=1), split_stream)
+        job = found.writeStream.queryName("chunks_of_a").format("parquet").option("checkpointLocation", check).option("path", out)
+        job.trigger(availableNow=True).start().awaitTermination()
+        events.wait()
+
+    for path, data in files[:2]:
+        open(path, "wb").write(data)
+    run()
+    size = len(TEXT.encode())
+    rows = progress(stream_log(spark, log, size)).orderBy("seq").collect()
+    assert [(r.bytes_done, r.finished) for r in rows] == [(100, False), (900, False)] and rows[1].bytes_this == 800
+    for path, data in files[2:]:
+        open(path, "wb").write(data)
+    run()
+    want, tail, _ = split(TEXT)
+    rows = progress(stream_log(spark, log, size)).orderBy("seq").collect()
+    assert [r.bytes_done for r in rows][::3] == [100, size] and rows[2].bytes_done in (1500, 900 + size - 1500) and [r.finished for r in rows] == [False] * 3 + [True]
+    assert rows[2].bytes_this == 0 and rows[3].bytes_this == size - rows[2].bytes_done and rows[3].queries_done == len(want) + 1 and rows[3].lines_done == TEXT.count("\n") and rows[3].pct_done == 100
+    publish({"t": spark.range(3), "other": spark.range(1)}, f"{folder}/tables")
+    assert drop_and_restart(spark, f"{folder}/tables", ["t", "u"], check) == ["t"] and list(published(spark, f"{folder}/tables")) == ["other"]
+    assert not os.path.exists(check)
