@@ -4,19 +4,22 @@ Equal vectors of one label are one node with a weight. Random hyperplanes deal t
 within a leaf every node finds its first neighbours. Then, round by round, the neighbours of a node (and those that have it
 as theirs) are compared with each other if one of them is new, and every list keeps its best ``NEIGHBOURS``, until a round
 finds no new link. Every comparison also hands on a spanning forest of the links it saw, so lists
-that are full cannot hide a connection. A full list of links alone is saturated: it is enlarged to its whole component, whose members are
-compared in blocks, and counted there. A bounded sample of nodes is compared with all rows; below ``RECALL`` the search goes on with more leaves.
+that are full cannot hide a connection. A full list of links alone is saturated: it is enlarged to twice its places and the descent goes on
+around it, until no list is saturated or has ``WIDEST`` places. Only components with a list that is saturated even then are compared within
+themselves, in blocks, and counted there. A bounded sample of nodes is compared with all rows; below ``RECALL`` the search goes on with more leaves,
+and if it ends below that it warns, or below ``RECALL_LEAST`` fails, with the measured recall.
 
 Similarities are cosines in double precision wherever they are computed. Nothing is compared between labels, no list
 or group is gathered beyond a block, and oversized leaves are dealt again at random.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component, and rows with a null label, link with nothing and
-are kept; vectors of different lengths do not link; rows that repeat an id count as rows; a null id counts as larger than all.
+are kept; components of any finite size count, also where their squares are too large or small for a double; vectors of different lengths do not link; rows that repeat an id count as rows; a null id counts as larger than all.
 """
 
 from __future__ import annotations
 
 import hashlib
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -28,23 +31,32 @@ from dumplake.session import stage
 
 THRESHOLD = 0.93
 NEIGHBOURS = 10
+WIDEST = 80
 TABLES = 8
 LEAF, LEAF_MOST, BLOCK = 64, 512, 1024
 ROUNDS = 12
-RECALL, AUDITED, ATTEMPTS = 0.98, 256, 3
+RECALL, RECALL_LEAST, AUDITED, ATTEMPTS = 0.98, 0.9, 256, 3
 _LAST = 2**63 - 1
 
 
+def _vector(x) -> np.ndarray | None:
+    """A valid vector as doubles; one whose squares might not be doubles is scaled by a power of two, which changes no cosine."""
+    v = np.array([np.nan if c is None else c for c in x], np.float64) + 0.0
+    most = np.abs(v).max() if len(v) else 0.0
+    if not 0 < most < np.inf:
+        return None
+    return v if 1e-100 < most < 1e100 else np.ldexp(v, -int(np.frexp(most)[1]))
+
+
 def _read(batches):
     """Valid vectors as bytes of doubles, with their length and a digest to find equal ones."""
     for pdf in batches:
         vec, digest, dim = [], [], []
         for x, label in zip(pdf["embedding"], pdf["label"]):
-            v = None if x is None or pd.isna(label) else np.array([np.nan if c is None else c for c in x], np.float64) + 0.0
-            ok = v is not None and len(v) > 0 and bool(np.isfinite(v).all()) and 0 < float(v @ v) < np.inf
-            vec.append(v.tobytes() if ok else None)
-            digest.append(hashlib.blake2b(vec[-1], digest_size=16).digest() if ok else None)
-            dim.append(len(v) if ok else 0)
+            v = None if x is None or pd.isna(label) else _vector(x)
+            vec.append(None if v is None else v.tobytes())
+            digest.append(None if v is None else hashlib.blake2b(vec[-1], digest_size=16).digest())
+            dim.append(0 if v is None else len(v))
         yield pd.DataFrame({"vec_id": pdf["vec_id"], "label": pdf["label"], "dim": dim, "digest": digest, "vec": vec})
 
 
@@ -167,21 +179,44 @@ def _leaves(nodes: DataFrame, first: int, tables: int) -> DataFrame:
     return rows.join(large, "leaf", "left").select(F.xxhash64("leaf", salt).alias("leaf"), "id", "vec")
 
 
-def _top(edges: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` of each list. Equal pairs are one; Spark limits the groups before it shuffles them."""
+def _best(rows: DataFrame, key: str, other: str, k: int, times: int, wide: DataFrame | None) -> DataFrame:
+    """The best ``times`` * ``k`` rows of each key, more of those in ``wide``; Spark limits the groups before it shuffles them."""
+    most = times * (k if wide is None else WIDEST)
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("sim"), other))
+    rows = rows.withColumn("_rank", rank).where(F.col("_rank") <= most)
+    if wide is not None:
+        rows = rows.join(wide.withColumnRenamed("id", key), key, "left").where(F.col("_rank") <= times * F.coalesce("places", F.lit(k))).drop("places")
+    return rows.drop("_rank")
+
+
+def _top(edges: DataFrame, k: int, wide: DataFrame | None) -> DataFrame:
+    """The best of each list, as many as it has places. Equal pairs are one."""
     best = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
-    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    return best.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+    return _best(best, "u", "v", k, 1, wide)
+
 
+def _places(lists: DataFrame, k: int, wide: DataFrame | None) -> DataFrame:
+    """``id, low, n, places`` of every list: its last similarity, its entries and its places."""
+    ends = lists.groupBy(F.col("u").alias("id")).agg(F.min("sim").alias("low"), F.count("*").alias("n"))
+    if wide is None:
+        return ends.withColumn("places", F.lit(k))
+    return ends.join(wide, "id", "left").fillna(k, ["places"])
 
-def _round(nodes: DataFrame, lists: DataFrame, k: int, threshold: float) -> DataFrame:
+
+def _enlarged(lists: DataFrame, k: int, wide: DataFrame | None, threshold: float) -> DataFrame:
+    """``id, places`` of all lists that have more than ``k`` places, the saturated ones with twice as many as before."""
+    ends = _places(lists, k, wide)
+    full = (F.col("n") >= F.col("places")) & (F.col("low") >= threshold)
+    return ends.select("id", F.when(full, F.least(F.lit(WIDEST), F.col("places") * 2)).otherwise(F.col("places")).cast("int").alias("places"),
+                       (full & (F.col("places") < WIDEST)).alias("grown")).where(F.col("places") > k)
+
+
+def _round(nodes: DataFrame, lists: DataFrame, k: int, threshold: float, wide: DataFrame | None) -> DataFrame:
     """Edges that the neighbours of all nodes with something new in their lists find among themselves."""
-    low = lists.groupBy("u").agg(F.min("sim").alias("low"), F.count("*").alias("n")).select(
-        F.col("u").alias("m"), F.when(F.col("n") >= k, F.col("low")).otherwise(-1.5).alias("low"))
+    low = _places(lists, k, wide).select(F.col("id").alias("m"), F.when(F.col("n") >= F.col("places"), F.col("low")).otherwise(-1.5).alias("low"))
     both = lists.selectExpr("u AS p", "v AS m", "sim", "new").union(lists.selectExpr("v", "u", "sim", "new"))
     both = both.groupBy("p", "m").agg(F.max("sim").alias("sim"), F.max("new").alias("new"))
-    rank = F.row_number().over(Window.partitionBy("p").orderBy(F.desc("sim"), "m"))
-    members = both.withColumn("_rank", rank).where(F.col("_rank") <= 2 * k).select("p", "m", "new")
+    members = _best(both, "p", "m", k, 2, wide).select("p", "m", "new")
     members = members.join(members.where("new").select("p").distinct(), "p", "left_semi")
     rows = members.join(nodes.select(F.col("id").alias("m"), "vec"), "m").join(low, "m", "left").fillna(-1.5, ["low"])
     return rows.repartition("p").sortWithinPartitions("p").mapInPandas(_local_join(threshold), _EDGE)
@@ -206,13 +241,15 @@ def _count_blocks(members: DataFrame, threshold: float) -> DataFrame:
     return mine.union(other).groupBy("component", "i", "j").applyInPandas(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def _resolve(nodes: DataFrame, lists: DataFrame, bridges: DataFrame, k: int, threshold: float) -> DataFrame:
+def _resolve(nodes: DataFrame, lists: DataFrame, bridges: DataFrame, k: int, threshold: float, wide: DataFrame | None) -> DataFrame:
     """``id, component, links`` of all linked nodes."""
     near = lists.where(F.col("sim") >= threshold)
     pairs = stage(near.select("u", "v").union(near.select("v", "u")).union(bridges).union(bridges.select("v", "u")).distinct(), "nn-links")
     found = stage(components(pairs.toDF("a", "b")), "nn-components")
-    # A list of links alone is saturated, and so is a node with more links than a list has places.
-    full = pairs.groupBy(F.col("u").alias("node")).count().where(F.col("count") >= k).select("node")
+    # A list of links alone is saturated, and so is a node with more links than its list has places.
+    many = pairs.groupBy(F.col("u").alias("id")).count().where(F.col("count") >= k)
+    many = many.withColumn("places", F.lit(k)) if wide is None else many.join(wide, "id", "left").fillna(k, ["places"])
+    full = many.where(F.col("count") >= F.col("places")).select(F.col("id").alias("node"))
     large = stage(found.join(full, "node", "left_semi").select("component").distinct(), "nn-large")
     inside = found.join(large, "component", "left_semi").select(F.col("node").alias("id"), "component")
     blocks = _count_blocks(inside.join(nodes.select("id", "w", "vec"), "id"), threshold)
@@ -246,31 +283,51 @@ def _audit(nodes: DataFrame, found: DataFrame, threshold: float) -> float:
 
 def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vec_id, embedding, label``."""
+    return search_links(rows, threshold, k)[0]
+
+
+def search_links(rows: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS) -> tuple[DataFrame, float]:
+    """The rows of ``link_vectors``, and the measured share of the links of a sample that were found."""
     read = stage(rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label")).mapInPandas(
         _read, "vec_id long, label string, dim int, digest binary, vec binary").withColumn("part", F.xxhash64("label", "dim")), "nn-rows")
     valid = read.where("vec IS NOT NULL")
     one = valid.groupBy("part", "dim", "digest").agg(F.min(F.coalesce("vec_id", F.lit(_LAST))).alias("id"), F.count("*").alias("w"), F.first("vec").alias("vec"))
     per = valid.groupBy("part").agg(F.count("*").alias("n")).select("part", F.greatest(F.lit(0), F.least(F.lit(40), F.ceil(F.log2(F.col("n") / LEAF)))).cast("int").alias("bits"))
     nodes = stage(one.join(per, "part"), "nn-nodes")
-    lists = bridges = None
+    lists = bridges = wide = None
+    recall = 1.0
     for attempt in range(ATTEMPTS):
         edges = stage(_leaves(nodes, attempt * TABLES, TABLES).repartition("leaf").sortWithinPartitions("leaf").mapInPandas(_in_leaf(k, threshold), _EDGE), "nn-edges")
-        for _ in range(ROUNDS):
+        # A search of so many rounds for the lists as they are, and for each enlargement.
+        left = ROUNDS
+        while True:
             fresh = edges.where("NOT bridge").select("u", "v", "sim", F.lit(True).alias("new"))
             seen = edges.where("bridge").select("u", "v")
             bridges = seen if bridges is None else bridges.union(seen)
             old = fresh.limit(0) if lists is None else lists.withColumn("new", F.lit(False))
-            lists = stage(_top(old.union(fresh), k), "nn-lists")
-            if lists.where(F.col("new") & (F.col("sim") >= threshold)).isEmpty():
-                break
-            edges = stage(_round(nodes, lists, k, threshold), "nn-edges")
-        found = _resolve(nodes, lists, bridges, k, threshold)
-        if _audit(nodes, found, threshold) >= RECALL:
+            lists = stage(_top(old.union(fresh), k, wide), "nn-lists")
+            left -= 1
+            if not left or lists.where(F.col("new") & (F.col("sim") >= threshold)).isEmpty():
+                more = stage(_enlarged(lists, k, wide, threshold), "nn-places")
+                if more.where("grown").isEmpty():
+                    break
+                # What stands in an enlarged list counts as new once more, so its members meet with room for what they find.
+                wide, left = more.select("id", "places"), ROUNDS
+                grown = more.where("grown").select(F.col("id").alias("u"), F.lit(True).alias("_grown"))
+                lists = lists.join(grown, "u", "left").withColumn("new", F.coalesce("_grown", F.lit(False))).drop("_grown")
+            edges = stage(_round(nodes, lists, k, threshold, wide), "nn-edges")
+        found = _resolve(nodes, lists, bridges, k, threshold, wide)
+        recall = _audit(nodes, found, threshold)
+        if recall >= RECALL:
             break
+    if recall < RECALL_LEAST:
+        raise RuntimeError(f"of the links of a sample {recall:.3f} were found, {RECALL_LEAST} are needed: use more leaves or neighbours")
+    if recall < RECALL:
+        warnings.warn(f"of the links of a sample {recall:.3f} were found", stacklevel=2)
     of = one.select("part", "dim", "digest", "id", "w").join(found, "id", "left")
     joined = read.drop("vec", "label").join(of, ["part", "dim", "digest"], "left")
     component = F.coalesce("component", "id", "vec_id")
     component = F.when(component != _LAST, component)
     return joined.select(
         "vec_id", (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("w") - 1, F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept")), recall

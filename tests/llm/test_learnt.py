@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from check_oracle import compare
 from conftest_paths import SF
 from pyspark.sql import functions as F
@@ -123,5 +124,34 @@ def test_clusters_copies_and_odd_vectors(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_saturated_lists_are_enlarged(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((6, 16))
+    sizes = [2, 9, 30, 60, 70, 12]
+    rows = [(len(rows), x, 0) for rows in [[]] for c, n in enumerate(sizes) for x in [[float(v) for v in base[c] + 0.1 * rng.standard_normal(16)] for _ in range(n)]]
+    rows = [(i, x, label) for i, (_, x, label) in enumerate(rows)]
+    compared = []
+    blocks = nn_descent._count_blocks
+    monkeypatch.setattr(nn_descent, "_count_blocks", lambda members, threshold: compared.append(members.count()) or blocks(members, threshold))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found, recall = nn_descent.search_links(frame)
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found.collect()) == brute(rows)
+    assert compared == [0] and recall == 1.0, "no list is saturated at 80 places, so nothing is left to blocks"
+
+
+def test_vectors_whose_squares_are_no_doubles(spark):
+    small = [1.0, 2.0, 3.0, 0.5]
+    rows = [(0, small, 1), (1, [1e300 * v for v in small], 1), (2, [1e-300 * v for v in small], 1), (3, [5e-324, 0.0, 0.0, 0.0], 1), (4, [1.0, 0.0, 0.0, 0.0], 1)]
+    got = nn_descent.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(0, 2, 0), (1, 2, 0), (2, 2, 0), (3, 1, 3), (4, 1, 3)]
+
+
+def test_too_low_a_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "_audit", lambda *a: 0.5)
+    monkeypatch.setattr(nn_descent, "ATTEMPTS", 1)
+    with pytest.raises(RuntimeError, match="0.500"):
+        nn_descent.link_vectors(spark.createDataFrame([(0, [1.0], 1), (1, [1.0], 1)], "vec_id long, embedding array<double>, label int"))
+
+
 def test_no_vectors(spark):
     assert nn_descent.link_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
