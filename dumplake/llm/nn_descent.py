@@ -5,7 +5,7 @@ within a leaf every node finds its first neighbours. Then, round by round, the n
 as theirs) are compared with each other if one of them is new, and every list keeps its best ``NEIGHBOURS``, until a round
 finds no new link. Every comparison also hands on a spanning forest of the links it saw, so lists
 that are full cannot hide a connection. A full list of links alone is saturated: it is enlarged to twice its places and the descent goes on
-around it, until no list is saturated or has ``WIDEST`` places. Only components with a list that is saturated even then are compared within
+around it, its further places taking links alone, until no list is saturated or has ``WIDEST`` places. Only components with a list that is saturated even then are compared within
 themselves, in blocks, and counted there. A bounded sample of nodes is compared with all rows; below ``RECALL`` the search goes on with more leaves,
 and if it ends below that it warns, or below ``RECALL_LEAST`` fails, with the measured recall.
 
@@ -31,7 +31,7 @@ from dumplake.session import stage
 
 THRESHOLD = 0.93
 NEIGHBOURS = 10
-WIDEST = 80
+WIDEST = 40
 TABLES = 8
 LEAF, LEAF_MOST, BLOCK = 64, 512, 1024
 ROUNDS = 12
@@ -213,7 +213,8 @@ def _enlarged(lists: DataFrame, k: int, wide: DataFrame | None, threshold: float
 
 def _round(nodes: DataFrame, lists: DataFrame, k: int, threshold: float, wide: DataFrame | None) -> DataFrame:
     """Edges that the neighbours of all nodes with something new in their lists find among themselves."""
-    low = _places(lists, k, wide).select(F.col("id").alias("m"), F.when(F.col("n") >= F.col("places"), F.col("low")).otherwise(-1.5).alias("low"))
+    low = _places(lists, k, wide).select(F.col("id").alias("m"), F.when(F.col("n") >= F.col("places"), F.col("low"))
+                                           .when(F.col("places") > k, F.lit(float(np.nextafter(threshold, -2)))).otherwise(-1.5).alias("low"))
     both = lists.selectExpr("u AS p", "v AS m", "sim", "new").union(lists.selectExpr("v", "u", "sim", "new"))
     both = both.groupBy("p", "m").agg(F.max("sim").alias("sim"), F.max("new").alias("new"))
     members = _best(both, "p", "m", k, 2, wide).select("p", "m", "new")
