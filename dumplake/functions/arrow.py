@@ -27,3 +27,13 @@ def as_text(values: list[bytes | None]) -> pa.Array:
 def as_bytes(column: pa.Array, i: int) -> bytes:
     """The bytes of one value of a string column."""
     return column.slice(i, 1).cast(pa.binary())[0].as_py()
+
+
+def stretches(batch: pa.RecordBatch, column: int, most: int):
+    """The batch in slices whose texts in ``column`` have at most ``most`` bytes; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(batch):
+        hi = max(lo + 1, int(np.searchsorted(ends, most + (ends[lo - 1] if lo else 0), side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi

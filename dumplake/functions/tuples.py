@@ -3,6 +3,7 @@
 Which bytes lie in a quoted string follows from the quotes alone: each is a function on three states (outside, in a single-, in a
 double-quoted string), and functions are composed along a text. Nesting follows from the parentheses outside strings. So a
 text that starts in the middle of a list needs only its state and depth there, which a summary of the texts before it gives.
+Marks take many times the memory of their text, so callers go along a column in stretches and one long text is cut in stretches too.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Classes of bytes.
 _SINGLE, _DOUBLE, _OPEN, _CLOSE, _COMMA, _SLASH, _OTHER, _BLANK = 1, 2, 3, 4, 5, 6, 7, 0
@@ -19,7 +21,10 @@ for _byte, _kind in zip(b"'\"(),\\", (_SINGLE, _DOUBLE, _OPEN, _CLOSE, _COMMA, _
     _CLASS[_byte] = _kind
 _CLASS[list(b" \t\n\r\x0b\x0c\0")] = _BLANK
 
-_BARRED = np.isin(np.arange(8), (_OTHER, _SINGLE, _DOUBLE))
+_CLASS_OF = _CLASS.tobytes()
+
+# Bytes of text that are looked at in one go.
+STRETCH_BYTES = 2 << 20
 
 # NEXT[kind][state]: state after an unescaped quote.
 _NEXT = np.array([[0, 1, 2], [1, 0, 2], [2, 1, 0]], np.int8)
@@ -58,7 +63,6 @@ class _Marks:
     row: np.ndarray      # row of each of them
     level: np.ndarray    # depth after each of them
     bad: np.ndarray      # count, up to each byte, of bytes outside strings that no list has between tuples
-    commas: np.ndarray   # the same for commas outside strings
     exit_state: np.ndarray
 
 
@@ -73,7 +77,7 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _marks(column: pa.Array, entry_state: np.ndarray, entry_depth: np.ndarray) -> _Marks:
     data, bounds = _bytes_of(column)
     starts, ends = bounds[:-1], bounds[1:]
-    kinds = _CLASS[data]
+    kinds = np.frombuffer(bytearray(data).translate(_CLASS_OF), np.uint8)
     slashes = np.flatnonzero(kinds == _SLASH)
     if len(slashes):
         # Every second backslash of a run, from its first, escapes the byte after it.
@@ -124,10 +128,9 @@ def _marks(column: pa.Array, entry_state: np.ndarray, entry_depth: np.ndarray) -
     base[some] = total[np.minimum(head[some], len(total)) - 1] if len(total) else 0
     level = total - base[row] + entry_depth[row]
     # In a string, quotes included, every byte is other; between tuples only blanks and one comma may stand.
-    bad = np.cumsum(_BARRED[kinds] | inside, dtype=np.int32)
-    commas = np.zeros(len(data), np.int8)
-    commas[at[kind == _COMMA]] = 1
-    return _Marks(data, starts, ends, at, kind, row, level, bad, np.cumsum(commas, dtype=np.int32), exit_state)
+    inside |= (kinds == _OTHER) | (kinds == _SINGLE) | (kinds == _DOUBLE)
+    bad = np.cumsum(inside, dtype=np.int32)
+    return _Marks(data, starts, ends, at, kind, row, level, bad, exit_state)
 
 
 def _between(counts: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -148,7 +151,8 @@ def _tuples(m: _Marks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     new_row = np.ones(len(mark), bool)
     new_row[1:] = row[1:] != row[:-1]
     previous = np.where(new_row, m.starts[row], m.at[mark[np.maximum(np.arange(len(mark)) - 1, 0)]] + 1) if len(mark) else mark
-    gap_bad = (_between(m.bad, previous, m.at[mark]) > 0) | (_between(m.commas, previous, m.at[mark]) > 1)
+    commas = np.concatenate([[0], np.cumsum(m.kind == _COMMA)])
+    gap_bad = (_between(m.bad, previous, m.at[mark]) > 0) | (commas[mark] - commas[np.searchsorted(m.at, previous)] > 1)
     follows = np.zeros(len(mark), bool)
     follows[1:] = is_open[:-1] & ~new_row[1:]
     wrong = np.where(is_open, gap_bad | follows, ~follows) | is_below
@@ -161,18 +165,9 @@ def _tuples(m: _Marks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return mark[good - 1], mark[good], row[good], stops
 
 
-_ITEMS = pa.list_(pa.list_(pa.string()))
-
-
-def cut_lists(column: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """For texts that start with a VALUES list: the literals of each tuple, and what follows the list.
-
-    A list ends where something other than blanks and one comma stands between tuples, or where a tuple stays open.
-    """
-    zero = np.zeros(len(column), np.int64)
-    m = _marks(column, zero, zero)
+def _literals(m: _Marks) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The literals of each tuple, the row of each tuple, and where the list of each row ends."""
     opened, closed, row, stops = _tuples(m)
-    n_rows = len(m.starts)
     # Separators of literals: the commas at depth one inside the tuples.
     tuple_of = np.searchsorted(opened, np.arange(len(m.at)), side="right") - 1
     inner = (m.kind == _COMMA) & (m.level == 1) & (tuple_of >= 0)
@@ -185,13 +180,44 @@ def cut_lists(column: pa.Array) -> tuple[pa.Array, pa.Array]:
     change[last] -= 1
     kept = np.cumsum(change[:-1], dtype=np.int8).astype(bool)
     kept[m.at[cuts]] = False
-    place = np.concatenate([[0], np.cumsum(kept, dtype=np.int64)])
     text = m.data[kept]
-    begins = np.sort(np.concatenate([first, m.at[cuts] + 1]), kind="stable")
-    offsets = np.append(place[begins], len(text))
+    begins, ends = np.sort(np.concatenate([first, m.at[cuts] + 1])), np.sort(np.concatenate([m.at[cuts], last]))
+    offsets = np.concatenate([[0], np.cumsum(ends - begins)])
     per_tuple = np.bincount(tuple_of[cuts], minlength=len(opened)) + 1 if len(opened) else np.empty(0, np.int64)
     items = pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(text)).cast(pa.string())
-    tuples = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_tuple)]).astype(np.int32)), items)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_tuple)]).astype(np.int32)), items), row, stops
+
+
+def _one_text(data: np.ndarray) -> pa.Array:
+    return pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, len(data)], np.int64)), pa.py_buffer(data))
+
+
+def _cut_long(column: pa.Array, stretch: int) -> tuple[pa.Array, pa.Array]:
+    """``cut_lists`` of one long text. After a whole tuple the rest is a list like any other, so each look starts where the last tuple ended."""
+    data, at, step, found = _bytes_of(column)[0], 0, stretch, []
+    while True:
+        one = np.zeros(1, np.int64)
+        tuples, _, stops = _literals(_marks(_one_text(data[at : at + step]), one, one))
+        found.append(tuples)
+        whole, at = at + step >= len(data), at + int(stops[0])
+        if whole:
+            break
+        step = stretch if stops[0] else 2 * step  # no tuple ends here: look further
+    tuples = pa.concat_arrays(found)
+    return pa.ListArray.from_arrays(pa.array([0, len(tuples)], pa.int32()), tuples), _one_text(data[at:]).cast(pa.string())
+
+
+def cut_lists(column: pa.Array, stretch: int = STRETCH_BYTES) -> tuple[pa.Array, pa.Array]:
+    """For texts that start with a VALUES list: the literals of each tuple, and what follows the list.
+
+    A list ends where something other than blanks and one comma stands between tuples, or where a tuple stays open.
+    """
+    if len(column) == 1 and (pc.binary_length(column)[0].as_py() or 0) > stretch:
+        return _cut_long(column, stretch)
+    zero = np.zeros(len(column), np.int64)
+    m = _marks(column, zero, zero)
+    tuples, row, stops = _literals(m)
+    n_rows = len(m.starts)
     per_row = np.bincount(row, minlength=n_rows)
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)), tuples)
     lengths = m.ends - stops

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.arrow import as_text
+from ..functions.arrow import as_bytes, as_text, stretches
 from ..functions.literals import DECLARATION, literal_text, number_text
 from ..functions.text import trim
-from ..functions.tuples import advance, cut_lists, cut_part, summarise
+from ..functions.tuples import STRETCH_BYTES, advance, cut_lists, cut_part, summarise
 from ..session import broadcast_within, stage
 
 _CREATE = r"(?is)^CREATE\s+(?:TEMPORARY\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?((?:`(?:[^`]|``)+`|\"[^\"]+\"|[^\s`\"(.]+)(?:\.(?:`(?:[^`]|``)+`|[^\s`\"(.]+))?)\s*\((.*)\)[^)]*$"
@@ -139,9 +139,9 @@ def _heads(rows: DataFrame, kept: list[str]) -> DataFrame:
 
 def _cut(batches):
     for batch in batches:
-        columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-        tuples, after = cut_lists(batch.column(batch.num_columns - 1))
-        yield pa.RecordBatch.from_arrays([*columns, tuples, after], names=[*batch.schema.names[:-1], "tuples", "after"])
+        rest = batch.num_columns - 1
+        for part in stretches(batch, rest, STRETCH_BYTES):
+            yield pa.RecordBatch.from_arrays([*part.columns[:rest], *cut_lists(part.column(rest))], names=[*batch.schema.names[:-1], "tuples", "after"])
 
 
 def _cut_rows(rows: DataFrame) -> DataFrame:

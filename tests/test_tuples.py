@@ -1,13 +1,16 @@
 import random
+import tracemalloc
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dumplake.functions.tuples import advance, cut_lists, cut_part, summarise
-from dumplake.operators.load import insert_tuples, load_rows, rejects
+from dumplake.functions.arrow import stretches
+from dumplake.functions.tuples import STRETCH_BYTES, advance, cut_lists, cut_part, summarise
+from dumplake.operators.load import insert_tuples, load_rows, rejects, value_lists
 from dumplake.operators.statements import split_statements
-from dumplake.plans.jobs import load_dump
+from dumplake.plans.jobs import load_dump, load_table
 from dumplake.sources.lines import read_lines
 
 BLANKS = " \t\n\r\x0b\x0c\0"
@@ -60,6 +63,42 @@ def test_lists_like_character_by_character():
     assert cut_lists(pa.array([], pa.string()))[0].to_pylist() == []
 
 
+def test_long_lists_are_cut_in_stretches():
+    rng = random.Random(2)
+    for stretch in (1, 2, 5, 9):
+        for _ in range(150):
+            text = "(" + "".join(rng.choices(ALPHABET, k=rng.randint(10, 60)))
+            lists, after = cut_lists(pa.array([text]), stretch)
+            assert [(lists[0].as_py(), after[0].as_py())] == [one_by_one(text)], (stretch, text)
+
+
+def _peak_of_loading(batch):
+    from dumplake.operators.load import _cut
+
+    tracemalloc.start()
+    try:
+        n = sum(len(t) for out in _cut([batch]) for t in out.column("tuples"))
+        return n, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("rows", [1, 24])
+def test_memory_of_cutting_does_not_grow_with_the_batch(rows):
+    text = ",".join(f"({i},'some text')" for i in range(24 * 40_000 // rows))
+    n, peak = _peak_of_loading(pa.RecordBatch.from_arrays([pa.array(range(rows)), pa.array([text] * rows)], names=["pos", "rest"]))
+    assert n == 24 * 40_000 and len(text) * rows > 3 * STRETCH_BYTES
+    assert peak < 3 * len(text) * rows + 40 * STRETCH_BYTES
+
+
+def test_stretches_keep_every_row_in_order():
+    texts = ["ab", None, "", "x" * 9, "abc", "abc", "a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(["no", *texts, "no"])], names=["k", "t"]).slice(1, 7)
+    parts = list(stretches(batch, 1, 6))
+    assert [p.column(0).to_pylist() for p in parts] == [[1, 2, 3], [4], [5, 6], [7]]
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts
+
+
 def test_parts_compose_to_the_whole():
     rng = random.Random(1)
     for _ in range(400):
@@ -143,3 +182,18 @@ def test_load_rows_of_a_very_long_value(spark, dump):
     text = "INSERT INTO t VALUES (1, '" + big.replace("\\", "\\\\").replace("'", "\\'") + "');\n"
     split = split_statements(read_lines(spark, dump(a__sql=text)))
     assert load_rows(split.statements, "t", T.StructType().add("a", "integer").add("b", "string")).first().b == big
+
+
+def test_tuples_of_a_list_in_parts_do_not_gather_at_its_head(spark, dump, small_splits):
+    text = "INSERT INTO t VALUES\n" + ",\n".join(ROWS) + ";\nINSERT INTO u SELECT\n" + "1,\n" * 400 + "2;\nINSERT INTO v VALUES\n(f(\n" + "1,\n" * 400
+    lists = value_lists(split_statements(read_lines(spark, dump(a__sql=text)), row_bytes=300).statements)
+    assert "LeftOuter" not in lists._jdf.queryExecution().optimizedPlan().toString()
+    got = lists.groupBy("table").agg(F.sum(F.size("tuples")).alias("n"), F.count_if("head").alias("heads"), F.count("after").alias("afters"))
+    assert {(r["table"], r.n, r.heads) for r in got.collect()} == {("t", 100, 1), (None, 0, 1), ("v", 0, 1)}
+
+
+def test_keys_are_resolved_from_rows_that_are_read_once(spark, dump):
+    text = "CREATE TABLE t (a INT PRIMARY KEY, b TEXT);\n" + "".join(f"INSERT IGNORE INTO t VALUES ({k}, 'x{i}');\n" for i, k in enumerate([1, 2, 1, "NULL", "NULL"]))
+    rows = load_table(split_statements(read_lines(spark, dump(a__sql=text))), "t")
+    assert "MapInArrow" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, map(tuple, rows.collect()))) == ["(1, 'x0')", "(2, 'x1')", "(None, 'x3')", "(None, 'x4')"]
