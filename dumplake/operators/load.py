@@ -155,7 +155,7 @@ _KEYS = ["file", "stmt", "pos"]
 
 def _summaries(batches):
     for batch in batches:
-        found = [summarise(t) for t in batch.column(3).cast(pa.binary()).to_pylist()]
+        found = [summarise(as_bytes(batch.column(3), i)) for i in range(len(batch))]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([json.dumps(f) for f in found], pa.string())], names=[*_KEYS, "summary"])
 
 
@@ -178,12 +178,14 @@ _ENTRIES = pa.schema([("file", pa.string()), ("stmt", pa.int64()), ("pos", pa.in
 
 def _cut_parts(batches):
     for batch in batches:
-        out = {k: [] for k in ("lead", "list", "open", "after")}
-        for text, state, depth, over in zip(*[c.to_pylist() for c in (batch.column(3).cast(pa.binary()), *batch.columns[4:])]):
-            cut = (b"", b"", b"", text) if over else cut_part(text, state, depth)
-            for column, piece in zip(out.values(), cut):
-                column.append(piece or None)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[as_text(c) for c in out.values()]], names=[*_KEYS, *out])
+        for few in stretches(batch, 3, STRETCH_BYTES):
+            out = {k: [] for k in ("lead", "list", "open", "after")}
+            for i, (state, depth, over) in enumerate(zip(*[c.to_pylist() for c in few.columns[4:]])):
+                text = as_bytes(few.column(3), i)
+                cut = (b"", b"", b"", text) if over else cut_part(text, state, depth)
+                for column, piece in zip(out.values(), cut):
+                    column.append(piece or None)
+            yield pa.RecordBatch.from_arrays([*few.columns[:3], *[as_text(c) for c in out.values()]], names=[*_KEYS, *out])
 
 
 def _lists_in_parts(parts: DataFrame, kept: list[str]) -> DataFrame:
@@ -221,7 +223,10 @@ def _lists_in_parts(parts: DataFrame, kept: list[str]) -> DataFrame:
     after = cut.select(*_KEYS, F.lit(2).alias("turn"), F.col("after").alias("t")).union(done.select(*_KEYS, "turn", "unclosed")).filter("t <> ''")
     after = after.groupBy("file", "stmt").agg(F.array_join(F.transform(afters, lambda p: p["t"]), "\n").alias("after"))
     rows = done.join(firsts, [*_KEYS, "turn"]).select("file", "stmt", "tuples", "first_item", "head")
-    full = heads.join(after, ["file", "stmt"], "left").join(rows, ["file", "stmt"], "left")
+    # The tuples of one statement may be most of the table: the short heads go to them, not they to their head.
+    heads = stage(heads.join(after, ["file", "stmt"], "left"), "list-ends")
+    empty = heads.join(done.select("file", "stmt").distinct(), ["file", "stmt"], "left_anti")
+    full = rows.join(broadcast_within(heads)[0], ["file", "stmt"]).unionByName(empty, allowMissingColumns=True)
     shown = {"pos": F.col("stmt"), "part": F.lit(0)}
     return full.select(
         *[shown.get(c, F.col(c)).alias(c) for c in kept], "table", "verb", "options", "names",
