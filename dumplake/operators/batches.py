@@ -24,7 +24,7 @@ COMMIT_EVERY = {"conservative": 1, "aggressive": 3}
 SAMPLE_ROWS = 100
 
 # Rows per task group of the exact byte-cap walk (keys and lengths only).
-WALK_ROWS = 500_000
+WALK_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -120,7 +120,7 @@ def assign_runs(inserts: DataFrame, buckets: DataFrame | None = None, per_file:
     buckets = bucket_runs(inserts) if buckets is None else buckets
     carry = _carry(buckets).select("file", "bucket", "base", "continues", "carried")
     if per_file is not None:
-        carry = carry.join(per_file.drop("avg_row_size"), "file", "left")
+        carry = carry.join(per_file.drop("avg_row_size", "early"), "file", "left")
     if per_file is None:
         carry, _ = broadcast_within(carry)
     single = F.col("kind") == "insert_single"
@@ -154,6 +154,12 @@ def _walk_to(size: np.ndarray, vbytes: np.ndarray, steady_size: int, max_bytes:
     return np.minimum(by_bytes, by_count)
 
 
+def _sized(rows: DataFrame, per_file: DataFrame) -> DataFrame:
+    """Add the batch ``size`` in force at each row; the few that differ from the final one are joined by place, not carried by every row."""
+    early, _ = broadcast_within(per_file.filter("early is not null").select("file", F.explode("early").alias("pos", "_size")))
+    return rows.join(early, ["file", "pos"], "left").withColumn("size", F.coalesce("_size", "eff")).drop("_size")
+
+
 _EXITS = "file string, run_start long, chunk long, exits array<int>"
 _OPENS = "file string, run_start long, chunk long, entry int"
 _STARTS = "file string, row_no long, batch_start long"
@@ -177,11 +183,8 @@ def _byte_capped(rows: DataFrame, options: BatchOptions) -> DataFrame:
     lengths are moved.
     """
     most = options.batch_size
-    offset = F.col("row_no") - F.col("run_start")
     keyed = rows.select(
-        "file", "run_start", "row_no", "vbytes", "eff",
-        F.coalesce(F.try_element_at("early", "pos"), F.col("eff")).alias("size"),
-        F.floor(offset / WALK_ROWS).alias("home"), (offset % WALK_ROWS).alias("_in"),
+        "file", "run_start", "row_no", "vbytes", "eff", "size", "home", ((F.col("row_no") - F.col("run_start")) % WALK_ROWS).alias("_in"),
     )
     reach = F.when((F.col("home") > 0) & (F.col("_in") <= most), F.array(F.col("home"), F.col("home") - 1))
     spread = keyed.select(
@@ -245,18 +248,22 @@ def assign_batches(inserts: DataFrame, options: BatchOptions = BatchOptions(), b
     by_count = F.expr("run_start + (row_no - run_start) div eff * eff")
     df = df.withColumn("batch_start", F.when(F.col("run_start").isNull(), F.col("row_no")).when(F.col("by_count"), by_count))
     if per_file.filter("not by_count").isEmpty():
-        return df.drop("eff", "by_count", "early")
-    tight = df.filter("run_start is not null and not by_count").drop("text", "values", "prefix")
+        return df.drop("eff", "by_count")
+    tight = _sized(df.filter("run_start is not null and not by_count").drop("text", "values", "prefix"), per_file)
     runs = tight.groupBy("file", "run_start").agg(
         F.count("*").alias("_n"), F.sum(F.col("vbytes") + 2).alias("_bytes"),
-        F.min(F.coalesce(F.try_element_at("early", "pos"), F.col("eff"))).alias("_least"),
+        F.min("size").alias("_least"),
     )
     one_batch = (F.col("_n") <= F.col("_least")) & (F.col("_bytes") <= options.max_bytes)
-    long = tight.join(runs.filter(~one_batch), ["file", "run_start"])
+    # A run may be most of the table, so its rows meet what is known of it chunk by chunk.
+    chunks = runs.filter(~one_batch).select(
+        "file", "run_start", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / WALK_ROWS))).alias("home"))
+    home = F.floor((F.col("row_no") - F.col("run_start")) / WALK_ROWS)
+    long = tight.withColumn("home", home).join(chunks, ["file", "run_start", "home"])
     walked = _byte_capped(long, options)
     merged = df.join(walked.withColumnRenamed("batch_start", "_walked"), ["file", "row_no"], "left")
     return merged.withColumn("batch_start", F.coalesce("batch_start", "_walked", "run_start")).drop(
-        "_walked", "eff", "by_count", "early"
+        "_walked", "eff", "by_count"
     )
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dumplake.operators import batches
-from dumplake.operators.batches import BatchOptions, assign_batches, batch_stats, bucket_runs, commit_groups, file_sizes, gather
+from dumplake.operators.batches import BatchOptions, assign_batches, assign_runs, batch_stats, bucket_runs, commit_groups, file_sizes, gather
 from dumplake.operators.inserts import analyse_inserts
 from dumplake.sources.render import statement_lines
 from dumplake.operators.statements import split_statements
@@ -112,3 +112,21 @@ def test_runs_cross_blocks_of_a_scan(spark):
     assert buckets.count() > 20
     got = gather(assign_batches(inserts, BatchOptions(64), buckets, file_sizes(inserts, BatchOptions(64), buckets))).orderBy("pos").collect()
     assert [r.n_rows for r in got] == [64] * 15 + [40]
+
+
+def test_rows_do_not_carry_the_sizes_of_their_file(spark):
+    texts = [f"INSERT INTO t VALUES ('{'x' * (i % 50)}')" for i in range(300)]
+    inserts = analyse_inserts(statements(spark, texts))
+    buckets = bucket_runs(inserts)
+    per_file = file_sizes(inserts, BatchOptions(5, 200), buckets)
+    assert not per_file.first().by_count
+    assert "early" not in assign_runs(inserts, buckets, per_file).columns
+
+
+def test_one_run_over_many_chunks_is_not_one_task(spark, monkeypatch):
+    monkeypatch.setattr(batches, "WALK_ROWS", 64)
+    texts = [f"INSERT INTO t VALUES ('{'x' * (i % 50)}')" for i in range(700)]
+    done = assign_batches(analyse_inserts(statements(spark, texts)), BatchOptions(5, 200))
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert [line for line in plan.split("\n") if "Join Inner" in line and "run_start" in line and "home" not in line and "chunk" not in line] == []
+    assert [r.text for r in gather(done).orderBy("pos").collect()] == greedy(texts, 5, 200)
