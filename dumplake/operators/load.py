@@ -63,6 +63,8 @@ def bare_name(c: Column) -> Column:
 
 def table_columns(statements: DataFrame) -> DataFrame:
     """Columns declared by CREATE TABLE statements: file, table, ordinal, name, type, key."""
+    # The staged keyword lets a load leave all other texts unread.
+    statements = statements.filter("keyword = 'CREATE'") if "keyword" in statements.columns else statements
     ddl = statements.filter(F.col("text").rlike(_CREATE))
     body = F.regexp_extract("text", _CREATE, 2)
     parts = F.transform(F.regexp_extract_all(body, F.lit(DECLARATION), F.lit(1)), lambda p: trim(p))

@@ -84,15 +84,19 @@ def load_table(split: Split, table: str, dialect: str = "import") -> DataFrame:
     statements = accepted(split.statements, dialect)
     schema, key = table_schema(statements, table)
     tuples = insert_tuples(statements).filter(F.col("table") == table.lower())
-    return _stored(tuples, schema, key if key and _may_meet(statements) else [])
+    return _stored(tuples, schema, key if key and _may_meet(statements) else [], once=True)
 
 
-def _stored(tuples: DataFrame, schema, key: list[str]) -> DataFrame:
-    """Typed rows of one table; keys only matter if a statement may meet an earlier row."""
+def _stored(tuples: DataFrame, schema, key: list[str], once: bool = False) -> DataFrame:
+    """Typed rows of one table; keys only matter if a statement may meet an earlier row.
+
+    Keys are resolved from several reads of the rows; ``once`` stages them first, for tuples that are not staged themselves.
+    """
     tuples = tuples.filter(storable(schema))
     if not key:
         return typed_rows(tuples, schema)
     rows = typed_rows(tuples, schema, keep=("file", "pos", "item", "mode"))
+    rows = stage(rows, "keyed-rows") if once else rows
     return resolve_keys(rows, key).select(*[f.name for f in schema.fields])
 
 
