@@ -20,20 +20,19 @@ that share an id all stay, in the order of the table; an empty table gives files
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dumplake.llm.bytelevel import ByteLevel
 from dumplake.llm.frames import text_or_empty
-from dumplake.llm.pretokens import Units
 
 LANES = 2048
 BLOCK = 1 << 20
@@ -44,6 +43,8 @@ SECTION = 1 << 21
 #: Text of a part, and sections in a file: what one task holds when it writes and when it reads.
 PART_BYTES = 24 << 20
 FILE_SECTIONS = 4
+#: Below it ids are counted in an array instead of sorted.
+DENSE = 1 << 20
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 _HEAD = struct.Struct("<4s10Q")
@@ -52,7 +53,12 @@ _NULL = -(2**63)
 
 def table_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Symbols that occur, their frequencies (at least 1, a power of two in all), and the bits of that power."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    if ids.max() < DENSE:
+        every = np.bincount(ids)
+        symbols = np.flatnonzero(every)
+        counts = every[symbols]
+    else:
+        symbols, counts = np.unique(ids, return_counts=True)
     bits = max(16, int(len(symbols)).bit_length() + 3)
     whole = 1 << bits
     freq = np.maximum(1, counts * whole // counts.sum())
@@ -119,7 +125,12 @@ def encode_section(part: int, number: int, keys: list[int], ids: list[np.ndarray
     every = np.concatenate(ids).astype(np.uint32)
     symbols, freq, bits = table_of(every)
     low = np.cumsum(freq) - freq
-    places = np.searchsorted(symbols, every)
+    if symbols[-1] < DENSE:
+        at = np.zeros(int(symbols[-1]) + 1, np.int64)
+        at[symbols] = np.arange(len(symbols))
+        places = at[every]
+    else:
+        places = np.searchsorted(symbols, every)
     packed = zlib.compress(symbols.tobytes() + freq.astype("<u4").tobytes())
     directory, blocks = [], []
     for at in range(0, len(every), BLOCK):
@@ -187,63 +198,14 @@ def sections(data: bytes):
 
 # --- tokens -----------------------------------------------------------------------------------
 
-_PLAIN = re.compile(r" ?\S+")
-
-
 @lru_cache(maxsize=2)
-def tokenizer_units(path: str, pattern: str) -> Units:
-    """Whole texts by the tokenizers library; each distinct token of a task is encoded once.
+def tokenizer_units(path: str, pattern: str) -> ByteLevel:
+    """One for each worker process; the tokenizer file is at the same path on every executor."""
+    return ByteLevel(path, pattern)
 
-    ``pattern`` is the split pattern of the tokenizer file. Parts with characters beyond the Latin ranges, where Unicode
-    versions of pattern libraries may differ, go to the library unsplit.
-    """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    feed = tokenizer.encode("\n", add_special_tokens=False).ids
-    matches = regex.compile(pattern).findall
-
-    def split(part: str) -> list[str]:
-        return matches(part) if part.isascii() or max(part) < "\u0250" else [part]
-
-    def encode(tokens: list[str]) -> list[bytes]:
-        out: dict[int, bytes] = {}
-        plain = [i for i, u in enumerate(tokens) if len(feed) == 1 and _PLAIN.fullmatch(u)]
-        # Tokens without inner white space go together, divided by line feeds, each of which is one id of its own.
-        for at in range(0, len(plain), 10_000):
-            some = plain[at : at + 10_000]
-            ids = np.array(tokenizer.encode_batch_fast(["\n".join([tokens[i] for i in some])], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == feed[0]), len(ids)).tolist()
-            raw, start = ids.tobytes(), 0
-            for i, end in zip(some, ends, strict=True):
-                out[i] = raw[4 * start : 4 * end]
-                start = end + 1
-        others = [i for i in range(len(tokens)) if i not in out]
-        for i, got in zip(others, whole([tokens[i] for i in others])):
-            out[i] = got
-        return [out[i] for i in range(len(tokens))]
-
-    def whole(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    return WithSpecial(split, encode, re.compile("|".join(map(re.escape, special)) or r"(?!)"), whole)
-
-
-class WithSpecial(Units):
-    """Units of a library that reads the names of special tokens in a text as these tokens: such texts go to it whole."""
-
-    def __init__(self, split, encode, special: re.Pattern, whole):
-        super().__init__(split, encode)
-        self.special, self.whole = special, whole
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        named = [i for i, t in enumerate(texts) if self.special.search(t)]
-        if not named:
-            return super().ids(texts)
-        found = dict(zip(named, self.whole([texts[i] for i in named])))
-        rest = iter(super().ids([t for i, t in enumerate(texts) if i not in found]))
-        return [found[i] if i in found else next(rest) for i in range(len(texts))]
+
+def _row(section: bytes) -> pa.RecordBatch:
+    return pa.record_batch({"value": pa.array([section], pa.binary())})
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int = 0) -> None:
@@ -258,20 +220,22 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id:
     def encode(batches):
         units, part, number = tokenizer_units(tokenizer, pattern), TaskContext.get().partitionId(), 0
         keys, ids, held = [], [], 0
-        for pdf in batches:
-            for key, raw in zip(pdf["k"], units.ids(list(pdf["text"]))):
-                keys.append(int(key))
-                ids.append(np.concatenate((np.frombuffer(raw, "<u4"), end)))
-                held += len(ids[-1])
-                if held >= SECTION:
-                    yield pd.DataFrame({"value": [encode_section(part, number, keys, ids)]})
-                    keys, ids, held, number = [], [], 0, number + 1
+        for batch in batches:
+            of = iter(batch.column(0).to_pylist())
+            for every, starts, ends in units.stretches(batch.column(1).cast(pa.string())):
+                for a, b in zip(starts.tolist(), ends.tolist()):
+                    keys.append(next(of))
+                    ids.append(np.concatenate((every[a:b], end)))
+                    held += len(ids[-1])
+                    if held >= SECTION:
+                        yield _row(encode_section(part, number, keys, ids))
+                        keys, ids, held, number = [], [], 0, number + 1
         if keys:
-            yield pd.DataFrame({"value": [encode_section(part, number, keys, ids)]})
+            yield _row(encode_section(part, number, keys, ids))
 
     # The row number splits the rows of one hot id, too.
-    ranged = rows.repartitionByRange(int(parts), "k", "r").sortWithinPartitions("k", "r")
-    ranged.mapInPandas(encode, "value binary").select(F.col("value").cast("string").alias("value")).write.option(
+    ranged = rows.repartitionByRange(int(parts), "k", "r").sortWithinPartitions("k", "r").select("k", "text")
+    ranged.mapInArrow(encode, "value binary").select(F.col("value").cast("string").alias("value")).write.option(
         "lineSep", "\n").option("maxRecordsPerFile", FILE_SECTIONS).text(path)
 
 

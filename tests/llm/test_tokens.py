@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -53,6 +54,57 @@ def test_tables_of_units_are_bounded_by_bytes(monkeypatch):
         assert units.held < 60_000 and all(len(u) <= pretokens.LONGEST for t in (units.first, units.after, units.tokens) for u in t)
 
 
+def test_columns_of_texts_of_any_kind(monkeypatch):
+    from dumplake.llm import bytelevel, pretokens
+
+    units, rng = rans.tokenizer_units.__wrapped__(queries.TOKENIZER, public_tokenizers.PATTERN), random.Random(4)
+    kinds = ["ab", "Ünï", "ñ²¼ªº", "don't's 're", "<|", "<|endoftext|>", "12٣", "中文", "ж", "\u0250", "\u024f", "é\u0301", "😀", "\x00", "\x01", "\x7f", "\x85", "\xa0", "\xad",
+             "\u2003", "\u3000", "\ufeff", "\x1c", "\t", "\r\n", "\n", "\n\n", " ", "  ", " \n", "\n ", "...", "_", "ÿþ", "q" * 120, ""]
+    monkeypatch.setattr(bytelevel, "STRETCH", 300)
+    monkeypatch.setattr(bytelevel, "TOGETHER", 3)
+    monkeypatch.setattr(pretokens, "CACHED_BYTES", 2_000)
+    for _ in range(60):
+        texts = ["".join(rng.choice(["", " ", " "]) + rng.choice(kinds) for _ in range(rng.randint(0, 12))) for _ in range(40)]
+        for text, got in zip(texts, units.ids(texts), strict=True):
+            assert ids_of(got) == HF.encode(text, add_special_tokens=False).ids, repr(text)
+    assert units.ids([]) == []
+
+
+def test_latin_tokens_go_to_the_merges_alone_and_once():
+    units, seen = rans.tokenizer_units.__wrapped__(queries.TOKENIZER, public_tokenizers.PATTERN), []
+
+    class Seen:
+        def __init__(self, of):
+            self.of = of
+
+        def encode_batch_fast(self, texts, **more):
+            seen.append((self.of, texts))
+            return self.of.encode_batch_fast(texts, **more)
+
+    splitter, units.tokenizer, units.model = units.tokenizer, Seen(units.tokenizer), Seen(units.model)
+    texts = ["Ünder the old, old\nbridge (1).", "the bridge", "old the"] * 3
+    for _ in range(2):
+        assert [ids_of(i) for i in units.ids(texts)] == [HF.encode(t, add_special_tokens=False).ids for t in texts]
+    given = [t for of, some in seen for text in some for t in text.split("\n") if t and of is not splitter]
+    assert len(given) == len(set(given)) and {"Ãľnder", "Ġthe", "Ġold", "the", "Ċ", "Ġ("} <= set(given)
+    assert not [some for of, some in seen if of is splitter and some]
+
+
+def test_units_take_less_than_the_library_alone():
+    """CPU seconds on invented words: units looked up one by one took 0.40 to 0.44 of the library's own, columns take 0.18."""
+    rng = random.Random(5)
+    invented = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(30_000)]
+    some = [", ".join(rng.choices(invented, k=300)) for _ in range(600)]
+    units = rans.tokenizer_units.__wrapped__(queries.TOKENIZER, public_tokenizers.PATTERN)
+    start = time.process_time()
+    got = units.ids(some)
+    middle = time.process_time()
+    want = HF.encode_batch_fast(some, add_special_tokens=False)
+    end = time.process_time()
+    assert [ids_of(i) for i in got] == [e.ids for e in want]
+    assert middle - start < 0.3 * (end - middle)
+
+
 def test_digests_of_given_and_odd_texts(spark, odd_docs, no_docs, texts):
     for docs in (spark.read.parquet(f"{SF}/documents.parquet"), odd_docs):
         want = sorted((str(r.doc_id), hashlib.sha256((r.text or "").encode()).hexdigest(), len(i), hashlib.sha256(struct.pack(f"<{len(i)}I", *i)).hexdigest())
