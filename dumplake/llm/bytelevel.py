@@ -15,7 +15,9 @@ from dumplake.llm import pretokens
 from dumplake.llm.bpe import byte_characters
 
 #: Bytes of text that are cut and looked up together; a longer text goes alone.
-STRETCH = 16 << 20
+STRETCH = 32 << 20
+#: Strings that are told apart together at first.
+PIECE = 1 << 17
 #: Tokens encoded in one call.
 TOGETHER = 500
 
@@ -49,10 +51,19 @@ def _numbers(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def _flatten(lists: list[pa.Array]) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """The strings of all lists, and where each list begins among them, with the end of the last."""
+def _flatten(lists: list[pa.Array]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct strings of all lists, the place of each string among them, and where each list begins, with the end of the last.
+
+    Strings are told apart within short pieces first, whose tables are small, then those of all pieces.
+    """
     first = _offsets(np.concatenate([_numbers(pc.list_value_length(x)) for x in lists]))
-    return pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode(), first
+    every = [x.flatten() for x in lists]
+    pieces = [x.slice(at, PIECE).dictionary_encode() for x in every for at in range(0, len(x), PIECE)]
+    if not pieces:
+        return pa.array([], pa.string()), np.empty(0, np.int32), first
+    merged = pa.concat_arrays([x.dictionary for x in pieces]).dictionary_encode()
+    places, before = merged.indices.to_numpy(), _offsets([len(x.dictionary) for x in pieces])
+    return merged.dictionary, np.concatenate([places[at:][x.indices.to_numpy()] for at, x in zip(before.tolist(), pieces)]), first
 
 
 def _back(last: np.ndarray) -> np.ndarray:
@@ -173,14 +184,14 @@ class ByteLevel:
 
     def _distinct(self, lists: list[pa.Array]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Distinct units, with the space before them unless they head a text; the place of every unit among them; where each text's begin."""
-        every, first = _flatten(lists)
-        heads, which = first[:-1], every.indices.to_numpy().copy()
-        head = every.take(pa.array(heads)).dictionary_decode().dictionary_encode()
+        every, which, first = _flatten(lists)
+        heads = first[:-1]
+        head = every.take(pa.array(which[heads])).dictionary_encode()
         which[heads] = -1
-        used = np.zeros(len(every.dictionary), bool)
+        used = np.zeros(len(every), bool)
         used[which[which >= 0]] = True
         which[heads] = len(used) + head.indices.to_numpy()
-        after = pc.if_else(pa.array(used), pc.binary_join_element_wise("", every.dictionary, " "), "")
+        after = pc.if_else(pa.array(used), pc.binary_join_element_wise("", every, " "), "")
         return pa.concat_arrays([after, head.dictionary]), which, first
 
     def _units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -188,9 +199,8 @@ class ByteLevel:
         hard = _numbers(pc.match_substring_regex(units, _HARD)) if self.columns else np.ones(len(units), bool)
         marked = pc.replace_substring_regex(units.filter(pa.array(~hard)), self.columns or "", r"\0" + _MARK)
         split = [self.matches(u) if _latin(u) else [u] for u in units.filter(pa.array(hard)).to_pylist()]
-        tokens, first = _flatten([pc.split_pattern(marked, _MARK), _list_column(split)])
-        found = self._look_up(tokens.dictionary)
-        which = tokens.indices.to_numpy()
+        tokens, which, first = _flatten([pc.split_pattern(marked, _MARK), _list_column(split)])
+        found = self._look_up(tokens)
         ids, before = _ragged(found.ids, found.begins[which], (found.begins[1:] - found.begins[:-1])[which])
         order = _back(hard)
         return _ragged(ids, before[first[:-1]][order], (before[first[1:]] - before[first[:-1]])[order])
